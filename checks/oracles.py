@@ -169,3 +169,92 @@ ORACLES["recent_sessions"] = _with(
                           FROM clean GROUP BY product_id) m USING (product_id)
        WHERE event_time >= cutoff""",
 )
+
+# ---- sampling, numbering, sessions --------------------------------------------------------
+_cte("sessions", ["clean"], "SELECT DISTINCT user_session FROM clean")
+ORACLES["sample_fraction"] = _with(
+    ["sessions"],
+    """SELECT user_session FROM sessions
+       QUALIFY row_number() OVER (ORDER BY md5(concat('42:', user_session)))
+               <= round_even(0.3 * (SELECT count(*) FROM sessions), 0)""",
+)
+ORACLES["label_encode"] = _with(
+    ["clean"],
+    """SELECT event_id, CAST(dense_rank() OVER (ORDER BY product_id) - 1 AS BIGINT) AS product_id,
+       CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS BIGINT) AS user_id,
+       CAST(dense_rank() OVER (ORDER BY user_session) - 1 AS BIGINT) AS user_session
+       FROM clean""",
+)
+_cte("members", ["clean"], "SELECT DISTINCT user_session, product_id FROM clean")
+_cte(
+    "cooc",
+    ["members"],
+    """SELECT a.product_id AS target, b.product_id AS candidate, count(*) AS freq
+       FROM members a JOIN members b USING (user_session) WHERE a.product_id <> b.product_id
+       GROUP BY ALL""",
+)
+
+
+def _clusters(top: int, rnd: int) -> None:
+    _cte(
+        f"ranked_{top}",
+        ["cooc"],
+        """SELECT *, row_number() OVER (PARTITION BY target ORDER BY freq DESC, candidate) AS rk
+           FROM cooc""",
+    )
+    _cte(
+        f"clusters_{top}_{rnd}",
+        [f"ranked_{top}", "clean"],
+        f"""
+        SELECT target, 'top' AS bucket, rk AS rank, candidate, freq FROM ranked_{top}
+        WHERE rk <= {top}
+        UNION ALL
+        SELECT target, 'others', row_number() OVER (PARTITION BY target ORDER BY
+               md5(concat('42:', target, ':', candidate))) AS rank, candidate, freq
+        FROM ranked_{top} WHERE rk > {top} QUALIFY rank <= {rnd}
+        UNION ALL
+        SELECT DISTINCT product_id, NULL, NULL, NULL, NULL FROM clean
+        WHERE product_id NOT IN (SELECT target FROM cooc)
+        """,
+    )
+
+
+_clusters(8, 5)
+_clusters(5, 2)
+ORACLES["cooccurrence"] = _with(["cooc"], "SELECT * FROM cooc")
+ORACLES["coldstart_clusters"] = _with(["clusters_8_5"], "SELECT * FROM clusters_8_5")
+_cte(
+    "cluster_of",
+    ["clusters_8_5", "catalog"],
+    """SELECT product_id AS target, coalesce(
+         (SELECT min(target) FROM clusters_8_5 c WHERE c.target = k.product_id),
+         (SELECT min(target) FROM clusters_8_5 c WHERE c.candidate = k.product_id)) AS cluster
+       FROM catalog k""",
+)
+ORACLES["cluster_for_target"] = _with(["cluster_of"], "SELECT * FROM cluster_of")
+
+# ---- vectors, points, artifacts -----------------------------------------------------------
+# Model names made of the event table: one name per hour of events, and untimed ones.
+_cte(
+    "names",
+    ["behaviors"],
+    r"""
+    SELECT DISTINCT concat(event_type, '_', strftime(event_time, '%d_%m_%y_%H_%M'), '.pkl') AS name
+    FROM behaviors WHERE event_type IN ('view', 'cart')
+    UNION SELECT DISTINCT concat(event_type, '_99_99_99_', user_id, '.pkl') FROM behaviors
+    WHERE event_type IN ('view', 'purchase')
+    """,
+)
+ORACLES["latest_artifact"] = _with(
+    ["names"],
+    r"""
+    SELECT prefix, coalesce(max_by(name, (stamp, name)) FILTER (WHERE stamp IS NOT NULL), max(name),
+           any_value(concat(prefix, '_default'))) AS name
+    FROM (SELECT p.prefix, n.name, try_strptime(nullif(regexp_extract(n.name,
+            concat(p.prefix, '_(\d{2}_\d{2}_\d{2}_\d{2}_\d{2})\.pkl'), 1), ''),
+            '%d_%m_%y_%H_%M') AS stamp
+          FROM (VALUES ('view'), ('cart'), ('purchase'), ('error_model')) p(prefix)
+          LEFT JOIN names n ON starts_with(n.name, p.prefix))
+    GROUP BY prefix
+    """,
+)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expressions import micros, rounded
+from shelfwise.operators import coldstart as cold
 from shelfwise.operators import features as ft
+from shelfwise.operators import sampling
+from shelfwise.sources import artifacts
 
 from . import fixtures as fx
 
@@ -88,3 +91,56 @@ def product_details(spark, sf):
 def recent_sessions(spark, sf):
     df = ft.recent_sessions(clean(spark, sf))
     return df.select("product_id", "user_session", F.col("cutoff").cast("string").alias("cutoff"))
+
+
+# ---- sampling, numbering, sessions ---------------------------------------------------------
+@query
+def sample_fraction(spark, sf):
+    sessions = clean(spark, sf).select("user_session").distinct()
+    return sampling.sample_fraction(sessions, ["user_session"], 0.3, 42)
+
+
+@query
+def label_encode(spark, sf):
+    events = clean(spark, sf).select("event_id", "product_id", "user_id", "user_session")
+    coded = sampling.label_encode(events, ["product_id", "user_id", "user_session"])
+    return coded.select(
+        "event_id", *[F.col(c).cast("bigint") for c in ("product_id", "user_id", "user_session")]
+    )
+
+
+@query
+def cooccurrence(spark, sf):
+    return cold.cooccurrence(clean(spark, sf))
+
+
+def clusters(spark, sf, top_n=cold.TOP_N, random_n=cold.RANDOM_N):
+    return cold.coldstart_clusters(clean(spark, sf), top_n, random_n)
+
+
+@query
+def coldstart_clusters(spark, sf):
+    return clusters(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def cluster_for_target(spark, sf):
+    return cold.cluster_for_target(clusters(spark, sf), fx.catalog(spark, sf))
+
+
+@query
+def latest_artifact(spark, sf):
+    kinds = ("view", "cart", "purchase", "error_model")
+    events = fx.behaviors(spark, sf)
+    stamped = events.where(F.col("event_type").isin("view", "cart")).select(
+        F.concat(
+            "event_type", F.lit("_"), F.date_format("event_time", "dd_MM_yy_HH_mm"), F.lit(".pkl")
+        ).alias("name")
+    )
+    untimed = events.where(F.col("event_type").isin("view", "purchase")).select(
+        F.concat("event_type", F.lit("_99_99_99_"), "user_id", F.lit(".pkl")).alias("name")
+    )
+    wanted = spark.createDataFrame(
+        [(k, f"{k}_default") for k in kinds], "prefix string, default_name string"
+    )
+    return artifacts.latest_artifact(stamped.union(untimed).distinct(), wanted)
