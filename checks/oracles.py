@@ -26,7 +26,7 @@ def _with(needs: list[str], body: str) -> str:
 
     for n in needs:
         visit(n)
-    parts = [f"{n} AS ({_CTE[n][1]})" for n in order]
+    parts = [f"{n} AS MATERIALIZED ({_CTE[n][1]})" for n in order]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
@@ -258,3 +258,326 @@ ORACLES["latest_artifact"] = _with(
     GROUP BY prefix
     """,
 )
+
+# ---- baskets, itemsets, rules, carts ------------------------------------------------------
+_cte(
+    "brand_lines",
+    [],
+    """SELECT CAST(l_orderkey AS VARCHAR) AS user_session, p_brand AS product_id
+       FROM lineitem JOIN part ON l_partkey = p_partkey""",
+)
+
+
+def _baskets(prefix: str, source: str) -> None:
+    _cte(
+        f"{prefix}_counts",
+        [source],
+        f"""SELECT user_session AS basket, product_id AS item, count(*) AS n FROM {source}
+            GROUP BY ALL""",
+    )
+    _cte(
+        f"{prefix}_sizes",
+        [f"{prefix}_counts"],
+        f"""SELECT basket, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_items
+            FROM {prefix}_counts GROUP BY ALL HAVING sum(n) > 1""",
+    )
+    _cte(
+        f"{prefix}_ids",
+        [f"{prefix}_sizes"],
+        f"""SELECT basket FROM {prefix}_sizes
+            QUALIFY row_number() OVER (ORDER BY md5(concat('42:', basket)))
+                    <= round_even(0.3 * (SELECT count(*) FROM {prefix}_sizes), 0)""",
+    )
+
+
+_baskets("session", "clean")
+_baskets("brand", "brand_lines")
+ORACLES["baskets"] = _with(
+    ["session_sizes", "session_ids"], "SELECT * FROM session_sizes SEMI JOIN session_ids USING (basket)"
+)
+_cte(
+    "brand_sampled",
+    ["brand_lines", "brand_ids"],
+    """SELECT user_session AS basket, product_id AS item, count(*) AS n FROM brand_lines
+       WHERE user_session IN (SELECT basket FROM brand_ids) GROUP BY ALL""",
+)
+_cte(
+    "brand_often",
+    ["brand_sampled"],
+    """SELECT item, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS n_baskets
+       FROM brand_sampled GROUP BY ALL HAVING sum(n) >= 5""",
+)
+ORACLES["frequent_items"] = _with(["brand_often"], "SELECT * FROM brand_often")
+_cte(
+    "basket_items",
+    ["brand_sampled", "brand_often"],
+    "SELECT basket, item FROM brand_sampled WHERE item IN (SELECT item FROM brand_often)",
+)
+ORACLES["basket_items"] = _with(["basket_items"], "SELECT * FROM basket_items")
+_cte("min_freq", ["brand_ids"], "SELECT ceil(0.001 * count(*)) AS m FROM brand_ids")
+_cte("w1", ["basket_items"], "SELECT basket, [item] AS items, item AS last FROM basket_items")
+SET_SIZES = range(1, 7)
+for _k in SET_SIZES:
+    _cte(
+        f"f{_k}",
+        [f"w{_k}", "min_freq"],
+        f"""SELECT items, count(*) AS freq FROM w{_k} GROUP BY items
+            HAVING count(*) >= (SELECT m FROM min_freq)""",
+    )
+    _cte(
+        f"w{_k + 1}",
+        [f"w{_k}", f"f{_k}", "basket_items"],
+        f"""SELECT w.basket, list_append(w.items, b.item) AS items, b.item AS last
+            FROM w{_k} w SEMI JOIN f{_k} USING (items)
+            JOIN basket_items b ON b.basket = w.basket AND b.item > w.last""",
+    )
+_cte(
+    "itemsets",
+    [f"f{_k}" for _k in SET_SIZES],
+    " UNION ALL ".join(f"SELECT * FROM f{_k}" for _k in SET_SIZES),
+)
+ORACLES["frequent_itemsets"] = _with(
+    ["itemsets"], "SELECT array_to_string(items, ',') AS items, len(items) AS size, freq FROM itemsets"
+)
+_cte(
+    "rules",
+    ["itemsets", "brand_ids"],
+    """
+    SELECT a.items AS antecedent, x.c AS consequent, x.freq / (SELECT count(*) FROM brand_ids)
+             AS support, x.freq / a.freq AS confidence,
+           (x.freq / a.freq) / (c.freq / (SELECT count(*) FROM brand_ids)) AS lift,
+           round((x.freq / a.freq) * ((x.freq / a.freq) / (c.freq /
+             (SELECT count(*) FROM brand_ids))), 6) AS score
+    FROM (SELECT items, freq, unnest(items) AS c FROM itemsets WHERE len(items) > 1) x
+    JOIN itemsets a ON a.items = list_filter(x.items, lambda i: i <> x.c)
+    JOIN itemsets c ON c.items = [x.c]
+    WHERE x.freq / a.freq >= 0.08
+    """,
+)
+ORACLES["basket_rules"] = _with(
+    ["rules"],
+    f"""SELECT array_to_string(antecedent, ',') AS antecedent, consequent, {r6('support')} AS support,
+        {r6('confidence')} AS confidence, {r6('lift')} AS lift, {r6('score')} AS score FROM rules""",
+)
+_cte("cart_items", ["brand_lines"], "SELECT DISTINCT user_session AS cart, product_id AS item FROM brand_lines")
+_cte("rule_ids", ["rules"], "SELECT row_number() OVER () AS rid, * FROM rules")
+_cte(
+    "matches",
+    ["rule_ids", "cart_items"],
+    """
+    SELECT m.cart, r.antecedent, r.consequent, r.score FROM (
+      SELECT c.cart, e.rid FROM (SELECT rid, unnest(antecedent) AS item FROM rule_ids) e
+      JOIN cart_items c USING (item) JOIN rule_ids r ON r.rid = e.rid
+      GROUP BY c.cart, e.rid HAVING count(*) = any_value(len(r.antecedent))) m
+    JOIN rule_ids r USING (rid)
+    ANTI JOIN cart_items x ON x.cart = m.cart AND x.item = r.consequent
+    """,
+)
+ORACLES["cart_matches"] = _with(
+    ["matches"],
+    f"""SELECT cart, count(*) AS n_rules, count(DISTINCT consequent) AS n_products,
+        {r6('max(score)')} AS best_score, {r6('sum(score)')} AS total_score
+        FROM matches GROUP BY cart""",
+)
+_cte(
+    "pool",
+    ["rules"],
+    """SELECT consequent, max(score) AS score FROM rules GROUP BY 1
+       ORDER BY 2 DESC, 1 LIMIT 200""",
+)
+ORACLES["cart_recommend"] = _with(
+    ["matches", "pool", "cart_items"],
+    """
+    SELECT cart, row_number() OVER (PARTITION BY cart ORDER BY tier, score DESC, consequent) AS rank,
+           consequent AS product_id
+    FROM (
+      SELECT cart, 1 AS tier, consequent, max(score) AS score FROM matches GROUP BY ALL
+      UNION ALL
+      SELECT c.cart, 2, p.consequent, p.score FROM (SELECT DISTINCT cart FROM cart_items) c, pool p
+      ANTI JOIN cart_items x ON x.cart = c.cart AND x.item = p.consequent
+      ANTI JOIN matches m ON m.cart = c.cart AND m.consequent = p.consequent)
+    QUALIFY rank <= 5
+    """,
+)
+
+# ---- offsets, splits, evaluation ----------------------------------------------------------
+
+
+def _baselines(prefix: str, ratings: str, epochs: int = 10, group: str = "") -> None:
+    """Offsets of ``ratings`` (user_id, product_id, score); ``group`` fits one model per value."""
+    g = f"{group}, " if group else ""
+    on = f"({g}user_id)", f"({g}product_id)"
+    mean_on = f"USING ({group})" if group else "ON true"
+    _cte(
+        f"{prefix}_mu",
+        [ratings],
+        f"""SELECT {g} avg(score) AS mu, min(score) AS lo, max(score) AS hi
+            FROM {ratings} {'GROUP BY ' + group if group else ''}""",
+    )
+    last = None
+    for e in range(1, epochs + 1):
+        if last is None:
+            src = f"FROM {ratings} r JOIN {prefix}_mu m {mean_on}"
+            term = "r.score - m.mu"
+        else:
+            src = f"FROM {ratings} r JOIN {prefix}_mu m {mean_on} JOIN {last} u USING {on[0]}"
+            term = "r.score - m.mu - u.b_u"
+        _cte(
+            f"{prefix}_i{e}",
+            [ratings, f"{prefix}_mu"] + ([last] if last else []),
+            f"SELECT {g} product_id, sum({term}) / (10 + count(*)) AS b_i {src} GROUP BY ALL",
+        )
+        _cte(
+            f"{prefix}_u{e}",
+            [ratings, f"{prefix}_mu", f"{prefix}_i{e}"],
+            f"""SELECT {g} user_id, sum(r.score - m.mu - i.b_i) / (15 + count(*)) AS b_u
+                FROM {ratings} r JOIN {prefix}_mu m {mean_on} JOIN {prefix}_i{e} i USING {on[1]}
+                GROUP BY ALL""",
+        )
+        last = f"{prefix}_u{e}"
+    _cte(f"{prefix}_items", [f"{prefix}_i{epochs}"], f"SELECT * FROM {prefix}_i{epochs}")
+    _cte(f"{prefix}_users", [f"{prefix}_u{epochs}"], f"SELECT * FROM {prefix}_u{epochs}")
+
+
+_baselines("all", "scores")
+ORACLES["rating_scale"] = _with(
+    ["scores"], f"SELECT {r6('min(score)')} AS min_score, {r6('max(score)')} AS max_score FROM scores"
+)
+_cte(
+    "all_est",
+    ["scores", "all_mu", "all_users", "all_items"],
+    """SELECT user_id, product_id, score, b_u, b_i, mu + b_u + b_i AS raw,
+         least(greatest(mu + b_u + b_i, lo), hi) AS est
+       FROM scores JOIN all_users USING (user_id) JOIN all_items USING (product_id), all_mu""",
+)
+ORACLES["bias_scores"] = _with(
+    ["all_est"],
+    f"""SELECT user_id, product_id, {r6('b_u')} AS b_u, {r6('b_i')} AS b_i, {r6('est')} AS est
+        FROM all_est""",
+)
+ORACLES["rating_errors"] = _with(
+    ["all_est"],
+    f"""SELECT {r6('sqrt(avg((score - est) * (score - est)))')} AS rmse,
+        {r6('avg(abs(score - est))')} AS mae FROM all_est""",
+)
+ORACLES["model_users"] = _with(["scores"], "SELECT DISTINCT user_id FROM scores")
+_cte(
+    "truth",
+    ["clean"],
+    "SELECT DISTINCT user_id, product_id FROM clean WHERE event_type = 'purchase'",
+)
+_cte(
+    "eligible",
+    ["truth"],
+    "SELECT user_id, count(*) AS total_buy FROM truth GROUP BY 1 HAVING count(*) >= 3",
+)
+ORACLES["eligible_users"] = _with(["eligible"], "SELECT * FROM eligible")
+_cte(
+    "held_out",
+    ["eligible"],
+    """SELECT user_id FROM eligible
+       QUALIFY row_number() OVER (ORDER BY md5(concat('42:', user_id)))
+               <= round_even(0.1 * (SELECT count(*) FROM eligible), 0)""",
+)
+_cte("test", ["scores", "held_out"], "SELECT * FROM scores SEMI JOIN held_out USING (user_id)")
+_cte("train", ["scores", "held_out"], "SELECT * FROM scores ANTI JOIN held_out USING (user_id)")
+for _n in ("test", "train"):
+    ORACLES[f"holdout_{_n}"] = _with(
+        [_n], f"SELECT user_id, product_id, {r6('score')} AS score FROM {_n}"
+    )
+_baselines("train", "train")
+_cte(
+    "test_top",
+    ["test", "train_mu", "train_items"],
+    """SELECT user_id, product_id, mu + coalesce(b_i, 0) AS raw,
+         row_number() OVER (PARTITION BY user_id
+           ORDER BY round(mu + coalesce(b_i, 0), 6) DESC, product_id) AS rank
+       FROM test LEFT JOIN train_items USING (product_id), train_mu QUALIFY rank <= 3""",
+)
+ORACLES["eval_topn"] = _with(
+    ["test_top"], f"SELECT user_id, product_id, rank, {r6('raw')} AS est FROM test_top"
+)
+
+
+def _f1(lists: str, group: str = "") -> str:
+    g = f"{group}, " if group else ""
+    by = f"GROUP BY {group}" if group else ""
+    return f"""
+    SELECT *, CASE WHEN precision + recall = 0 THEN 0
+                   ELSE 2 * precision * recall / (precision + recall) END AS f1
+    FROM (SELECT {g} hits, recommended, actual, hits / recommended AS precision,
+                 hits / actual AS recall
+          FROM (SELECT {g} CAST(sum(h) AS BIGINT) AS hits, CAST(sum(r) AS BIGINT) AS recommended,
+                       CAST(sum(a) AS BIGINT) AS actual
+                FROM (SELECT {g} user_id, count(*) AS r, count(t.user_id) AS h,
+                             (SELECT count(*) FROM truth x WHERE x.user_id = l.user_id) AS a
+                      FROM {lists} l LEFT JOIN truth t USING (user_id, product_id)
+                      GROUP BY ALL) {by}))"""
+
+
+ORACLES["eval_f1"] = _with(
+    ["test_top", "truth"],
+    f"""SELECT hits, recommended, actual, {r6('precision')} AS precision, {r6('recall')} AS recall,
+        {r6('f1')} AS f1 FROM ({_f1('test_top')})""",
+)
+_cte(
+    "half",
+    ["truth"],
+    """SELECT * FROM truth
+       QUALIFY row_number() OVER (ORDER BY md5(concat('123:', user_id, ':', product_id)))
+               <= round_even(0.5 * (SELECT count(*) FROM truth), 0)""",
+)
+ORACLES["eval_user_precision"] = _with(
+    ["half", "truth", "all_est"],
+    f"""SELECT user_id, {r6('h / least(a, 3)')} AS precision FROM (
+          SELECT user_id, count(*) AS h, (SELECT count(*) FROM truth t WHERE t.user_id = l.user_id) AS a
+          FROM (SELECT user_id, product_id FROM half JOIN all_est USING (user_id, product_id)
+                QUALIFY row_number() OVER (PARTITION BY user_id
+                  ORDER BY round(raw, 6) DESC, product_id) <= 3) l GROUP BY user_id)""",
+)
+_cte(
+    "trials",
+    [],
+    """
+    SELECT CAST(row_number() OVER (ORDER BY a.i, b.i, c.i, d.i) - 1 AS INTEGER) AS weight_id,
+           0.6 + 0.3 * a.i / 3 AS w3, 0.2 + 0.8 * b.i / 3 AS r2, 0.1 + 0.9 * c.i / 3 AS r4,
+           0.1 + 0.9 * d.i / 3 AS r1
+    FROM range(1, 3) a(i), range(1, 3) b(i), range(1, 3) c(i), range(1, 3) d(i)
+    """,
+)
+_cte(
+    "weights",
+    ["trials"],
+    """SELECT weight_id, w3 * r2 * r4 * r1 AS w1, w3 * r2 AS w2, w3, w3 * r2 * r4 AS w4,
+         r2, r4, r1 FROM trials""",
+)
+ORACLES["scalar_ratio_weights"] = _with(
+    ["catalog"],
+    f"""SELECT product_id, {r6('w3 * r2 * r4 * r1')} AS w1, {r6('w3 * r2')} AS w2, {r6('w3')} AS w3,
+        {r6('w3 * r2 * r4')} AS w4,
+        w3 * r2 * r4 * r1 < w3 * r2 * r4 AND w3 * r2 * r4 < w3 * r2 AND w3 * r2 < w3 AS valid
+        FROM (SELECT CAST(p_partkey AS VARCHAR) AS product_id, 0.6 + 0.3 * p_size / 50 AS w3,
+              0.2 + 0.8 * p_size / 50 AS r2, 0.1 + 0.9 * len(p_name) / 20 AS r4,
+              0.1 + 0.9 * len(p_type) / 8 AS r1 FROM part)""",
+)
+_cte(
+    "sweep_train",
+    ["features", "weights", "held_out"],
+    """SELECT weight_id, user_id, product_id, sum(w1*F1 + w2*F2 + w3*F3 + w4*F4) AS score
+       FROM (SELECT * FROM features ANTI JOIN held_out USING (user_id)) f, weights GROUP BY ALL""",
+)
+_baselines("sweep", "sweep_train", group="weight_id")
+_cte(
+    "sweep_top",
+    ["test", "sweep_mu", "sweep_items"],
+    """SELECT weight_id, user_id, product_id FROM (SELECT user_id, product_id, weight_id, mu FROM test, sweep_mu)
+       LEFT JOIN sweep_items USING (weight_id, product_id)
+       QUALIFY row_number() OVER (PARTITION BY weight_id, user_id
+         ORDER BY round(mu + coalesce(b_i, 0), 6) DESC, product_id) <= 3""",
+)
+ORACLES["weight_sweep"] = _with(
+    ["sweep_top", "truth", "weights"],
+    f"""SELECT weight_id, {r6('w1')} AS w1, {r6('w2')} AS w2, {r6('w3')} AS w3, {r6('w4')} AS w4,
+        hits, recommended, actual, {r6('f1')} AS f1
+        FROM weights JOIN ({_f1('sweep_top', 'weight_id')}) USING (weight_id)""",
+)

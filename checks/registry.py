@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.functions.expressions import micros, rounded
+from shelfwise.operators import baselines as base
+from shelfwise.operators import baskets as bk
 from shelfwise.operators import coldstart as cold
+from shelfwise.operators import evaluate as ev
 from shelfwise.operators import features as ft
 from shelfwise.operators import sampling
+from shelfwise.operators import weights as wt
+from shelfwise.plans import cart
 from shelfwise.sources import artifacts
+from shelfwise.storage import cut
 
 from . import fixtures as fx
 
@@ -144,3 +150,169 @@ def latest_artifact(spark, sf):
         [(k, f"{k}_default") for k in kinds], "prefix string, default_name string"
     )
     return artifacts.latest_artifact(stamped.union(untimed).distinct(), wanted)
+
+
+# ---- baskets, itemsets, rules, carts -------------------------------------------------------
+@query
+def baskets(spark, sf):
+    sizes = bk.basket_sizes(bk.line_counts(clean(spark, sf)))
+    return sampling.sample_fraction(sizes, ["basket"], bk.SAMPLE_RATIO, bk.SAMPLE_SEED)
+
+
+@query
+def frequent_items(spark, sf):
+    lines = bk.line_counts(fx.brand_lines(spark, sf))
+    ids = sampling.sample_fraction(
+        bk.basket_sizes(lines).select("basket"), ["basket"], bk.SAMPLE_RATIO, bk.SAMPLE_SEED
+    )
+    return bk.frequent_items(lines.join(ids, "basket", "left_semi"))
+
+
+@query
+def basket_items(spark, sf):
+    return bk.prepare_baskets(fx.brand_lines(spark, sf)).items.select("basket", "item")
+
+
+def brand_model(spark, sf):
+    return bk.mine(bk.prepare_baskets(fx.brand_lines(spark, sf)))
+
+
+@query
+def frequent_itemsets(spark, sf):
+    sets = bk.frequent_itemsets(brand_model(spark, sf))
+    return sets.select(
+        F.array_join("items", ",").alias("items"), F.size("items").cast("bigint").alias("size"), "freq"
+    )
+
+
+@query
+def basket_rules(spark, sf):
+    rules = bk.basket_rules(brand_model(spark, sf))
+    rules = rules.withColumn("antecedent", F.array_join("antecedent", ","))
+    return six(rules, "support", "confidence", "lift", "score")
+
+
+def brand_carts(spark, sf):
+    lines = fx.brand_lines(spark, sf).distinct()
+    return lines.groupBy(F.col("user_session").alias("cart")).agg(
+        F.collect_list("product_id").alias("cart_items")
+    )
+
+
+@query
+def cart_matches(spark, sf):
+    found = cart.cart_matches(cut(bk.basket_rules(brand_model(spark, sf))), brand_carts(spark, sf))
+    summary = found.groupBy("cart").agg(
+        F.count(F.lit(1)).alias("n_rules"),
+        F.count_distinct("consequent").alias("n_products"),
+        F.max("score").alias("best_score"),
+        F.sum("score").alias("total_score"),
+    )
+    return six(summary, "best_score", "total_score")
+
+
+@query
+def cart_recommend(spark, sf):
+    rules = cut(bk.basket_rules(brand_model(spark, sf)))
+    return cart.cart_recommend(rules, brand_carts(spark, sf)).withColumn(
+        "rank", F.col("rank").cast("bigint")
+    )
+
+
+# ---- offsets, splits, evaluation -----------------------------------------------------------
+@query
+def rating_scale(spark, sf):
+    return six(base.rating_scale(scores(spark, sf)), "min_score", "max_score")
+
+
+def all_predicted(spark, sf):
+    ratings = cut(scores(spark, sf))
+    return base.predict_baselines(base.fit_baselines(ratings), ratings)
+
+
+@query
+def bias_scores(spark, sf):
+    df = all_predicted(spark, sf).select("user_id", "product_id", "b_u", "b_i", "est")
+    return six(df, "b_u", "b_i", "est")
+
+
+@query
+def rating_errors(spark, sf):
+    return six(base.rating_errors(all_predicted(spark, sf)), "rmse", "mae")
+
+
+@query
+def model_users(spark, sf):
+    return base.model_users(base.fit_baselines(scores(spark, sf)))
+
+
+@query
+def eligible_users(spark, sf):
+    return ev.eligible_users(clean(spark, sf))
+
+
+def holdout(spark, sf):
+    return ev.split_by_user(scores(spark, sf), ev.holdout_users(clean(spark, sf)))
+
+
+@query
+def holdout_test(spark, sf):
+    return six(holdout(spark, sf)[0], "score")
+
+
+@query
+def holdout_train(spark, sf):
+    return six(holdout(spark, sf)[1], "score")
+
+
+def holdout_lists(spark, sf):
+    test, train = holdout(spark, sf)
+    return ev.top_n(base.predict_baselines(base.fit_baselines(train), test))
+
+
+@query
+def eval_topn(spark, sf):
+    df = holdout_lists(spark, sf).select(
+        "user_id", "product_id", F.col("rank").cast("bigint").alias("rank"), F.col("raw").alias("est")
+    )
+    return six(df, "est")
+
+
+@query
+def eval_f1(spark, sf):
+    found = ev.micro_f1(holdout_lists(spark, sf), ev.purchases(clean(spark, sf)))
+    return six(found, "precision", "recall", "f1")
+
+
+@query
+def eval_user_precision(spark, sf):
+    truth = ev.purchases(clean(spark, sf))
+    half = ev.sample_purchases(truth)
+    model = base.fit_baselines(scores(spark, sf))
+    return six(ev.user_precision(ev.top_n(base.predict_baselines(model, half)), truth), "precision")
+
+
+@query
+def scalar_ratio_weights(spark, sf):
+    # Ratios read off the part table, one set per product; the largest sizes break the order.
+    part = fx.table(spark, sf, "part")
+    ratios = part.select(
+        F.col("p_partkey").cast("string").alias("product_id"),
+        (0.6 + 0.3 * F.col("p_size") / 50).alias("w3"),
+        (0.2 + 0.8 * F.col("p_size") / 50).alias("r2"),
+        (0.1 + 0.9 * F.length("p_name") / 20).alias("r4"),
+        (0.1 + 0.9 * F.length("p_type") / 8).alias("r1"),
+    )
+    df = wt.ratio_weights(ratios).select("product_id", "w1", "w2", "w3", "w4", "valid")
+    return six(df, "w1", "w2", "w3", "w4")
+
+
+@query
+def weight_sweep(spark, sf):
+    events = cut(clean(spark, sf))
+    sums = cut(ft.share_sums(ft.session_features(events)))
+    swept = wt.weight_sweep(sums, ev.purchases(events), ev.holdout_users(events))
+    return six(
+        swept.select("weight_id", "w1", "w2", "w3", "w4", "hits", "recommended", "actual", "f1"),
+        "w1", "w2", "w3", "w4", "f1",
+    )

@@ -32,3 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over all cores for work that grows far beyond its input bytes.
+
+    Adaptive execution sizes tasks by bytes, which would leave such work to a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    return df.repartition(n, *keys)
