@@ -81,3 +81,23 @@ def retrain_records(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("offset"),
         value.cast("binary").alias("value"),
     )
+
+
+def details(spark: SparkSession, sf: str) -> DataFrame:
+    """Name, category and brand of every product, in the form events carry them."""
+    p = table(spark, sf, "part")
+    side = F.when(F.col("p_size") <= 25, "electronics ").otherwise("home ")
+    return p.select(
+        F.col("p_partkey").cast("string").alias("product_id"),
+        F.col("p_name").alias("name"),
+        F.concat(side, F.lower("p_type")).alias("category_code"),
+        F.col("p_brand").alias("brand"),
+    )
+
+
+def last_touch(spark: SparkSession, sf: str) -> DataFrame:
+    """One request per user: the product of the last raw event. User 0 is unknown to any model."""
+    last = behaviors(spark, sf).groupBy("user_id").agg(
+        F.max_by("product_id", F.struct("event_time", "event_id")).alias("product_id")
+    )
+    return last.select("user_id", "product_id")

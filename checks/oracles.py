@@ -581,3 +581,406 @@ ORACLES["weight_sweep"] = _with(
         hits, recommended, actual, {r6('f1')} AS f1
         FROM weights JOIN ({_f1('sweep_top', 'weight_id')}) USING (weight_id)""",
 )
+
+# ---- text, neighbours, vectors ------------------------------------------------------------
+_cte(
+    "texts",
+    ["catalog"],
+    """
+    SELECT product_id, concat_ws(' ', coalesce(name, 'nan'), product_id, coalesce(category, 'nan'),
+      coalesce(brand, 'nan'), coalesce(CAST(price AS VARCHAR), 'nan'), coalesce(description, ''),
+      coalesce(type, '')) AS text FROM catalog
+    """,
+)
+ORACLES["concat_features"] = _with(["texts"], "SELECT * FROM texts")
+
+
+def _tfidf(prefix: str, docs: str, doc: str) -> None:
+    _cte(
+        f"{prefix}_tf",
+        [docs],
+        rf"""SELECT {doc}, term, count(*) AS tf FROM (SELECT {doc}, unnest(regexp_extract_all(
+             lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM {docs}) GROUP BY ALL""",
+    )
+    _cte(
+        f"{prefix}_vocab",
+        [f"{prefix}_tf", docs],
+        f"""SELECT term, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf
+            FROM {prefix}_tf, (SELECT count(*) AS n FROM {docs}) GROUP BY term
+            HAVING count(*) >= 5 AND count(*) <= 0.8 * any_value(n)
+            ORDER BY sum(tf) DESC, term LIMIT 5000""",
+    )
+    _cte(
+        f"{prefix}_weights",
+        [f"{prefix}_tf", f"{prefix}_vocab"],
+        f"""SELECT {doc}, term, tf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY {doc}))
+              AS weight FROM {prefix}_tf JOIN {prefix}_vocab USING (term)""",
+    )
+
+
+_tfidf("cat", "texts", "product_id")
+_cte("docs", [], "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
+_tfidf("doc", "docs", "doc_id")
+ORACLES["tfidf_weights"] = _with(
+    ["cat_weights"], f"SELECT product_id, term, tf, {r6('weight')} AS weight FROM cat_weights"
+)
+ORACLES["tfidf_documents"] = _with(
+    ["doc_weights"], f"SELECT doc_id, term, tf, {r6('weight')} AS weight FROM doc_weights"
+)
+_cte(
+    "neighbors",
+    ["cat_weights", "catalog"],
+    """
+    SELECT product_id, rank, rec_product_id, similarity FROM (
+      SELECT a.product_id, b.product_id AS rec_product_id, coalesce(s.similarity, 0) AS similarity,
+        row_number() OVER (PARTITION BY a.product_id
+          ORDER BY coalesce(s.similarity, 0) DESC, b.product_id) AS rank
+      FROM catalog a JOIN catalog b ON a.product_id <> b.product_id
+      LEFT JOIN (SELECT x.product_id AS p, y.product_id AS q,
+                        round(sum(x.weight * y.weight), 6) AS similarity
+                 FROM cat_weights x JOIN cat_weights y USING (term) GROUP BY ALL) s
+        ON s.p = a.product_id AND s.q = b.product_id)
+    WHERE rank <= 10
+    """,
+)
+ORACLES["content_neighbors"] = _with(
+    ["neighbors"],
+    f"SELECT product_id, rank, rec_product_id, {r6('similarity')} AS similarity FROM neighbors",
+)
+ORACLES["content_recommend"] = _with(
+    ["neighbors"],
+    f"""SELECT r.product_id, rank, rec_product_id, {r6('similarity')} AS similarity,
+        rec_product_id IS NOT NULL AS found
+        FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS product_id FROM orders) r
+        LEFT JOIN neighbors n USING (product_id)""",
+)
+_cte(
+    "details",
+    [],
+    """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS name,
+         concat(CASE WHEN p_size <= 25 THEN 'electronics ' ELSE 'home ' END, lower(p_type))
+           AS category_code, p_brand AS brand FROM part""",
+)
+ORACLES["same_category_brand"] = _with(
+    ["details"],
+    """SELECT a.product_id AS target, b.product_id AS candidate,
+         row_number() OVER (PARTITION BY a.product_id ORDER BY b.product_id) AS rank
+       FROM details a JOIN details b USING (category_code, brand)
+       WHERE a.product_id <> b.product_id QUALIFY rank <= 10""",
+)
+
+
+def _names(prefix: str, wanted: str) -> None:
+    """Closest names for ``wanted`` (target, excluded list, needed)."""
+    _cte(
+        f"{prefix}_corpus",
+        [wanted, "details"],
+        f"""SELECT w.target, w.needed, d.product_id, d.name FROM {wanted} w
+            JOIN details t ON t.product_id = w.target
+            JOIN details d ON d.category_code = t.category_code AND d.brand = t.brand
+             AND (d.product_id = w.target OR NOT list_contains(w.excluded, d.product_id))
+            WHERE w.needed > 0""",
+    )
+    _cte(
+        f"{prefix}_terms",
+        [f"{prefix}_corpus"],
+        rf"""SELECT target, product_id, term, count(*) AS tf FROM (SELECT target, product_id,
+             unnest(regexp_extract_all(lower(name), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term
+             FROM {prefix}_corpus) GROUP BY ALL""",
+    )
+    _cte(
+        f"{prefix}_w",
+        [f"{prefix}_terms", f"{prefix}_corpus"],
+        f"""SELECT target, product_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY target,
+              product_id)) AS w FROM (
+              SELECT t.target, t.product_id, t.term, tf * (ln((1 + n) / (1 + df)) + 1) AS w
+              FROM {prefix}_terms t
+              JOIN (SELECT target, term, count(*) AS df FROM {prefix}_terms GROUP BY ALL) d
+                USING (target, term)
+              JOIN (SELECT target, count(*) AS n FROM {prefix}_corpus GROUP BY ALL) USING (target))""",
+    )
+    _cte(
+        f"{prefix}_similar",
+        [f"{prefix}_w", f"{prefix}_corpus"],
+        f"""SELECT * FROM (
+            SELECT c.target, c.product_id, c.needed, coalesce(s.similarity, 0) AS similarity,
+              row_number() OVER (PARTITION BY c.target
+                ORDER BY coalesce(s.similarity, 0) DESC, c.product_id) AS rank
+            FROM {prefix}_corpus c LEFT JOIN (
+              SELECT a.target, b.product_id, round(sum(a.w * b.w), 6) AS similarity
+              FROM {prefix}_w a JOIN {prefix}_w b USING (target, term)
+              WHERE a.product_id = a.target GROUP BY ALL) s USING (target, product_id)
+            WHERE c.product_id <> c.target) WHERE rank <= needed""",
+    )
+
+
+_cte(
+    "every_target",
+    ["details"],
+    """SELECT product_id AS target, CAST([] AS VARCHAR[]) AS excluded, 10 AS needed FROM details""",
+)
+_names("near", "every_target")
+ORACLES["name_similarity"] = _with(
+    ["near_similar"], f"SELECT target, rank, product_id, {r6('similarity')} AS similarity FROM near_similar"
+)
+ORACLES["vector_lookup"] = f"""
+    SELECT label, point_id, len(embedding) AS dims, {r6('embedding[1]')} AS head,
+      {r6('embedding[len(embedding)]')} AS tail
+    FROM (SELECT CAST(vec_id AS VARCHAR) AS point_id, label, embedding FROM embeddings
+          QUALIFY row_number() OVER (PARTITION BY label ORDER BY CAST(vec_id AS VARCHAR)) = 1)"""
+ORACLES["vector_truncate"] = f"""
+    SELECT CAST(vec_id AS VARCHAR) AS point_id, len(embedding[1:32]) AS dims,
+      {r6('list_sum(CAST(embedding[1:32] AS DOUBLE[]))')} AS total
+    FROM embeddings WHERE len(embedding) >= 32"""
+_cte(
+    "unit",
+    [],
+    """SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS v,
+         sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+       FROM embeddings""",
+)
+ORACLES["vector_topk"] = _with(
+    ["unit"],
+    f"""SELECT id, neighbor, {r6('similarity')} AS similarity, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbor) AS rank
+          FROM (SELECT a.id, b.id AS neighbor,
+                  round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS similarity
+                FROM unit a, unit b)) WHERE rank <= 10""",
+)
+ORACLES["dedupe_points"] = _with(
+    ["clean"],
+    """SELECT user_session AS point_id, event_id, event_type, product_id,
+         CASE WHEN event_type = 'purchase' THEN price END AS price
+       FROM clean QUALIFY row_number() OVER (PARTITION BY user_session
+                                             ORDER BY event_time, event_id) = 1""",
+)
+ORACLES["upsert_latest"] = _with(
+    ["clean"],
+    """SELECT product_id, event_id AS version, event_type,
+         CASE WHEN event_type = 'error' THEN CAST(0 AS DOUBLE) ELSE price END AS price
+       FROM clean QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY event_id DESC) = 1""",
+)
+
+# ---- recommendations ----------------------------------------------------------------------
+_cte(
+    "last_touch",
+    ["behaviors"],
+    """SELECT user_id, max_by(product_id, (event_time, event_id)) AS product_id FROM behaviors
+       GROUP BY user_id""",
+)
+_cte(
+    "target_span",
+    ["clean", "last_touch"],
+    """SELECT product_id AS target, max(event_time) AS last_time,
+         max(event_time) - INTERVAL 3 MONTH AS cutoff FROM clean
+       WHERE product_id IN (SELECT product_id FROM last_touch) GROUP BY 1""",
+)
+_cte(
+    "candidates",
+    ["clean", "target_span"],
+    """
+    SELECT s.target, c.product_id, count(*) AS appearance_count
+    FROM (SELECT DISTINCT target, user_session, cutoff, last_time FROM target_span
+          JOIN clean ON product_id = target AND event_time >= cutoff) s
+    JOIN clean c ON c.user_session = s.user_session AND c.event_time >= s.cutoff
+      AND c.event_time <= s.last_time AND c.product_id <> s.target
+    GROUP BY ALL
+    """,
+)
+ORACLES["session_candidates"] = _with(["candidates"], "SELECT * FROM candidates")
+_cte(
+    "cand_ranked",
+    ["candidates", "all_items"],
+    """
+    SELECT *, CASE WHEN appearance_count >= 3 AND row_number() OVER (PARTITION BY target,
+        appearance_count >= 3 ORDER BY appearance_count DESC, b DESC, product_id) <= 3
+        THEN appearance_count END AS top_count
+    FROM (SELECT *, round(coalesce(b_i, 0), 6) AS b FROM candidates LEFT JOIN all_items USING (product_id))
+    """,
+)
+_cte(
+    "session_tiers",
+    ["cand_ranked", "target_span", "clean", "all_items"],
+    """
+    SELECT target, product_id, appearance_count, b, CASE WHEN top_count IS NULL THEN 1 ELSE 0 END AS tier,
+           top_count FROM cand_ranked
+    UNION ALL
+    SELECT target, p.product_id, NULL, p.b, 2, NULL FROM target_span,
+      (SELECT product_id, round(coalesce(b_i, 0), 6) AS b FROM (SELECT DISTINCT product_id FROM clean)
+       LEFT JOIN all_items USING (product_id)) p
+    WHERE p.product_id <> target
+      AND NOT EXISTS (SELECT 1 FROM cand_ranked x WHERE x.target = target_span.target
+                      AND x.product_id = p.product_id)
+    """,
+)
+_cte(
+    "session_top",
+    ["session_tiers"],
+    """SELECT *, row_number() OVER (PARTITION BY target
+         ORDER BY tier, top_count DESC NULLS LAST, b DESC, product_id) AS rank
+       FROM session_tiers QUALIFY rank <= 10""",
+)
+_cte(
+    "event_details",
+    ["clean"],
+    """SELECT product_id, name, category_code, brand FROM clean
+       QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY event_time, event_id) = 1""",
+)
+ORACLES["session_recommend"] = _with(
+    ["session_top", "last_touch", "all_users", "all_items", "all_mu", "event_details"],
+    f"""
+    SELECT l.user_id, t.target, t.rank, t.product_id, t.appearance_count,
+      {r6('least(greatest(mu + b_u + coalesce(b_i, 0), lo), hi)')} AS predicted_score,
+      name, category_code, brand
+    FROM last_touch l JOIN all_users USING (user_id) JOIN session_top t ON t.target = l.product_id
+    LEFT JOIN all_items i ON i.product_id = t.product_id
+    LEFT JOIN event_details d ON d.product_id = t.product_id, all_mu
+    """,
+)
+
+
+def _cold(prefix: str, clusters: str, others_first: bool, final_cut: bool) -> None:
+    _cte(
+        f"{prefix}_of",
+        [clusters, "catalog"],
+        f"""SELECT product_id AS target, coalesce(
+              (SELECT min(target) FROM {clusters} c WHERE c.target = k.product_id),
+              (SELECT min(target) FROM {clusters} c WHERE c.candidate = k.product_id)) AS cluster
+            FROM catalog k""",
+    )
+    _cte(
+        f"{prefix}_members",
+        [f"{prefix}_of", clusters],
+        f"""SELECT o.target, c.bucket, c.rank, c.candidate FROM {prefix}_of o
+            JOIN {clusters} c ON c.target = o.cluster
+            WHERE c.candidate IS NOT NULL AND c.candidate <> o.target""",
+    )
+    _cte(
+        f"{prefix}_lists",
+        [f"{prefix}_members"],
+        f"""SELECT target, bucket, rank, candidate FROM {prefix}_members
+            WHERE bucket = 'top' AND rank <= 8
+            UNION ALL
+            SELECT target, bucket, rank, candidate FROM {prefix}_members WHERE bucket = 'others'
+            QUALIFY row_number() OVER (PARTITION BY target
+              ORDER BY md5(concat('42:', target, ':', candidate))) <= 2""",
+    )
+    _cte(
+        f"{prefix}_wanted",
+        [f"{prefix}_lists", "catalog"],
+        f"""SELECT product_id AS target, coalesce(x, CAST([] AS VARCHAR[])) AS excluded,
+              greatest(10 - coalesce(len(x), 0), 0) AS needed FROM catalog LEFT JOIN
+              (SELECT target AS product_id, list(candidate) AS x FROM {prefix}_lists GROUP BY 1)
+              USING (product_id)""",
+    )
+    _names(prefix, f"{prefix}_wanted")
+    top, others = (1, 0) if others_first else (0, 1)
+    limit = "WHERE rank <= 10" if final_cut else ""
+    _cte(
+        f"{prefix}_answer",
+        [f"{prefix}_lists", f"{prefix}_similar"],
+        f"""SELECT * FROM (SELECT target, source, product_id, row_number() OVER (
+              PARTITION BY target ORDER BY tier, pos) AS rank FROM (
+            SELECT target, bucket AS source, candidate AS product_id, rank AS pos,
+                   CASE WHEN bucket = 'top' THEN {top} ELSE {others} END AS tier FROM {prefix}_lists
+            UNION ALL SELECT target, 'similar', product_id, rank, 2 FROM {prefix}_similar)) {limit}""",
+    )
+    ORACLES[prefix] = _with(
+        [f"{prefix}_answer", "details"],
+        f"""SELECT target, source, rank, product_id, name, category_code, brand
+            FROM {prefix}_answer LEFT JOIN details USING (product_id)""",
+    )
+
+
+_cold("coldstart_recommend", "clusters_8_5", False, True)
+_cold("anonymous_recommend", "clusters_5_2", True, False)
+
+# ---- rating predictors --------------------------------------------------------------------
+_cte(
+    "rated_test",
+    ["scores"],
+    """SELECT * FROM scores
+       QUALIFY row_number() OVER (ORDER BY md5(concat('7:', user_id, ':', product_id)))
+               <= round_even(0.2 * (SELECT count(*) FROM scores), 0)""",
+)
+_cte(
+    "rated",
+    ["scores", "rated_test"],
+    "SELECT * FROM scores ANTI JOIN rated_test USING (user_id, product_id)",
+)
+_baselines("rated", "rated")
+_cte(
+    "sims",
+    ["rated"],
+    """SELECT a.user_id, b.user_id AS other,
+         1 / (sum((a.score - b.score) * (a.score - b.score)) / count(*) + 1) AS sim
+       FROM rated a JOIN rated b USING (product_id) WHERE a.user_id <> b.user_id GROUP BY ALL""",
+)
+_cte(
+    "near",
+    ["rated_test", "rated", "sims"],
+    """SELECT t.user_id, t.product_id, s.other, s.sim, r.score FROM rated_test t
+       JOIN rated r ON r.product_id = t.product_id
+       JOIN sims s ON s.user_id = t.user_id AND s.other = r.user_id
+       QUALIFY row_number() OVER (PARTITION BY t.user_id, t.product_id
+         ORDER BY round(s.sim, 6) DESC, s.other) <= 40""",
+)
+_cte("user_means", ["rated"], "SELECT user_id, avg(score) AS m FROM rated GROUP BY 1")
+_cte(
+    "known",
+    ["rated_test", "user_means", "rated", "rated_mu"],
+    """SELECT t.*, mu, lo, hi, CASE WHEN product_id IN (SELECT product_id FROM rated) THEN
+         coalesce(m, mu) ELSE mu END AS base
+       FROM rated_test t LEFT JOIN user_means USING (user_id), rated_mu""",
+)
+
+
+def _predicted(name: str, needs: list[str], value: str, start: str, joins: str = "") -> None:
+    """Similarity-weighted mean of ``value`` over the neighbours, added to ``start``."""
+    ORACLES[name] = _with(
+        ["known", "near", *needs],
+        f"""SELECT k.user_id, k.product_id, {r6('k.score')} AS score,
+            {r6(f'least(greatest({start}, lo), hi)')} AS est
+            FROM known k LEFT JOIN (SELECT n.user_id, n.product_id, sum(sim * ({value})) / sum(sim) AS e
+              FROM near n {joins} GROUP BY ALL) USING (user_id, product_id)
+            LEFT JOIN rated_users ru ON ru.user_id = k.user_id
+            LEFT JOIN rated_items ri ON ri.product_id = k.product_id""",
+    )
+
+
+_both = ["rated_users", "rated_items"]
+_predicted("knn_basic", _both, "n.score", "coalesce(e, mu)")
+_predicted(
+    "knn_means", [*_both, "user_means"], "n.score - m", "base + coalesce(e, 0)",
+    "JOIN user_means um ON um.user_id = n.other",
+)
+_predicted(
+    "knn_baseline", [*_both, "rated_mu"], "n.score - x.mu - u.b_u - i.b_i",
+    "mu + coalesce(ru.b_u, 0) + coalesce(ri.b_i, 0) + coalesce(e, 0)",
+    """JOIN rated_users u ON u.user_id = n.other JOIN rated_items i ON i.product_id = n.product_id,
+       rated_mu x""",
+)
+_cte(
+    "devs",
+    ["rated"],
+    """SELECT a.product_id, b.product_id AS rated, avg(a.score - b.score) AS dev
+       FROM rated a JOIN rated b USING (user_id) WHERE a.product_id <> b.product_id GROUP BY ALL""",
+)
+ORACLES["slope_one"] = _with(
+    ["known", "devs", "rated"],
+    f"""SELECT user_id, product_id, {r6('score')} AS score,
+        {r6('least(greatest(base + coalesce(d, 0), lo), hi)')} AS est
+        FROM known LEFT JOIN (SELECT t.user_id, t.product_id, avg(dev) AS d FROM rated_test t
+          JOIN rated r USING (user_id) JOIN devs v ON v.product_id = t.product_id
+          AND v.rated = r.product_id GROUP BY ALL) USING (user_id, product_id)""",
+)
+ORACLES["normal_predictor"] = _with(
+    ["rated_test", "rated"],
+    f"""SELECT user_id, product_id, {r6('score')} AS score,
+        {r6('least(greatest(m + s * sqrt(-2 * ln(u)) * cos(2 * pi() * v), lo), hi)')} AS est
+        FROM (SELECT *, (CAST('0x' || substr(h, 1, 8) AS BIGINT) + 1) / (4294967297.0::DOUBLE) AS u,
+                (CAST('0x' || substr(h, 9, 8) AS BIGINT) + 1) / (4294967297.0::DOUBLE) AS v
+              FROM (SELECT *, md5(concat('42:', user_id, ':', product_id)) AS h FROM rated_test)),
+        (SELECT avg(score) AS m, stddev_pop(score) AS s, min(score) AS lo, max(score) AS hi
+         FROM rated)""",
+)

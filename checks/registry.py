@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,15 @@ from shelfwise.operators import baselines as base
 from shelfwise.operators import baskets as bk
 from shelfwise.operators import coldstart as cold
 from shelfwise.operators import evaluate as ev
+from shelfwise.operators import factors as fac
 from shelfwise.operators import features as ft
-from shelfwise.operators import sampling
+from shelfwise.operators import names, sampling, text
+from shelfwise.operators import predictors as pred
+from shelfwise.operators import vectors as vec
 from shelfwise.operators import weights as wt
-from shelfwise.plans import cart
+from shelfwise.plans import cart, content, session
+from shelfwise.plans import cold as coldplan
+from shelfwise.session import prepare
 from shelfwise.sources import artifacts
 from shelfwise.storage import cut
 
@@ -26,8 +32,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return fn(prepare(spark), sf)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -316,3 +326,177 @@ def weight_sweep(spark, sf):
         swept.select("weight_id", "w1", "w2", "w3", "w4", "hits", "recommended", "actual", "f1"),
         "w1", "w2", "w3", "w4", "f1",
     )
+
+
+# ---- text, neighbours, vectors -------------------------------------------------------------
+@query
+def concat_features(spark, sf):
+    return text.concat_features(fx.catalog(spark, sf))
+
+
+@query
+def tfidf_weights(spark, sf):
+    df = text.tfidf_weights(text.concat_features(fx.catalog(spark, sf)))
+    return six(df.select("product_id", "term", "tf", "weight"), "weight")
+
+
+@query
+def tfidf_documents(spark, sf):
+    docs = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), "text"
+    )
+    df = text.tfidf_weights(docs, "doc_id")
+    return six(df.select("doc_id", "term", "tf", "weight"), "weight")
+
+
+def big_rank(df):
+    return df.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def content_neighbors(spark, sf):
+    return big_rank(content.content_neighbors(fx.catalog(spark, sf)))
+
+
+@query
+def content_recommend(spark, sf):
+    model = cut(content.content_neighbors(fx.catalog(spark, sf)))
+    asked = fx.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("product_id"))
+    return big_rank(content.content_recommend(model, asked))
+
+
+@query
+def same_category_brand(spark, sf):
+    return big_rank(names.same_category_brand(fx.details(spark, sf)))
+
+
+@query
+def name_similarity(spark, sf):
+    return big_rank(names.name_similarity(fx.details(spark, sf)))
+
+
+@query
+def vector_lookup(spark, sf):
+    points = fx.vectors(spark, sf)
+    df = vec.vector_lookup(points, points.select("label"), "label")
+    return six(
+        df.select(
+            "label", "point_id", F.size("embedding").cast("bigint").alias("dims"),
+            F.element_at("embedding", 1).cast("double").alias("head"),
+            F.element_at("embedding", -1).cast("double").alias("tail"),
+        ),
+        "head", "tail",
+    )
+
+
+@query
+def vector_truncate(spark, sf):
+    df = vec.vector_truncate(fx.vectors(spark, sf), 32)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return six(
+        df.select("point_id", F.size("embedding").cast("bigint").alias("dims"), total.alias("total")),
+        "total",
+    )
+
+
+@query
+def vector_topk(spark, sf):
+    return big_rank(vec.vector_topk(fx.vectors(spark, sf)))
+
+
+@query
+def hashed_vectors(spark, sf):
+    return vec.hashed_vectors(fx.catalog(spark, sf)).select("point_id", "embedding", "name", "price")
+
+
+def product_points(spark, sf):
+    """One point per event, under the id of its session: ids repeat."""
+    return clean(spark, sf).select(
+        F.col("user_session").alias("point_id"), "event_time", "event_id", "event_type", "product_id", "price"
+    )
+
+
+@query
+def dedupe_points(spark, sf):
+    points = product_points(spark, sf)
+    bought = points.where(F.col("event_type") == "purchase")
+    others = points.where(F.col("event_type") != "purchase").drop("price")
+    df = vec.dedupe_points([bought, others], ["event_time", "event_id"])
+    return df.select("point_id", "event_id", "event_type", "product_id", "price")
+
+
+@query
+def upsert_latest(spark, sf):
+    points = product_points(spark, sf).withColumnRenamed("event_id", "version")
+    points = points.select("product_id", "version", "event_type", F.col("price").cast("string").alias("price"))
+    stored = points.where(F.col("event_type") == "view")
+    arriving = points.where(F.col("event_type") != "view")
+    arriving = arriving.withColumn("price", F.expr("CASE WHEN event_type <> 'error' THEN price END"))
+    return vec.upsert_latest(stored, arriving)
+
+
+# ---- recommendations -----------------------------------------------------------------------
+@query
+def session_candidates(spark, sf):
+    events = cut(clean(spark, sf))
+    return session.session_candidates(events, fx.last_touch(spark, sf))
+
+
+@query
+def session_recommend(spark, sf):
+    events = cut(clean(spark, sf))
+    model = base.fit_baselines(ft.user_product_scores(ft.session_features(events)))
+    df = session.session_recommend(
+        fx.last_touch(spark, sf), events, model, ft.product_details(events)
+    )
+    return six(big_rank(df), "predicted_score")
+
+
+@query
+def coldstart_recommend(spark, sf):
+    df = coldplan.cold_recommend(
+        fx.catalog(spark, sf), clusters(spark, sf), fx.details(spark, sf)
+    )
+    return big_rank(df)
+
+
+@query
+def anonymous_recommend(spark, sf):
+    small = cut(clusters(spark, sf, top_n=5, random_n=2))
+    df = coldplan.anonymous_recommend(fx.catalog(spark, sf), small, fx.details(spark, sf))
+    return big_rank(df)
+
+
+# ---- rating predictors ---------------------------------------------------------------------
+def rating_split(spark, sf):
+    return pred.split_ratings(scores(spark, sf))
+
+
+def _predictor(name, make):
+    def run(spark, sf):
+        train, test = rating_split(spark, sf)
+        return six(make(train, test).select("user_id", "product_id", "score", "est"), "score", "est")
+
+    run.__name__ = name
+    return query(run)
+
+
+_predictor("knn_basic", pred.knn_basic)
+_predictor("knn_means", pred.knn_means)
+_predictor("knn_baseline", pred.knn_baseline)
+_predictor("slope_one", pred.slope_one)
+_predictor("normal_predictor", pred.normal_predictor)
+_predictor("coclustering", pred.coclustering)
+_predictor("nmf_scores", fac.nmf_scores)
+_predictor("mf_scores", lambda train, test: fac.predict_factors(fac.fit_factors(train), test))
+
+
+@query
+def mf_grid_search(spark, sf):
+    grid = [{"rank": 4, "regParam": 0.1}, {"rank": 8, "regParam": 0.1}]
+    return fac.grid_search(scores(spark, sf), grid)
+
+
+@query
+def model_compare(spark, sf):
+    return pred.model_compare(*rating_split(spark, sf))

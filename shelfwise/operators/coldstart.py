@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.expressions import draw_key
 from ..schemas import require_columns
 from ..storage import cut
-from .pairs import LIGHT, both_directions, pair_sums
+from .pairs import LIGHT, pair_sums
 
 # Sizes of the two candidate lists.
 TOP_N = 8
@@ -21,8 +21,9 @@ def cooccurrence(events: DataFrame, light: int = LIGHT) -> DataFrame:
     require_columns(events, ["user_session", "product_id"])
     members = events.select("user_session", "product_id").distinct()
     pairs = pair_sums(members, "user_session", "product_id", light=light)
-    pairs = pairs.select("a", "b", F.col("n").cast("bigint").alias("freq"))
-    return both_directions(pairs).withColumnsRenamed({"a": "target", "b": "candidate"})
+    return pairs.select(
+        F.col("a").alias("target"), F.col("b").alias("candidate"), F.col("n").cast("bigint").alias("freq")
+    )
 
 
 def coldstart_clusters(
@@ -57,7 +58,7 @@ def coldstart_clusters(
     )
     alone = events.select(F.col("product_id").alias("target")).distinct()
     alone = alone.join(lists.select("target"), "target", "left_anti")
-    return lists.unionByName(alone, allowMissingColumns=True)
+    return cut(lists.unionByName(alone, allowMissingColumns=True))
 
 
 def cluster_for_target(clusters: DataFrame, targets: DataFrame) -> DataFrame:

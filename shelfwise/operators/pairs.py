@@ -1,23 +1,21 @@
-"""Sums over pairs of items that share a key: the one self join behind co-occurrence,
-average rating differences and rating distances.
+"""Sums over pairs of items that share a key: the one join behind co-occurrence, session
+candidates, average rating differences and rating distances.
 
 A plain self join writes every pair of every group, and one large group sits in one task. Here a
 group of up to ``light`` items is joined in the JVM, at most ``light`` pairs per input row, summed
 before the shuffle. Larger groups go another, equally exact way: items are spread over blocks and
-keys over slabs, a task sees one pair of blocks for one slab and adds up *all* of the slab's keys
-with matrix products, so it sends one row per pair of items however many keys the pair shares.
+keys over slabs; a task sees two blocks for one slab and adds up *all* of the slab's keys with
+matrix products, so it sends one row per pair of items however many keys the pair shares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, spread
 
 LIGHT = 64
 BLOCK_ITEMS = 512
@@ -27,29 +25,30 @@ _SUMS = ["n", "sx", "sy", "sxy", "sd2"]
 _PARTIAL = "a string, b string, n double, sx double, sy double, sxy double, sd2 double"
 
 
-def _block_sums(group: pd.DataFrame) -> pd.DataFrame:
-    """All pair sums of two item blocks over the keys of one slab (bounded dense matrices)."""
-    keys, row = np.unique(group["k"].to_numpy(), return_inverse=True)
-    same = bool(group["lo"].iloc[0] == group["hi"].iloc[0])
-    block = group["block"].to_numpy()
-    sides = []
-    for side in ("lo", "hi"):
-        mine = block == group[side].iloc[0]
-        items, col = np.unique(group["i"].to_numpy()[mine], return_inverse=True)
-        x = np.zeros((len(keys), len(items)))
-        m = np.zeros((len(keys), len(items)))
-        x[row[mine], col] = group["v"].to_numpy()[mine]
-        m[row[mine], col] = 1.0
-        sides.append((items, x, m))
-    (ia, xa, ma), (ib, xb, mb) = sides
+def _matrix(rows: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items, values, presence) of one block: keys x items, both of bounded size."""
+    items, col = np.unique(rows["i"].to_numpy(), return_inverse=True)
+    at = np.searchsorted(keys, rows["k"].to_numpy())
+    x = np.zeros((len(keys), len(items)))
+    m = np.zeros((len(keys), len(items)))
+    x[at, col] = rows["v"].to_numpy()
+    m[at, col] = 1.0
+    return items, x, m
+
+
+def _block_sums(unit: pd.DataFrame) -> pd.DataFrame:
+    left, right = unit[unit["left"]], unit[~unit["left"]]
+    keys = np.intersect1d(left["k"].to_numpy(), right["k"].to_numpy())
+    left, right = left[left["k"].isin(keys)], right[right["k"].isin(keys)]
+    ia, xa, ma = _matrix(left, keys)
+    ib, xb, mb = _matrix(right, keys)
     n = ma.T @ mb
-    if same:
-        n = np.triu(n, 1)
     p, q = np.nonzero(n)
+    different = ia[p] != ib[q]
+    p, q = p[different], q[different]
     sxy = (xa.T @ xb)[p, q]
-    sxx = ((xa * xa).T @ mb)[p, q]
-    syy = (ma.T @ (xb * xb))[p, q]
-    out = pd.DataFrame(
+    squares = ((xa * xa).T @ mb)[p, q] + (ma.T @ (xb * xb))[p, q]
+    return pd.DataFrame(
         {
             "a": ia[p],
             "b": ib[q],
@@ -57,38 +56,40 @@ def _block_sums(group: pd.DataFrame) -> pd.DataFrame:
             "sx": (xa.T @ mb)[p, q],
             "sy": (ma.T @ xb)[p, q],
             "sxy": sxy,
-            "sd2": np.maximum(sxx + syy - 2 * sxy, 0.0),
+            "sd2": np.maximum(squares - 2 * sxy, 0.0),
         }
     )
-    turn = out["a"] > out["b"]
-    out.loc[turn, ["a", "b", "sx", "sy"]] = out.loc[turn, ["b", "a", "sy", "sx"]].to_numpy()
-    return out
 
 
-def _light_sums(rows: DataFrame) -> DataFrame:
-    left = rows.select("k", F.col("i").alias("a"), F.col("v").alias("x"))
-    right = rows.select("k", F.col("i").alias("b"), F.col("v").alias("y"))
-    both = left.join(right, "k").where(F.col("a") < F.col("b"))
-    return both.groupBy("a", "b").agg(
+def _light_sums(left: DataFrame, right: DataFrame) -> DataFrame:
+    one = spread(left.select("k", F.col("i").alias("a"), F.col("v").alias("x")), "k")
+    two = right.select("k", F.col("i").alias("b"), F.col("v").alias("y"))
+    gap = F.col("x") - F.col("y")
+    return one.join(two, "k").where(F.col("a") != F.col("b")).groupBy("a", "b").agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum("x").alias("sx"),
         F.sum("y").alias("sy"),
         F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("sd2"),
+        F.sum(gap * gap).alias("sd2"),
     )
 
 
-def _heavy_sums(rows: DataFrame, n_items: int, n_keys: int, block: int, slab: int) -> DataFrame:
-    blocks = -(-n_items // block)
-    slabs = -(-n_keys // slab)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn(
-        "slab", F.pmod(F.xxhash64("k", F.lit(7)), F.lit(slabs)).cast("int")
-    )
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    units = units.select(
-        "k", "i", "v", "block", "slab",
-        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-    )
+def _heavy_sums(left: DataFrame, right: DataFrame, facts, block: int, slab: int) -> DataFrame:
+    blocks = -(-facts["i"] // block)
+    slabs = -(-facts["k"] // slab)
+
+    def placed(df: DataFrame, is_left: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        df = df.withColumn("slab", F.pmod(F.xxhash64("k", F.lit(7)), F.lit(slabs)).cast("int"))
+        df = df.withColumn("own", own).withColumn("other", other)
+        lo, hi = ("own", "other") if is_left else ("other", "own")
+        return df.select(
+            "k", "i", "v", "slab", F.col(lo).alias("lo"), F.col(hi).alias("hi"),
+            F.lit(is_left).alias("left"),
+        )
+
+    units = spread(placed(left, True).unionByName(placed(right, False)), "lo", "hi", "slab")
     return units.groupBy("lo", "hi", "slab").applyInPandas(_block_sums, _PARTIAL)
 
 
@@ -97,32 +98,30 @@ def pair_sums(
     key: str,
     item: str,
     value: str | None = None,
+    left: DataFrame | None = None,
     light: int = LIGHT,
     block: int = BLOCK_ITEMS,
     slab: int = SLAB_KEYS,
 ) -> DataFrame:
-    """Columns a < b, n, sx, sy, sxy, sd2 over the keys that hold both items.
+    """Ordered pairs a != b with n, sx, sy, sxy, sd2 over the keys that hold both items.
 
-    ``rows`` must be distinct on (key, item). sd2 is the sum of squared differences.
+    ``rows`` must be distinct on (key, item). sx adds up a's values, sy those of b, sd2 their
+    squared differences. ``left`` restricts the a side to its (key, item) rows.
     """
-    v = F.col(value).cast("double") if value else F.lit(1.0)
-    rows = cut(rows.select(F.col(key).alias("k"), F.col(item).alias("i"), v.alias("v")))
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+
+    def shaped(df: DataFrame) -> DataFrame:
+        v: Column = F.col(value).cast("double") if value and value in df.columns else F.lit(1.0)
+        return cut(df.select(F.col(key).alias("k"), F.col(item).alias("i"), v.alias("v")))
+
+    b_rows = shaped(rows)
+    a_rows = b_rows if left is None else shaped(left)
+    sizes = b_rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
     large = sizes.where(F.col("c") > light).select("k")
-    heavy = rows.join(large, "k", "left_semi")
+    heavy = b_rows.join(large, "k", "left_semi")
     facts = heavy.agg(F.count_distinct("i").alias("i"), F.count_distinct("k").alias("k")).first()
     if not facts["k"]:
-        return _light_sums(rows)
-    parts = _light_sums(rows.join(large, "k", "left_anti")).unionByName(
-        _heavy_sums(heavy, facts["i"], facts["k"], block, slab)
-    )
+        return _light_sums(a_rows, b_rows)
+    parts = _light_sums(
+        a_rows.join(large, "k", "left_anti"), b_rows.join(large, "k", "left_anti")
+    ).unionByName(_heavy_sums(a_rows.join(large, "k", "left_semi"), heavy, facts, block, slab))
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _SUMS])
-
-
-def both_directions(pairs: DataFrame, swap: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The pairs and their mirror images."""
-    rest = [c for c in pairs.columns if c not in ("a", "b")]
-    mirror = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), *rest)
-    if swap:
-        mirror = swap(mirror)
-    return pairs.unionByName(mirror)

@@ -21,4 +21,15 @@ def local_session(cores: str = "8", app: str = "shelfwise") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return prepare(spark)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Runtime settings the plans rely on; safe to repeat on any session.
+
+    Unions must not take over the partitioning of their inputs: adaptive execution may still
+    change the number of partitions of one of them, and the union then fails.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
