@@ -984,3 +984,25 @@ ORACLES["normal_predictor"] = _with(
         (SELECT avg(score) AS m, stddev_pop(score) AS s, min(score) AS lo, max(score) AS hi
          FROM rated)""",
 )
+
+# ---- streams, in their batch form ---------------------------------------------------------
+_cte(
+    "records",
+    [],
+    """
+    SELECT event_id AS "offset", CASE WHEN event_type = 'error' THEN NULL
+      WHEN event_type = 'signup' THEN '{bad'
+      ELSE concat('{"event_time":"', strftime(ts, '%Y-%m-%d %H:%M:%S'), ' UTC","event_type":"',
+                  event_type, '"}') END AS message FROM events
+    """,
+)
+ORACLES["stream_filter"] = _with(
+    ["records"],
+    """
+    SELECT "offset", message, epoch_us(t) AS event_us FROM (
+      SELECT *, try_strptime(CASE WHEN json_valid(message) THEN
+        json_extract_string(message, '$.event_time') END, '%Y-%m-%d %H:%M:%S UTC') AS t
+      FROM records WHERE message IS NOT NULL)
+    WHERE t IS NULL OR (epoch_us((SELECT max(ts) FROM events)) - epoch_us(t)) / 1e6 <= 3600
+    """,
+)

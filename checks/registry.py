@@ -24,6 +24,7 @@ from shelfwise.plans import cold as coldplan
 from shelfwise.session import prepare
 from shelfwise.sources import artifacts
 from shelfwise.storage import cut
+from shelfwise.streaming import retrain
 
 from . import fixtures as fx
 
@@ -500,3 +501,12 @@ def mf_grid_search(spark, sf):
 @query
 def model_compare(spark, sf):
     return pred.model_compare(*rating_split(spark, sf))
+
+
+# ---- streams, in their batch form ----------------------------------------------------------
+@query
+def stream_filter(spark, sf):
+    records = fx.retrain_records(spark, sf)
+    now = fx.table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    kept = retrain.accepted(records, now)
+    return kept.select("offset", "message", micros(F.col("event_time")).alias("event_us"))

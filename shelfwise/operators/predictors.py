@@ -180,10 +180,10 @@ def coclustering(
 ) -> DataFrame:
     """Co-cluster mean plus the user's and the product's offset from their clusters' means.
 
-    The numbers of clusters are fixed, so cluster means are broadcast. Each epoch assigns users,
-    then products, to the cluster with the least squared error; the errors for all clusters of a
-    row are summed side by side in one aggregation, and the assignments are written to cut the
-    plan.
+    The numbers of clusters are fixed, so cluster means are a handful of numbers. Each epoch
+    assigns users, then products, to the cluster with the least squared error; the errors for all
+    clusters of a row are summed side by side in one aggregation, and the assignments are written
+    to cut the plan. When nobody moves, further epochs would repeat the same state.
     """
     mean, _, low, high = scale(train)
     ratings = cut(train.select("user_id", "product_id", "score"))
@@ -195,13 +195,20 @@ def coclustering(
 
     users, items = start("user_id", "g", user_clusters), start("product_id", "h", item_clusters)
 
-    def means(by: list[str], name: str) -> dict[tuple, float]:
-        joined = ratings.join(users, "user_id").join(items, "product_id")
-        rows = joined.groupBy(*by).agg(F.avg("score").alias(name)).collect()
-        return {tuple(r[b] for b in by): r[name] for r in rows}
-
     def tables() -> tuple[dict, dict, dict]:
-        return means(["g", "h"], "m"), means(["g"], "m"), means(["h"], "m")
+        """Mean score per cell, user cluster and product cluster, from one small result."""
+        joined = ratings.join(users, "user_id").join(items, "product_id")
+        cells = joined.groupBy("g", "h").agg(F.sum("score").alias("s"), F.count("score").alias("n"))
+        rows = cells.orderBy("g", "h").collect()
+        out = []
+        for by in (("g", "h"), ("g",), ("h",)):
+            sums: dict[tuple, list[float]] = {}
+            for r in rows:
+                total = sums.setdefault(tuple(r[b] for b in by), [0.0, 0.0])
+                total[0] += r["s"]
+                total[1] += r["n"]
+            out.append({k: total / n for k, (total, n) in sums.items()})
+        return out[0], out[1], out[2]
 
     def pick(table: dict, *keys: Column) -> Column:
         """At most user_clusters * item_clusters cases."""
@@ -229,13 +236,21 @@ def coclustering(
             gap = F.col("score") - estimate(t, g, h)
             errors.append(F.struct(F.sum(gap * gap).alias("e"), F.lit(c).alias("c")))
         best = joined.groupBy(key).agg(
-            F.array_min(F.array(*errors))["c"].alias(name), F.any_value(f"mean_{name}").alias(f"mean_{name}")
+            F.array_min(F.array(*errors))["c"].alias("__new"),
+            F.any_value(f"mean_{name}").alias(f"mean_{name}"),
+            F.any_value(name).alias("__old"),
         )
-        return cut(best.select(key, f"mean_{name}", name))
+        moved = (F.col("__new") != F.col("__old")).alias("moved")
+        return cut(best.select(key, f"mean_{name}", F.col("__new").alias(name), moved))
 
     for _ in range(epochs):
-        users = assign("user_id", "g", user_clusters, tables())
-        items = assign("product_id", "h", item_clusters, tables())
+        t = tables()
+        users = assign("user_id", "g", user_clusters, t)
+        items = assign("product_id", "h", item_clusters, t)
+        still = users.where("moved").isEmpty() and items.where("moved").isEmpty()
+        users, items = users.drop("moved"), items.drop("moved")
+        if still:
+            break
     t = tables()
     df = test.join(users, "user_id", "left").join(items, "product_id", "left")
     est = (

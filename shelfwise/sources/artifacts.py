@@ -25,7 +25,7 @@ def latest_artifact(names: DataFrame, wanted: DataFrame, suffix: str = r"\.pkl")
     """
     # One prefix per kind of model: a handful of rows, whatever the number of stored models.
     hit = F.col("name").startswith(F.col("prefix"))
-    found = names.join(F.broadcast(wanted.select("prefix")), hit).withColumn(
+    found = names.select("name").join(F.broadcast(wanted.select("prefix")), hit).withColumn(
         "at", name_time(F.col("name"), F.col("prefix"), suffix)
     )
     newest = F.max_by("name", F.when(F.col("at").isNotNull(), F.struct("at", "name")))
