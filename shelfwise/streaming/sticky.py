@@ -21,7 +21,7 @@ class StickyCluster(StatefulProcessor):
     product is among its members, or when the request has no cluster at all.
     """
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -66,8 +66,12 @@ def with_clusters(requests: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
-def sticky_clusters(requests: DataFrame, clusters: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Streaming: the cluster each request is answered from. Needs the RocksDB state store."""
+def sticky_clusters(requests: DataFrame, clusters: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Streaming: the cluster each request is answered from. Needs the RocksDB state store.
+
+    With ``ttl_ms`` a user's state expires; such a query keeps running batches to look for
+    expired state, so it is stopped by its caller and does not end by itself.
+    """
     return (
         with_clusters(requests, clusters)
         .groupBy("user_id")
@@ -75,6 +79,6 @@ def sticky_clusters(requests: DataFrame, clusters: DataFrame, ttl_ms: int = 86_4
             statefulProcessor=StickyCluster(ttl_ms),
             outputStructType=OUTPUT,
             outputMode="Append",
-            timeMode="ProcessingTime",
+            timeMode="None" if ttl_ms is None else "ProcessingTime",
         )
     )
