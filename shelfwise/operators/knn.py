@@ -103,14 +103,31 @@ def _other_cells(pivots: pd.DataFrame, radius: dict[int, float]):
     return run
 
 
+def _products(asked: pd.DataFrame, data: pd.DataFrame) -> np.ndarray:
+    """Inner products of two bounded sets of rows. For sparse queries only the entries they have
+    are multiplied, a row of the transposed data at a time."""
+    columns = _columns(data)
+    entries = asked["val"].map(len).sum()
+    matrix = _dense(data, columns)
+    if entries > 0.1 * len(asked) * len(columns):
+        return _dense(asked, columns) @ matrix.T
+    by_column = np.ascontiguousarray(matrix.T)
+    out = np.zeros((len(asked), len(data)))
+    for r, (idx, val) in enumerate(zip(asked["idx"], asked["val"], strict=True)):
+        at = np.minimum(np.searchsorted(columns, idx), len(columns) - 1)
+        ok = columns[at] == np.asarray(idx)
+        out[r] = np.asarray(val)[ok] @ by_column[at[ok]]
+    return out
+
+
 def _nearest(k: int):
     def run(unit: pd.DataFrame) -> pd.DataFrame:
         data = unit[~unit["query"]].sort_values("id")
         asked = unit[unit["query"]]
         if not len(data) or not len(asked):
-            return pd.DataFrame({"id": [], "neighbor": [], "similarity": []})
-        columns = _columns(data)
-        steps = np.rint((_dense(asked, columns) @ _dense(data, columns).T) * 10**PLACES)
+            ids = {c: pd.Series(dtype=object) for c in ("id", "neighbor")}
+            return pd.DataFrame(ids | {"similarity": pd.Series(dtype=float)})
+        steps = np.rint(_products(asked, data) * 10**PLACES)
         # One integer per pair orders by similarity, then by id.
         key = steps.astype(np.int64) * len(data) - np.arange(len(data))
         take = min(k, len(data))

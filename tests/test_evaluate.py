@@ -111,3 +111,29 @@ def test_best_trial_and_invalid_order(spark):
     got = {r["weight_id"]: r["f1"] for r in sweep.collect()}
     assert got == {0: -1.0, 1: 1.0}
     assert wt.best_weights(sweep) == pytest.approx((0.075, 0.3, 0.6, 0.15))
+
+
+@pytest.mark.parametrize(("blocks", "k"), [(2, 3), (7, 1), (512, 4)])
+def test_rating_neighbors_in_blocks(spark, blocks, k):
+    import random
+
+    r = random.Random(blocks)
+    rows = [(f"u{u}", f"p{i}", r.randrange(1, 6) / 2) for u in range(20) for i in range(15) if r.random() < 0.4]
+    r.shuffle(rows)
+    train, test = rows[30:], rows[:30]
+    got = {}
+    near = pred.rating_neighbors(ratings(spark, train), ratings(spark, test), k, blocks)
+    for n in near.collect():
+        got.setdefault((n["user_id"], n["product_id"]), set()).add((n["other"], round(n["sim"], 6), n["score"]))
+    by_user = {}
+    for u, i, v in train:
+        by_user.setdefault(u, {})[i] = v
+    for u, i, _ in test:
+        found = []
+        for v, theirs in by_user.items():
+            common = set(by_user.get(u, {})) & set(theirs)
+            if v != u and i in theirs and common:
+                msd = sum((by_user[u][c] - theirs[c]) ** 2 for c in common) / len(common)
+                found.append((-round(1 / (msd + 1), 6), v, theirs[i]))
+        want = {(v, -s, score) for s, v, score in sorted(found)[:k]}
+        assert got.get((u, i), set()) == want
