@@ -97,47 +97,64 @@ def _other_cells(pivots: pd.DataFrame, radius: dict[int, float]):
             open_ = (best >= rows["tau"].to_numpy()[:, None] - SLACK) & (r >= 0)
             open_[np.arange(len(rows)), rows["cell"].to_numpy()] = False
             keep = open_.any(axis=1)
-            out = rows.loc[keep, ["id", "idx", "val"]]
+            out = rows.loc[keep, ["id", "idx", "val", "tau"]]
             yield out.assign(cells=[np.flatnonzero(o).astype(np.int32) for o in open_[keep]])
 
     return run
 
 
+def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, row number, value) of all entries of sparse rows, sorted by column."""
+    lengths = rows["idx"].map(len).to_numpy()
+    column = np.concatenate(rows["idx"].to_list()).astype(int)
+    value = np.concatenate(rows["val"].to_list())
+    order = np.argsort(column, kind="stable")
+    return column[order], np.repeat(np.arange(len(rows)), lengths)[order], value[order]
+
+
 def _products(asked: pd.DataFrame, data: pd.DataFrame) -> np.ndarray:
-    """Inner products of two bounded sets of rows. For sparse queries only the entries they have
-    are multiplied, a row of the transposed data at a time."""
-    columns = _columns(data)
-    entries = asked["val"].map(len).sum()
-    matrix = _dense(data, columns)
-    if entries > 0.1 * len(asked) * len(columns):
-        return _dense(asked, columns) @ matrix.T
-    by_column = np.ascontiguousarray(matrix.T)
+    """Inner products of two bounded sets of rows; sparse rows only meet in shared columns."""
+    if not (asked["idx"].map(len).any() and data["idx"].map(len).any()):
+        columns = _columns(data)
+        return _dense(asked, columns) @ _dense(data, columns).T
     out = np.zeros((len(asked), len(data)))
-    for r, (idx, val) in enumerate(zip(asked["idx"], asked["val"], strict=True)):
-        at = np.minimum(np.searchsorted(columns, idx), len(columns) - 1)
-        ok = columns[at] == np.asarray(idx)
-        out[r] = np.asarray(val)[ok] @ by_column[at[ok]]
+    qc, qr, qv = _postings(asked)
+    dc, dr, dv = _postings(data)
+    for c in np.intersect1d(qc, dc):
+        q = slice(*np.searchsorted(qc, [c, c + 1]))
+        d = slice(*np.searchsorted(dc, [c, c + 1]))
+        out[np.ix_(qr[q], dr[d])] += np.outer(qv[q], dv[d])
     return out
 
 
 def _nearest(k: int):
+    """The k best of a unit's data for each of its queries, at least as good as their ``tau``."""
+
     def run(unit: pd.DataFrame) -> pd.DataFrame:
         data = unit[~unit["query"]].sort_values("id")
         asked = unit[unit["query"]]
         if not len(data) or not len(asked):
             ids = {c: pd.Series(dtype=object) for c in ("id", "neighbor")}
             return pd.DataFrame(ids | {"similarity": pd.Series(dtype=float)})
-        steps = np.rint(_products(asked, data) * 10**PLACES)
-        # One integer per pair orders by similarity, then by id.
-        key = steps.astype(np.int64) * len(data) - np.arange(len(data))
-        take = min(k, len(data))
-        best = np.argpartition(-key, take - 1, axis=1)[:, :take]
-        row = np.repeat(np.arange(len(asked)), take)
+        sims = _products(asked, data)
+        floor = asked["tau"].to_numpy() - SLACK
+        if (floor < -1).any():
+            # One integer per pair orders by rounded similarity, then by id.
+            key = np.rint(sims * 10**PLACES).astype(np.int64) * len(data) - np.arange(len(data))
+            take = min(k, len(data))
+            col = np.argpartition(-key, take - 1, axis=1)[:, :take].ravel()
+            row = np.repeat(np.arange(len(asked)), take)
+        else:
+            row, col = np.nonzero(sims >= floor[:, None])
+        steps = np.rint(sims[row, col] * 10**PLACES)
+        order = np.lexsort((col, -steps, row))
+        row, col, steps = row[order], col[order], steps[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         return pd.DataFrame(
             {
-                "id": asked["id"].to_numpy()[row],
-                "neighbor": data["id"].to_numpy()[best.ravel()],
-                "similarity": steps[row, best.ravel()] / 10**PLACES + 0.0,
+                "id": asked["id"].to_numpy()[row[keep]],
+                "neighbor": data["id"].to_numpy()[col[keep]],
+                "similarity": steps[keep] / 10**PLACES + 0.0,
             }
         )
 
@@ -170,12 +187,12 @@ def _search(asked: DataFrame, data: DataFrame, sizes: dict[int, int], k: int, ch
     d = data.where(wanted).select(
         "id", "idx", "val", "cell", own.alias("dc"),
         F.explode(F.sequence(F.lit(0), _lookup(qchunks, cell) - 1)).alias("qc"),
-        F.lit(False).alias("query"),
+        F.lit(False).alias("query"), F.lit(0.0).alias("tau"),
     )
     q = asked.where(wanted).select(
         "id", "idx", "val", "cell",
         F.explode(F.sequence(F.lit(0), _lookup(dchunks, cell) - 1)).alias("dc"),
-        mine.alias("qc"), F.lit(True).alias("query"),
+        mine.alias("qc"), F.lit(True).alias("query"), "tau",
     )
     units = spread(d.unionByName(q), "cell", "dc", "qc")
     return units.groupBy("cell", "dc", "qc").applyInPandas(_nearest(k), _FOUND)
@@ -200,17 +217,19 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, chunk: int = CHUNK_ROW
     asked = data if same else cut(queries.select("id", "idx", "val").mapInPandas(place, _ROW))
     facts = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
     sizes = {f["cell"]: f["n"] for f in facts}
-    first = cut(_best(_search(asked, data, sizes, k, chunk), k))
+    # Nothing is known yet: any similarity is welcome.
+    nothing = F.lit(-2.0)
+    first = cut(_best(_search(asked.withColumn("tau", nothing), data, sizes, k, chunk), k))
     if len(pivots) == 1:
         return first
     # A query that has not found k neighbours yet must look everywhere.
     tau = first.groupBy("id").agg(F.min("similarity").alias("tau"), F.count(F.lit(1)).alias("n"))
     tau = tau.select("id", F.when(F.col("n") >= k, F.col("tau")).alias("tau"))
-    rest = asked.join(tau, "id", "left").withColumn("tau", F.coalesce("tau", F.lit(-2.0)))
+    rest = asked.join(tau, "id", "left").withColumn("tau", F.coalesce("tau", nothing))
     more = rest.mapInPandas(
         _other_cells(pivots, {f["cell"]: f["r"] for f in facts}),
-        "id string, idx array<int>, val array<double>, cells array<int>",
+        "id string, idx array<int>, val array<double>, tau double, cells array<int>",
     )
-    more = cut(more.select("id", "idx", "val", F.explode("cells").alias("cell")))
+    more = cut(more.select("id", "idx", "val", "tau", F.explode("cells").alias("cell")))
     second = _search(more, data, sizes, k, chunk)
     return _best(first.drop("rank").unionByName(second), k)
