@@ -159,14 +159,15 @@ def prefix_filter(events: DataFrame, prefix: str = "electronics") -> DataFrame:
     return events.where(F.col("category_code").startswith(prefix))
 
 
-def profile(tables: dict[str, DataFrame]) -> DataFrame:
+def profile(tables: dict[str, DataFrame], approximate: bool = False) -> DataFrame:
     """Rows, distinct users and distinct products of each named table."""
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     out = None
     for stage, df in tables.items():
         row = df.agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.count_distinct("user_id").alias("n_users"),
-            F.count_distinct("product_id").alias("n_products"),
+            distinct("user_id").alias("n_users"),
+            distinct("product_id").alias("n_products"),
         ).select(F.lit(stage).alias("stage"), "*")
         out = row if out is None else out.unionByName(row)
     return out
@@ -184,14 +185,11 @@ def recent_sessions(events: DataFrame, targets: DataFrame | None = None, months:
     """Sessions that hold a product within ``months`` of that product's last event."""
     if targets is not None:
         events = events.join(targets.select("product_id").distinct(), "product_id", "left_semi")
-    spans = events.groupBy("product_id").agg(F.max("event_time").alias("last_time"))
+    last = events.groupBy("product_id", "user_session").agg(F.max("event_time").alias("t"))
+    spans = last.groupBy("product_id").agg(F.max("t").alias("last_time"))
     spans = spans.withColumn("cutoff", F.col("last_time") - F.make_ym_interval(F.lit(0), F.lit(months)))
     return (
-        events.select("product_id", "user_session", "event_time")
-        .join(spans, "product_id")
-        .where(F.col("event_time") >= F.col("cutoff"))
+        last.join(spans, "product_id")
+        .where(F.col("t") >= F.col("cutoff"))
         .select("product_id", "user_session", "cutoff", "last_time")
-        .distinct()
     )
-
-

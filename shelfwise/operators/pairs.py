@@ -1,9 +1,8 @@
 """Sums over pairs of items that share a key: the one join behind co-occurrence, session
 candidates, average rating differences and rating distances.
 
-A plain self join writes every pair of every group, and one large group sits in one task. Here a
-group of up to ``light`` items is joined in the JVM, at most ``light`` pairs per input row, summed
-before the shuffle. Larger groups go another, equally exact way: items are spread over blocks and
+A plain self join writes every pair of every group, and one large group sits in one task. Here only
+a group of bounded size is joined in the JVM, and its pairs are summed before the shuffle. Larger groups go another, equally exact way: items are spread over blocks and
 keys over slabs; a task sees two blocks for one slab and adds up *all* of the slab's keys with
 matrix products, so it sends one row per pair of items however many keys the pair shares.
 """
@@ -107,6 +106,9 @@ def pair_sums(
 
     ``rows`` must be distinct on (key, item). sx adds up a's values, sy those of b, sd2 their
     squared differences. ``left`` restricts the a side to its (key, item) rows.
+
+    A row of a joined group is written once per member, a row of a large group once per block on
+    each side; so a group counts as large only where the blocks are the cheaper way.
     """
 
     def shaped(df: DataFrame) -> DataFrame:
@@ -116,7 +118,9 @@ def pair_sums(
     b_rows = shaped(rows)
     a_rows = b_rows if left is None else shaped(left)
     sizes = b_rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    large = sizes.where(F.col("c") > light).select("k")
+    n_items = b_rows.agg(F.approx_count_distinct("i")).first()[0]
+    limit = max(light, 2 * -(-n_items // block))
+    large = sizes.where(F.col("c") > limit).select("k")
     heavy = b_rows.join(large, "k", "left_semi")
     facts = heavy.agg(F.count_distinct("i").alias("i"), F.count_distinct("k").alias("k")).first()
     if not facts["k"]:

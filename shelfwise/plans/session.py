@@ -20,36 +20,46 @@ FREQUENT_TAKEN = 3
 
 
 def session_candidates(
-    events: DataFrame, targets: DataFrame, months: int = MONTHS, light: int = LIGHT
+    events: DataFrame,
+    targets: DataFrame,
+    months: int = MONTHS,
+    light: int = LIGHT,
+    slice_unit: str = "hour",
 ) -> DataFrame:
     """target, product_id, appearance_count: event rows of other products in the sessions that
     hold the target, within ``months`` before the target's last event.
 
-    Rows are counted per session and product first. A session that lies inside the target's time
-    window as a whole adds these counts; only sessions across its border are read row by row.
+    Sessions are cut into time slices, and rows are counted per slice and product first. A slice
+    that lies inside the target's time window adds these counts; only the slices across its two
+    borders are read row by row, so a session that runs for long does not multiply its rows by
+    its products.
     """
+    part = F.date_trunc(slice_unit, "event_time")
+    rows = events.select("user_session", "product_id", "event_time", part.alias("part"))
     counts = cut(
-        events.groupBy("user_session", "product_id").agg(
+        rows.groupBy("user_session", "part", "product_id").agg(
             F.count(F.lit(1)).alias("n"),
             F.min("event_time").alias("lo"),
             F.max("event_time").alias("hi"),
         )
     )
-    extent = counts.groupBy("user_session").agg(F.min("lo").alias("s_lo"), F.max("hi").alias("s_hi"))
-    holds = cut(
-        recent_sessions(events, targets, months)
-        .join(extent, "user_session")
-        .withColumn("whole", (F.col("s_lo") >= F.col("cutoff")) & (F.col("s_hi") <= F.col("last_time")))
-    )
+    extent = counts.groupBy("user_session", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    holds = recent_sessions(events, targets, months).join(extent, "user_session")
+    holds = holds.where((F.col("hi") >= F.col("cutoff")) & (F.col("lo") <= F.col("last_time")))
+    whole = (F.col("lo") >= F.col("cutoff")) & (F.col("hi") <= F.col("last_time"))
+    holds = cut(holds.withColumn("whole", whole))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("key", F.concat_ws("\u0001", "user_session", F.col("part").cast("string")))
+
     inside = pair_sums(
-        counts, "user_session", "product_id", "n", holds.where("whole"), light=light
+        keyed(counts), "key", "product_id", "n", keyed(holds.where("whole")).drop("n"), light=light
     ).select(F.col("a").alias("target"), F.col("b").alias("product_id"), F.col("sy").alias("c"))
     across = holds.where(~F.col("whole")).select(
-        F.col("product_id").alias("target"), "user_session", "cutoff", "last_time"
+        F.col("product_id").alias("target"), "user_session", "part", "cutoff", "last_time"
     )
-    rows = events.select("user_session", "product_id", "event_time")
     border = (
-        across.join(rows, "user_session")
+        across.join(rows, ["user_session", "part"])
         .where(F.col("event_time").between(F.col("cutoff"), F.col("last_time")))
         .where(F.col("product_id") != F.col("target"))
         .groupBy("target", "product_id")
