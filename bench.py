@@ -44,7 +44,7 @@ def seconds(spark, sf: str, name: str) -> float:
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "shelfwise-bench")
     names = sys.argv[1:] or HEADLINES
     out = {}
