@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import ring, urls
+from shelfwise.llm import bpe, packing, ring, urls
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +20,18 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query
 def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
