@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, packing, ring, urls
+from shelfwise.llm import bpe, packing, quality, ring, urls
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op8_ring_shards(spark, sf_dir):
     return ring.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 ORACLES["op5_url_filter"] = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0
