@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, packing, quality, ring, urls
+from shelfwise.llm import bpe, neardup, packing, quality, ring, spotsigs, urls
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 @query
 def op2_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +43,11 @@ def op5_url_filter(spark, sf_dir):
     return urls.filter_urls(pages, urls.contract_rules(spark), urls.listed_sites(pages))
 
 
+@query
+def op7_spot_signatures(spark, sf_dir):
+    return spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_ring_shards(spark, sf_dir):
     return ring.shard_documents(table(spark, sf_dir, "documents"))
