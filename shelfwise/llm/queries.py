@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, neardup, packing, quality, ring, spotsigs, urls
+from shelfwise.llm import bpe, curves, neardup, packing, quality, ring, spotsigs, urls
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@query
+def op4_hilbert_neighbours(spark, sf_dir):
+    return curves.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
