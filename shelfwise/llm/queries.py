@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, curves, neardup, packing, quality, ring, spotsigs, urls
+from shelfwise.llm import bpe, curves, neardup, packing, quality, ring, spotsigs, substrings, urls
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op5_url_filter(spark, sf_dir):
     return urls.filter_urls(pages, urls.contract_rules(spark), urls.listed_sites(pages))
 
 
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_spot_signatures(spark, sf_dir):
     return spotsigs.compare_neighbours(table(spark, sf_dir, "documents"))
