@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, curves, neardup, packing, quality, ring, spotsigs, substrings, urls
+from shelfwise.llm import bpe, curves, neardup, packing, pii, quality, ring, spotsigs, substrings, urls
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op8_ring_shards(spark, sf_dir):
     return ring.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_personal_data(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
