@@ -216,3 +216,21 @@ def _joined_by_id(real: DataFrame, by_class: DataFrame) -> DataFrame:
     top = linking.components(links).select(F.col("id").alias("root"), F.col("root").alias("top"))
     found = by_class.join(top, "root", "left")
     return found.select("h1", "h2", F.coalesce("top", "root").alias("root"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, without the documents that are not the kept one of their component.
+
+    Rows without a doc_id stay. Of rows that share a doc_id the smallest stays, in the order of
+    the columns.
+    """
+    found = near_duplicates(docs, size, percent)
+    gone = written(found.where("not kept").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = written(twice)
+    if twice.isEmpty():
+        return left
+    many = left.join(twice, "doc_id", "left_semi").groupBy("doc_id")
+    one = many.agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(one)

@@ -470,7 +470,8 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     blanks); texts without any stay as they are, and ``n_chars`` follows if it is there."""
     rows = keyed(docs)
     at = docs.columns.index("text")
-    count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,13 +480,13 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
                 before = own.column(at).to_pylist()
                 pairs = zip(before, removed, left, strict=True)
                 after = [x.decode() if gone else old for old, gone, x in pairs]
-                columns = [own.column(i) for i in range(len(docs.columns))]
+                columns = [own.column(i) for i in range(len(names))]
                 columns[at] = pa.array(after, pa.string())
                 if count is not None:
                     old = own.column(count).to_pylist()
                     new = [len(t) if gone else o for t, gone, o in zip(after, removed, old, strict=True)]
                     columns[count] = pa.array(new, own.column(count).type)
-                yield pa.RecordBatch.from_arrays(columns, docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     marked = rows.join(marks(rows, length), ["d", "h"], "left")
     return marked.select(*docs.columns, "anchors", "kept").mapInArrow(run, docs.schema)
