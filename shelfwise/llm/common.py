@@ -6,7 +6,8 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.storage import cut
 
@@ -27,6 +28,21 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete working tables that nothing will read any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name clashes with those of working columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about ``most`` bytes each; a long text stands alone."""
     if not len(column):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import whole_row, written
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 JOIN = "\x01"  # stands for a single separator inside an e-mail domain or a row of digits
@@ -348,8 +348,11 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all columns, with every span of ``text`` replaced by its kind in brackets;
     ``n_chars`` follows in the rows that change. Of overlapping spans the first names the gap."""
-    found = with_spans(found_spans(docs), model)
-    by_place = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    rows = docs.select(whole_row(docs), "doc_id", "text")
+    found = with_spans(found_spans(rows), model)
+    by_place = F.array_sort(
+        F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    )
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def step(acc, x):
@@ -363,14 +366,13 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
         by_place, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, rest))
     )
     changed = F.size("spans") > 0
-    out = found.withColumn("_new", F.when(changed, cut).otherwise(F.col("text")))
+    out = found.withColumn("new", F.when(changed, cut).otherwise(F.col("text")))
     columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_new").alias("text"))
-        elif c == "n_chars":
-            kept = F.when(changed, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c))
-            columns.append(kept.alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
+    for field_ in docs.schema:
+        own = F.col("row").getField(field_.name)
+        if field_.name == "text":
+            own = F.col("new")
+        elif field_.name == "n_chars":
+            own = F.when(changed, F.length("new").cast(field_.dataType)).otherwise(own)
+        columns.append(own.alias(field_.name))
     return out.select(*columns)

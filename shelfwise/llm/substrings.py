@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import text_slices, texts_of, written
+from shelfwise.llm.common import discard, text_slices, texts_of, whole_row, written
 from shelfwise.llm.pretoken import mix, powers
 from shelfwise.llm.words import Words
 
@@ -70,9 +70,12 @@ class Stretches:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The key of a document: its id, null before all others, and the hash of its text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64(text))
+    """The key of a document: its id, null before all others, and the hash of its text, which is
+    left at 0 where no id is there twice."""
+    out = docs.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    if out.groupBy("d").count().where("count > 1").isEmpty():
+        return out.withColumn("h", F.lit(0).cast("long"))
+    return out.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -378,20 +381,27 @@ def marks(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     single = own.select("d", "h", F.explode("anchors").alias("anchor"))
     # rows of one document that come twice are one document
     twice = single.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    lists = (
-        single.join(written(twice), "anchor", "left_semi")
+    twice = written(twice)
+    lists = written(
+        single.join(twice, "anchor", "left_semi")
         .groupBy("d", "h")
         .agg(F.collect_set("anchor").alias("anchors"))
     )
-    lists = written(lists)
+    discard(own, twice)
     marked = docs.select("d", "h", "text").join(lists, ["d", "h"])
-    found = repeated_stretches(marked, length)
-    found = found.groupBy("anchor", "content").agg(F.min(F.struct("d", "h", "start", "words")).alias("first"))
-    stretches = written(found.select("anchor", "first.*"))
+    # written before they are grouped, so that the moved texts need not be kept meanwhile
+    found = written(repeated_stretches(marked, length))
+    single = found.groupBy("anchor", "content").agg(
+        F.min(F.struct("d", "h", "start", "words")).alias("first")
+    )
+    stretches = written(single.select("anchor", "first.*"))
+    discard(found)
     cut = written(pieces(stretches, length))
+    discard(stretches)
     shards = max(1, math.ceil(cut.count() / SHARD_ROWS))
-    first = first_windows(cut, length, shards)
-    return written(lists.join(first, ["d", "h"], "left"))
+    out = written(lists.join(first_windows(cut, length, shards), ["d", "h"], "left"))
+    discard(lists, cut)
+    return out
 
 
 def covered(words: Words, lists: pa.Array, kept: pa.Array, length: int) -> np.ndarray:
@@ -468,25 +478,24 @@ def dedup_digest(docs: DataFrame, length: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """``docs``, all columns, with repeated windows cut out of ``text`` (the rest joined by single
     blanks); texts without any stay as they are, and ``n_chars`` follows if it is there."""
-    rows = keyed(docs)
-    at = docs.columns.index("text")
     names = docs.columns
+    rows = keyed(docs.select(whole_row(docs), "doc_id", "text"))
+    at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            columns = batch.column(0).flatten()
             for a, b, _, removed, left in kept_texts(batch, length):
-                own = batch.slice(a, b - a)
-                before = own.column(at).to_pylist()
-                pairs = zip(before, removed, left, strict=True)
+                own = [c.slice(a, b - a) for c in columns]
+                pairs = zip(own[at].to_pylist(), removed, left, strict=True)
                 after = [x.decode() if gone else old for old, gone, x in pairs]
-                columns = [own.column(i) for i in range(len(names))]
-                columns[at] = pa.array(after, pa.string())
                 if count is not None:
-                    old = own.column(count).to_pylist()
+                    old = own[count].to_pylist()
                     new = [len(t) if gone else o for t, gone, o in zip(after, removed, old, strict=True)]
-                    columns[count] = pa.array(new, own.column(count).type)
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    own[count] = pa.array(new, own[count].type)
+                own[at] = pa.array(after, pa.string())
+                yield pa.RecordBatch.from_arrays(own, names)
 
     marked = rows.join(marks(rows, length), ["d", "h"], "left")
-    return marked.select(*docs.columns, "anchors", "kept").mapInArrow(run, docs.schema)
+    return marked.select("row", "text", "anchors", "kept").mapInArrow(run, docs.schema)
