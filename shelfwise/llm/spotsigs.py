@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm import linking
 from shelfwise.llm.common import text_slices, texts_of, written
 from shelfwise.llm.pretoken import mix, span_hashes
 from shelfwise.llm.words import LETTERS, Words
@@ -238,43 +239,35 @@ def size_part(n: Column, least: float) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(1 / least))).cast("int")
 
 
-def similar_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """``a, b, similarity``: pairs of representatives of different signature sets.
+def similar_documents(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``doc_id, component_id``: documents whose signature sets have ``percent`` of their union
+    in common are linked; component_id is the smallest doc_id that links reach.
 
-    Equal sets are one representative, the smallest doc_id. Sets are partitioned by their length
-    and meet in a partition through one of the signatures that two similar sets must share: the
-    first of each set in one common order, rarest first. Then lengths prune and Jaccard decides.
+    Equal sets are one, that of the smallest doc_id. Sets are partitioned by their length and
+    meet in their own and the next partition through one of the signatures that two similar
+    sets must share: the first of each set in one common order, rarest first. Lengths prune
+    before Jaccard decides. Rows without a doc_id have no component.
     """
-    sets = fingerprints(docs).groupBy("signs").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(sets.where(F.col("doc_id").isNotNull()))
-    sized = sets.select("doc_id", F.size("signs").alias("n"), "signs")
-    rows = sized.select("doc_id", "n", F.explode("signs").alias("sign"))
-    often = rows.groupBy("sign").agg(F.count("*").alias("freq"))
-    order = Window.partitionBy("doc_id").orderBy("freq", "sign")
-    ranked = rows.join(often, "sign").withColumn("rank", F.row_number().over(order))
+    least = percent / 100
+    rows = written(fingerprints(docs))
+    sets = written(
+        rows.where("doc_id is not null").groupBy("signs").agg(F.min("doc_id").alias("id"))
+        .select("id", F.col("signs").alias("items"))
+    )
+    single = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("sign"))
+    often = single.groupBy("sign").agg(F.count("*").alias("freq"))
+    order = Window.partitionBy("id").orderBy("freq", "sign")
+    ranked = single.join(often, "sign").withColumn("rank", F.row_number().over(order))
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     part = size_part(F.col("n"), least)
-    left = prefix.select("sign", "doc_id", "n", part.alias("part"))
-    right = prefix.select(
-        "sign",
-        F.col("doc_id").alias("other"),
-        F.col("n").alias("m"),
-        F.explode(F.array(part, part + 1)).alias("part"),
-    )
-    fits = (F.col("m") <= F.col("n")) & (F.col("m") >= F.col("n") * least)
-    one_way = (F.col("m") < F.col("n")) | (F.col("other") < F.col("doc_id"))
-    met = left.join(right, ["part", "sign"]).where(fits & one_way).select("doc_id", "other").distinct()
-    a = sets.select("doc_id", "signs")
-    b = sets.select(F.col("doc_id").alias("other"), F.col("signs").alias("signs_b"))
-    shared = F.size(F.array_intersect("signs", "signs_b"))
-    alike = shared / (F.size("signs") + F.size("signs_b") - shared)
-    return (
-        met.join(a, "doc_id")
-        .join(b, "other")
-        .select(
-            F.least("doc_id", "other").alias("a"),
-            F.greatest("doc_id", "other").alias("b"),
-            alike.alias("similarity"),
-        )
-        .where(F.col("similarity") >= least)
+    members = prefix.select(
+        "id", "n", "sign", F.explode(F.array(part, part + 1)).alias("part")
+    ).select(F.xxhash64("part", "sign").alias("key"), "id", "n").distinct()
+    alike = lambda a, b: F.least(a("n"), b("n")) * 100 >= F.greatest(a("n"), b("n")) * percent
+    roots = linking.link(written(members), sets, percent, alike)
+    by_set = sets.join(roots, "id", "left").select(
+        F.col("items").alias("signs"), F.coalesce("root", "id").alias("component_id")
     )
+    found = rows.where("doc_id is not null").join(by_set, "signs").select("doc_id", "component_id")
+    none = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
+    return found.unionByName(none)
