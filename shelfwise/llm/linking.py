@@ -1,21 +1,30 @@
 """Links between sets that share a group, and the components that the links make.
 
 Groups (equal band hashes, shared rare signatures) may hold any share of all sets. They are never
-paired out: a round compares every member of a group with one centre of the group, members and
-centre that are already connected are not compared again, and after each round the components
-are computed anew. When few pairs of unconnected members are left in the groups, or rounds stop
-helping, these remaining pairs are all compared, so that no link is lost.
+paired out: in each round every member of a group is compared with one centre of the group, first
+with the member that shares groups with most others, and members that are already connected
+with it are left out. The members of groups that still hold unconnected ones then meet in blocks of
+bounded size: a task counts the common items of all its members with matrix products and
+returns no more links than connect them, so that no link between different sets is lost.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import written
+from shelfwise.llm.common import discard, written
 
-#: Rounds with one centre in each group before all remaining pairs are compared.
-ROUNDS = 4
+#: Rounds with one centre in each group before the remaining members meet.
+ROUNDS = 2
+#: Items of the sets in a block, and parts in which the groups are done one after the other, so
+#: that only one part's sets lie in shuffles at a time.
+BLOCK_ITEMS = 1_000_000
+PARTS = 4
+#: Members, and items, of one matrix.
+TILE, ITEMS = 1024, 4096
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -73,51 +82,51 @@ def link(members: DataFrame, sets: DataFrame, percent: int, may_match) -> DataFr
 
     ``members`` (key, id and the columns that ``may_match`` reads) and ``sets`` (id, items) are
     written tables; every id of a group has its set. ``may_match(a, b)`` makes a condition from
-    two functions that give a member's columns: pairs that fail it are not compared in full.
+    two functions that give a member's columns: pairs that fail it are not compared in full
+    with a centre.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    near = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("near"))
+    members = written(members.join(near, "id"))
     links = roots = None
     for round_no in range(ROUNDS + 1):
-        if roots is None:
-            known = members.withColumn("label", F.col("id"))
-        else:
-            known = members.join(roots.select("id", F.col("root").alias("label")), "id", "left")
-            known = known.withColumn("label", F.coalesce("label", "id"))
-        split = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        open_keys = split.where("lo <> hi").select("key")
-        known = written(known.join(open_keys, "key", "left_semi"))
-        sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-        per_key = sizes.groupBy("key").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("own")
-        )
-        todo = per_key.agg(
-            F.sum("n").alias("n"), F.sum((F.col("n").cast("double") ** 2 - F.col("own")) / 2)
-        ).first()
-        if not todo[0]:
+        known = _unconnected(members, roots)
+        if known.isEmpty():
             break
-        last = round_no == ROUNDS or todo[1] <= 2 * todo[0]
-        if last:
-            pairs = _remaining(known, extra, may_match)
+        if round_no < ROUNDS:
+            pairs = written(_with_centres(known, extra, may_match, round_no))
+            found = written(confirm(pairs, sets, percent))
+            discard(pairs)
         else:
-            pairs = _with_centres(known, extra, may_match, round_no)
-        found = written(confirm(written(pairs), sets, percent))
+            found = _in_blocks(known.select("key", "id", "label"), sets, percent)
+        discard(known)
         links = found if links is None else links.unionByName(found)
         roots = written(components(links))
-        if last:
-            break
     if roots is None:
         return members.select("id", F.col("id").alias("root")).limit(0)
     return roots
 
 
+def _unconnected(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members, with their label, of the groups that hold more than one label."""
+    if roots is None:
+        known = members.withColumn("label", F.col("id"))
+    else:
+        known = members.join(roots.select("id", F.col("root").alias("label")), "id", "left")
+        known = known.withColumn("label", F.coalesce("label", "id"))
+    split = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return written(known.join(split.where("lo <> hi").select("key"), "key", "left_semi"))
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def _with_centres(known: DataFrame, extra: list[str], may_match, round_no: int) -> DataFrame:
-    """Each member with the centre of its group: the smallest id, in later rounds another one
-    for each group."""
-    first = F.col("id") if round_no == 0 else F.xxhash64("id", "key", F.lit(round_no))
+    """Each member with the centre of its group: the one that shares most groups with others,
+    in later rounds any other."""
+    first = -F.col("near") if round_no == 0 else F.xxhash64("id", "key", F.lit(round_no))
     centres = known.groupBy("key").agg(
         F.min(F.struct(first.alias("first"), "id", "label", *extra)).alias("c")
     )
@@ -126,9 +135,84 @@ def _with_centres(known: DataFrame, extra: list[str], may_match, round_no: int)
     return met.select(*_pair(F.col("id"), F.col("c.id"))).distinct()
 
 
-def _remaining(known: DataFrame, extra: list[str], may_match) -> DataFrame:
-    """All pairs of members of a group that no links connect yet."""
-    other = known.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "label", *extra)])
-    met = known.join(other, "key").where(F.col("label") < F.col("o_label"))
-    met = met.where(may_match(lambda c: F.col(c), lambda c: F.col(f"o_{c}")))
-    return met.select(*_pair(F.col("id"), F.col("o_id"))).distinct()
+LINKS = "a long, b long"
+
+
+def _in_blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect the members of each group (key, id, label) as far as any do."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        found = connecting_links(
+            rows["id"].to_numpy(), rows["label"].to_numpy(), rows["items"].combine_chunks(), percent
+        )
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    sized = sets.select("id", F.size("items").alias("n"))
+    weight = known.join(sized, "id").groupBy("key").agg(F.sum("n").alias("n"))
+    weight = weight.select("key", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    weight = written(weight)
+    found = None
+    for part in range(PARTS):
+        own = known.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(PARTS)) == part)
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        dealt = own.join(weight, "key").withColumn("own", block)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.join(sets, "id").select(
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
+            "id", "label", "items",
+        )
+        links = written(dealt.groupBy("unit").applyInArrow(compare, LINKS))
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def connecting_links(ids: np.ndarray, labels: np.ndarray, items: pa.Array, percent: int):
+    """Pairs (two lists) of similar sets with different labels, no more than connect the labels."""
+    sizes = np.diff(items.offsets.to_numpy())
+    _, code, often = np.unique(
+        items.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True
+    )
+    row = np.repeat(np.arange(len(ids)), sizes)
+    shared = often[code] > 1  # items of one set only are in no intersection
+    number = np.cumsum(often > 1) - 1
+    row, code = row[shared], number[code[shared]]
+    width = int(number[-1]) + 1 if len(number) else 0
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    group = np.unique(labels, return_inverse=True)[1]
+    root = list(range(int(group.max(initial=-1)) + 1))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    left, right = [], []
+    for p in range(0, len(ids), TILE):
+        for q in range(0, p + TILE, TILE):
+            if q >= len(ids):
+                break
+            n, m = sizes[p : p + TILE], sizes[q : q + TILE]
+            common = np.zeros((len(n), len(m)), np.float32)
+            for low in range(0, width, ITEMS):
+                a, b = np.searchsorted(code, (low, low + ITEMS))
+                common += _presence(row[a:b], code[a:b] - low, p, len(n)) @ _presence(
+                    row[a:b], code[a:b] - low, q, len(m)
+                ).T
+            alike = common * (100 + percent) >= percent * (n[:, None] + m[None, :])
+            alike &= group[p : p + TILE][:, None] != group[q : q + TILE][None, :]
+            for i, j in zip(*np.nonzero(alike), strict=True):
+                x, y = top(group[p + i]), top(group[q + j])
+                if x != y:
+                    root[x] = y
+                    left.append(int(ids[p + i]))
+                    right.append(int(ids[q + j]))
+    return left, right
+
+
+def _presence(row: np.ndarray, code: np.ndarray, first: int, count: int) -> np.ndarray:
+    out = np.zeros((count, ITEMS), np.float32)
+    inside = (row >= first) & (row < first + count)
+    out[row[inside] - first, code[inside]] = 1
+    return out
