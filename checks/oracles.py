@@ -8,10 +8,13 @@ from __future__ import annotations
 
 # name -> (CTEs it depends on, body)
 _CTE: dict[str, tuple[list[str], str]] = {}
+_RECURSIVE: set[str] = set()
 
 
-def _cte(name: str, needs: list[str], body: str) -> None:
+def _cte(name: str, needs: list[str], body: str, recursive: bool = False) -> None:
     _CTE[name] = (needs, body)
+    if recursive:
+        _RECURSIVE.add(name)
 
 
 def _with(needs: list[str], body: str) -> str:
@@ -26,8 +29,10 @@ def _with(needs: list[str], body: str) -> str:
 
     for n in needs:
         visit(n)
-    parts = [f"{n} AS MATERIALIZED ({_CTE[n][1]})" for n in order]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    parts = [
+        f"{n} AS {'' if n in _RECURSIVE else 'MATERIALIZED '}({_CTE[n][1]})" for n in order
+    ]
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
 def r6(x: str) -> str:
@@ -315,27 +320,25 @@ _cte(
 )
 ORACLES["basket_items"] = _with(["basket_items"], "SELECT * FROM basket_items")
 _cte("min_freq", ["brand_ids"], "SELECT ceil(0.001 * count(*)) AS m FROM brand_ids")
-_cte("w1", ["basket_items"], "SELECT basket, [item] AS items, item AS last FROM basket_items")
-SET_SIZES = range(1, 7)
-for _k in SET_SIZES:
-    _cte(
-        f"f{_k}",
-        [f"w{_k}", "min_freq"],
-        f"""SELECT items, count(*) AS freq FROM w{_k} GROUP BY items
-            HAVING count(*) >= (SELECT m FROM min_freq)""",
-    )
-    _cte(
-        f"w{_k + 1}",
-        [f"w{_k}", f"f{_k}", "basket_items"],
-        f"""SELECT w.basket, list_append(w.items, b.item) AS items, b.item AS last
-            FROM w{_k} w SEMI JOIN f{_k} USING (items)
-            JOIN basket_items b ON b.basket = w.basket AND b.item > w.last""",
-    )
+# Every round adds one item to the frequent sets of a basket; the recursion ends by itself when no
+# set is frequent any more. All baskets' copies of a set carry its count.
 _cte(
-    "itemsets",
-    [f"f{_k}" for _k in SET_SIZES],
-    " UNION ALL ".join(f"SELECT * FROM f{_k}" for _k in SET_SIZES),
+    "grown",
+    ["basket_items", "min_freq"],
+    """
+    SELECT basket, items, last, freq FROM (
+      SELECT basket, [item] AS items, item AS last, count(*) OVER (PARTITION BY item) AS freq
+      FROM basket_items) WHERE freq >= (SELECT m FROM min_freq)
+    UNION ALL
+    SELECT basket, items, last, freq FROM (
+      SELECT basket, items, last, count(*) OVER (PARTITION BY items) AS freq FROM (
+        SELECT g.basket, list_append(g.items, b.item) AS items, b.item AS last
+        FROM grown g JOIN basket_items b ON b.basket = g.basket AND b.item > g.last))
+    WHERE freq >= (SELECT m FROM min_freq)
+    """,
+    recursive=True,
 )
+_cte("itemsets", ["grown"], "SELECT items, any_value(freq) AS freq FROM grown GROUP BY items")
 ORACLES["frequent_itemsets"] = _with(
     ["itemsets"], "SELECT array_to_string(items, ',') AS items, len(items) AS size, freq FROM itemsets"
 )

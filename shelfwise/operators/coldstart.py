@@ -9,18 +9,18 @@ from pyspark.sql.window import Window
 from ..functions.expressions import draw_key
 from ..schemas import require_columns
 from ..storage import cut
-from .pairs import LIGHT, pair_sums
+from .pairs import CHUNK, pair_sums
 
 # Sizes of the two candidate lists.
 TOP_N = 8
 RANDOM_N = 5
 
 
-def cooccurrence(events: DataFrame, light: int = LIGHT) -> DataFrame:
+def cooccurrence(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """target, candidate, freq: number of sessions that hold both. Symmetric, no self pairs."""
     require_columns(events, ["user_session", "product_id"])
     members = events.select("user_session", "product_id").distinct()
-    pairs = pair_sums(members, "user_session", "product_id", light=light)
+    pairs = pair_sums(members, "user_session", "product_id", chunk=chunk)
     return pairs.select(
         F.col("a").alias("target"), F.col("b").alias("candidate"), F.col("n").cast("bigint").alias("freq")
     )
@@ -31,7 +31,7 @@ def coldstart_clusters(
     top_n: int = TOP_N,
     random_n: int = RANDOM_N,
     seed: int | str = 42,
-    light: int = LIGHT,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """target, bucket, rank, candidate, freq.
 
@@ -40,7 +40,7 @@ def coldstart_clusters(
     top_n + random_n smallest of all partners, so both lists come from limits that are applied
     before the shuffle. A product without partners keeps one row with null candidate.
     """
-    pairs = cut(cooccurrence(events, light))
+    pairs = cut(cooccurrence(events, chunk))
     by_freq = Window.partitionBy("target").orderBy(F.desc("freq"), "candidate")
     top = pairs.withColumn("rank", F.row_number().over(by_freq)).where(F.col("rank") <= top_n)
     by_draw = Window.partitionBy("target").orderBy("__h", "candidate")

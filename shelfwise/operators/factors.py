@@ -33,8 +33,9 @@ class Factors:
 
 def _numbered(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (
-        cut(dense_index(ratings, "user_id", "u")),
-        cut(dense_index(ratings, "product_id", "i")),
+        # the factorization takes 32-bit ids only; a larger number fails in the cast
+        cut(dense_index(ratings, "user_id", "u").withColumn("u", F.col("u").cast("int"))),
+        cut(dense_index(ratings, "product_id", "i").withColumn("i", F.col("i").cast("int"))),
     )
 
 

@@ -89,21 +89,22 @@ def _removed_terms(targets: DataFrame, details: DataFrame, stop_words: list[str]
 def similar_names(
     targets: DataFrame,
     details: DataFrame,
-    needed: int = LIST_SIZE,
-    most_excluded: int = LIST_SIZE,
     stop_words: list[str] | None = None,
 ) -> DataFrame:
     """target, rank, product_id, similarity: the closest names in the target's category and brand.
 
-    ``targets`` has target, excluded (array, at most ``most_excluded`` ids) and needed (int, at
-    most ``needed``). The corpus of a target is its own name and all names of its group that are
+    ``targets`` has target, excluded (array of ids) and needed (int); the first ids kept per
+    name and group follow from the longest list and the largest number in it. The corpus of a target is its own name and all names of its group that are
     not excluded; document frequencies are those of the group less the excluded names. Only names
     that share a term with the target are compared, each pair once; the others have similarity 0
     and follow in id order, for which a few first ids per group are enough.
     """
     if stop_words is None:
         stop_words = StopWordsRemover.loadDefaultStopWords("english")
-    slots = needed + most_excluded + 1
+    targets = cut(targets)
+    most = targets.agg(F.max("needed"), F.max(F.size("excluded"))).first()
+    needed = most[0] or 0
+    slots = needed + max(most[1] or 0, 0) + 1
     classes = cut(_name_classes(details, slots, stop_words))
     own = details.select(
         F.col("product_id").alias("target"), *GROUP, F.coalesce("name", F.lit("")).alias("name")
@@ -169,4 +170,4 @@ def name_similarity(details: DataFrame, targets: DataFrame | None = None, n: int
     wanted = wanted.distinct().select(
         "target", F.array().cast("array<string>").alias("excluded"), F.lit(n).alias("needed")
     )
-    return similar_names(wanted, details, n, 0)
+    return similar_names(wanted, details)

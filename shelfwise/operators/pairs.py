@@ -1,95 +1,35 @@
 """Sums over pairs of items that share a key: the one join behind co-occurrence, session
-candidates, average rating differences and rating distances.
+candidates and average rating differences.
 
-A plain self join writes every pair of every group, and one large group sits in one task. Here only
-a group of bounded size is joined in the JVM, and its pairs are summed before the shuffle. Larger groups go another, equally exact way: items are spread over blocks and
-keys over slabs; a task sees two blocks for one slab and adds up *all* of the slab's keys with
-matrix products, so it sends one row per pair of items however many keys the pair shares.
+A plain self join puts all pairs of one key in one task. Here every key's items are cut into chunks
+of bounded size, and two chunks of a key meet in a unit of their own; a small key is a single
+unit. Without a left side each pair is made once and mirrored after it is summed.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, spread
+from ..storage import cut
 
-LIGHT = 64
-BLOCK_ITEMS = 512
-SLAB_KEYS = 4096
+# Items of a key in one chunk, on average: a unit makes about the square of it in pairs.
+CHUNK = 1024
 
 _SUMS = ["n", "sx", "sy", "sxy", "sd2"]
-_PARTIAL = "a string, b string, n double, sx double, sy double, sxy double, sd2 double"
-
-
-def _matrix(rows: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(items, values, presence) of one block: keys x items, both of bounded size."""
-    items, col = np.unique(rows["i"].to_numpy(), return_inverse=True)
-    at = np.searchsorted(keys, rows["k"].to_numpy())
-    x = np.zeros((len(keys), len(items)))
-    m = np.zeros((len(keys), len(items)))
-    x[at, col] = rows["v"].to_numpy()
-    m[at, col] = 1.0
-    return items, x, m
-
-
-def _block_sums(unit: pd.DataFrame) -> pd.DataFrame:
-    left, right = unit[unit["left"]], unit[~unit["left"]]
-    keys = np.intersect1d(left["k"].to_numpy(), right["k"].to_numpy())
-    left, right = left[left["k"].isin(keys)], right[right["k"].isin(keys)]
-    ia, xa, ma = _matrix(left, keys)
-    ib, xb, mb = _matrix(right, keys)
-    n = ma.T @ mb
-    p, q = np.nonzero(n)
-    different = ia[p] != ib[q]
-    p, q = p[different], q[different]
-    sxy = (xa.T @ xb)[p, q]
-    squares = ((xa * xa).T @ mb)[p, q] + (ma.T @ (xb * xb))[p, q]
-    return pd.DataFrame(
-        {
-            "a": ia[p],
-            "b": ib[q],
-            "n": n[p, q],
-            "sx": (xa.T @ mb)[p, q],
-            "sy": (ma.T @ xb)[p, q],
-            "sxy": sxy,
-            "sd2": np.maximum(squares - 2 * sxy, 0.0),
-        }
-    )
 
 
-def _light_sums(left: DataFrame, right: DataFrame) -> DataFrame:
-    one = spread(left.select("k", F.col("i").alias("a"), F.col("v").alias("x")), "k")
-    two = right.select("k", F.col("i").alias("b"), F.col("v").alias("y"))
-    gap = F.col("x") - F.col("y")
-    return one.join(two, "k").where(F.col("a") != F.col("b")).groupBy("a", "b").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum("x").alias("sx"),
-        F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum(gap * gap).alias("sd2"),
-    )
+def _chunks(rows: DataFrame, chunk: int) -> DataFrame:
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    return counts.select("k", F.ceil(F.col("c") / chunk).cast("int").alias("chunks"))
 
 
-def _heavy_sums(left: DataFrame, right: DataFrame, facts, block: int, slab: int) -> DataFrame:
-    blocks = -(-facts["i"] // block)
-    slabs = -(-facts["k"] // slab)
+def _of(chunks: str) -> Column:
+    return F.pmod(F.xxhash64("i"), F.col(chunks)).cast("int")
 
-    def placed(df: DataFrame, is_left: bool) -> DataFrame:
-        own = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        df = df.withColumn("slab", F.pmod(F.xxhash64("k", F.lit(7)), F.lit(slabs)).cast("int"))
-        df = df.withColumn("own", own).withColumn("other", other)
-        lo, hi = ("own", "other") if is_left else ("other", "own")
-        return df.select(
-            "k", "i", "v", "slab", F.col(lo).alias("lo"), F.col(hi).alias("hi"),
-            F.lit(is_left).alias("left"),
-        )
 
-    units = spread(placed(left, True).unionByName(placed(right, False)), "lo", "hi", "slab")
-    return units.groupBy("lo", "hi", "slab").applyInPandas(_block_sums, _PARTIAL)
+def _all(chunks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(chunks) - 1))
 
 
 def pair_sums(
@@ -98,17 +38,13 @@ def pair_sums(
     item: str,
     value: str | None = None,
     left: DataFrame | None = None,
-    light: int = LIGHT,
-    block: int = BLOCK_ITEMS,
-    slab: int = SLAB_KEYS,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Ordered pairs a != b with n, sx, sy, sxy, sd2 over the keys that hold both items.
 
     ``rows`` must be distinct on (key, item). sx adds up a's values, sy those of b, sd2 their
-    squared differences. ``left`` restricts the a side to its (key, item) rows.
-
-    A row of a joined group is written once per member, a row of a large group once per block on
-    each side; so a group counts as large only where the blocks are the cheaper way.
+    squared differences. ``left`` restricts the a side to its (key, item) rows. A row is copied
+    once for each chunk of the other side.
     """
 
     def shaped(df: DataFrame) -> DataFrame:
@@ -117,15 +53,33 @@ def pair_sums(
 
     b_rows = shaped(rows)
     a_rows = b_rows if left is None else shaped(left)
-    sizes = b_rows.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    n_items = b_rows.agg(F.approx_count_distinct("i")).first()[0]
-    limit = max(light, 2 * -(-n_items // block))
-    large = sizes.where(F.col("c") > limit).select("k")
-    heavy = b_rows.join(large, "k", "left_semi")
-    facts = heavy.agg(F.count_distinct("i").alias("i"), F.count_distinct("k").alias("k")).first()
-    if not facts["k"]:
-        return _light_sums(a_rows, b_rows)
-    parts = _light_sums(
-        a_rows.join(large, "k", "left_anti"), b_rows.join(large, "k", "left_anti")
-    ).unionByName(_heavy_sums(a_rows.join(large, "k", "left_semi"), heavy, facts, block, slab))
-    return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    b_chunks = _chunks(b_rows, chunk)
+    a_chunks = b_chunks if left is None else _chunks(a_rows, chunk)
+    sizes = cut(
+        a_chunks.withColumnRenamed("chunks", "ca").join(b_chunks.withColumnRenamed("chunks", "cb"), "k")
+    )
+    one = a_rows.join(sizes, "k").select(
+        "k", _of("ca").alias("u"), _all("cb").alias("w"), F.col("i").alias("a"), F.col("v").alias("x")
+    )
+    two = b_rows.join(sizes, "k").select(
+        "k", _all("ca").alias("u"), _of("cb").alias("w"), F.col("i").alias("b"), F.col("v").alias("y")
+    )
+    apart = F.col("a") != F.col("b") if left is not None else F.col("a") < F.col("b")
+    gap = F.col("x") - F.col("y")
+    sums = one.join(two, ["k", "u", "w"]).where(apart).groupBy("a", "b").agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum("x").alias("sx"),
+        F.sum("y").alias("sy"),
+        F.sum(F.col("x") * F.col("y")).alias("sxy"),
+        F.sum(gap * gap).alias("sd2"),
+    )
+    if left is not None:
+        return sums
+    both = F.array(
+        F.struct("a", "b", *_SUMS),
+        F.struct(
+            F.col("b").alias("a"), F.col("a").alias("b"), "n",
+            F.col("sy").alias("sx"), F.col("sx").alias("sy"), "sxy", "sd2",
+        ),
+    )
+    return sums.select(F.inline(both))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.expressions import draw_key, rounded
 from ..storage import cut, spread
 from .baselines import Baselines, fit_baselines, predict_baselines, rating_errors
-from .pairs import LIGHT, pair_sums
+from .pairs import CHUNK, pair_sums
 from .sampling import sample_fraction
 
 # Usual defaults of the predictors.
@@ -53,15 +53,6 @@ def clip(est: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(est, F.lit(low)), F.lit(high))
 
 
-def user_similarity(train: DataFrame, light: int = LIGHT) -> DataFrame:
-    """user_id, other, sim = 1 / (mean squared difference + 1) over products both rated."""
-    sums = pair_sums(train, "product_id", "user_id", "score", light=light)
-    return sums.select(
-        F.col("a").alias("user_id"), F.col("b").alias("other"),
-        (1 / (F.col("sd2") / F.col("n") + 1)).alias("sim"),
-    )
-
-
 def _no_neighbors() -> pd.DataFrame:
     ids = {c: pd.Series(dtype=object) for c in ("user_id", "product_id", "other")}
     return pd.DataFrame(ids | {c: pd.Series(dtype=float) for c in ("sim", "score")})
@@ -219,11 +210,11 @@ def knn_baseline(
     return _finish(_from_neighbors(based, others, "raw", gap), low, high)
 
 
-def slope_one(train: DataFrame, test: DataFrame, light: int = LIGHT) -> DataFrame:
+def slope_one(train: DataFrame, test: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """User mean plus the mean, over the user's products, of the average score difference between
     the test product and each of them."""
     mean, _, low, high = scale(train)
-    sums = pair_sums(train, "user_id", "product_id", "score", light=light)
+    sums = pair_sums(train, "user_id", "product_id", "score", chunk=chunk)
     slopes = cut(
         sums.select(
             F.col("a").alias("product_id"), F.col("b").alias("rated"),

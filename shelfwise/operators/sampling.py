@@ -64,7 +64,7 @@ def dense_index(values: DataFrame, column: str, index: str = "idx", ranges: int
     )
     rank = F.row_number().over(Window.partitionBy("__range").orderBy(column)) - 1
     return placed.join(F.broadcast(offsets), "__range").select(
-        column, (F.col("__before") + rank).cast("int").alias(index)
+        column, (F.col("__before") + rank).cast("bigint").alias(index)
     )
 
 

@@ -73,7 +73,8 @@ def weight_sweep(
         for r in rows
         if r["valid"]
     ]
-    scored = offsets.select("user_id", "product_id", F.inline(F.array(*structs)))
+    found = F.array(*structs).cast("array<struct<weight_id:int,raw:double>>")
+    scored = offsets.select("user_id", "product_id", F.inline(found))
     order = Window.partitionBy("weight_id", "user_id").orderBy(
         F.desc(rounded(F.col("raw"))), "product_id"
     )

@@ -51,7 +51,7 @@ def cold_recommend(
     targets = targets.withColumn(
         "excluded", F.coalesce("excluded", F.array().cast("array<string>"))
     ).withColumn("needed", F.greatest(F.lit(size) - F.size("excluded"), F.lit(0)))
-    fill = similar_names(targets, details, size, TOP_N + OTHERS_TAKEN)
+    fill = similar_names(targets, details)
     tier = {"others": 0, "top": 1} if others_first else {"top": 0, "others": 1}
     every = lists.select(
         "target", F.col("bucket").alias("source"), "pos", "product_id"

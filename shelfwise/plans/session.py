@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.expressions import rounded
 from ..operators.baselines import Baselines
 from ..operators.features import recent_sessions
-from ..operators.pairs import LIGHT, pair_sums
+from ..operators.pairs import CHUNK, pair_sums
 from ..storage import cut
 
 # Window in months, list size, and the tier of frequent candidates.
@@ -23,7 +23,7 @@ def session_candidates(
     events: DataFrame,
     targets: DataFrame,
     months: int = MONTHS,
-    light: int = LIGHT,
+    chunk: int = CHUNK,
     slice_unit: str = "hour",
 ) -> DataFrame:
     """target, product_id, appearance_count: event rows of other products in the sessions that
@@ -53,7 +53,7 @@ def session_candidates(
         return df.withColumn("key", F.concat_ws("\u0001", "user_session", F.col("part").cast("string")))
 
     inside = pair_sums(
-        keyed(counts), "key", "product_id", "n", keyed(holds.where("whole")).drop("n"), light=light
+        keyed(counts), "key", "product_id", "n", keyed(holds.where("whole")).drop("n"), chunk=chunk
     ).select(F.col("a").alias("target"), F.col("b").alias("product_id"), F.col("sy").alias("c"))
     across = holds.where(~F.col("whole")).select(
         F.col("product_id").alias("target"), "user_session", "part", "cutoff", "last_time"

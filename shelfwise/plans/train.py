@@ -9,7 +9,14 @@ from ..operators import baskets, coldstart, evaluate, features, weights
 from ..operators.baselines import Baselines, fit_baselines
 from ..operators.factors import fit_factors
 from ..schemas import CATALOG, require_columns, require_rows
-from ..sources.artifacts import announce, announced, latest_artifact, read_model, stamped_name
+from ..sources.artifacts import (
+    VERSION_PATTERN,
+    announce,
+    announced,
+    latest_artifact,
+    new_name,
+    read_model,
+)
 from ..storage import cut
 from .content import K, content_neighbors
 
@@ -21,12 +28,12 @@ RULES = "association_rules"
 
 
 def _write(df: DataFrame, root: str, name: str, part: str = "") -> None:
-    df.write.mode("overwrite").parquet("/".join(x for x in (root.rstrip("/"), name, part) if x))
+    df.write.mode("errorifexists").parquet("/".join(x for x in (root.rstrip("/"), name, part) if x))
 
 
 def train_content(catalog: DataFrame, root: str, k: int = K, at: str | None = None, **limits) -> str:
     require_columns(catalog, CATALOG.fieldNames())
-    name = stamped_name(catalog.sparkSession, CONTENT, at)
+    name = new_name(catalog.sparkSession, CONTENT, at)
     first = catalog.groupBy("product_id").agg(
         F.min(F.struct([c for c in CATALOG.fieldNames() if c != "product_id"])).alias("r")
     )
@@ -46,7 +53,7 @@ def train_collaborative(
     Tables: scale (one row), users, items, factors of users and items, and the trials.
     """
     spark = events.sparkSession
-    name = stamped_name(spark, COLLABORATIVE, at)
+    name = new_name(spark, COLLABORATIVE, at)
     events = cut(events)
     sums = cut(features.share_sums(features.session_features(events)))
     truth, held = evaluate.purchases(events), evaluate.holdout_users(events)
@@ -94,14 +101,14 @@ def train_coldstart(
     clusters = coldstart.coldstart_clusters(events, top_n, random_n)
     if not save:
         return None
-    name = stamped_name(events.sparkSession, COLDSTART, at)
+    name = new_name(events.sparkSession, COLDSTART, at)
     _write(clusters, root, name)
     return name
 
 
 def train_rules(events: DataFrame, root: str, prefix: str = "electronics", at: str | None = None) -> str:
     """Rules on the products whose cleaned category starts with ``prefix``."""
-    name = stamped_name(events.sparkSession, RULES, at)
+    name = new_name(events.sparkSession, RULES, at)
     prepared = baskets.prepare_baskets(features.prefix_filter(events, prefix))
     _write(baskets.basket_rules(baskets.mine(prepared)), root, name)
     return name
@@ -125,4 +132,4 @@ def current_models(spark: SparkSession, root: str) -> dict[str, str]:
     wanted = spark.createDataFrame(
         [(p, p) for p in (CONTENT, COLLABORATIVE, COLDSTART, RULES)], "prefix string, default_name string"
     )
-    return {r["prefix"]: r["name"] for r in latest_artifact(announced(spark, root), wanted, "$").collect()}
+    return {r["prefix"]: r["name"] for r in latest_artifact(announced(spark, root), wanted, VERSION_PATTERN).collect()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +13,13 @@ from ..functions.expressions import ARTIFACT_TIME_FORMAT, artifact_stamp
 # Fixed value: model names end in two-digit day, month, year, hour and minute.
 STAMP_PATTERN = r"_(\d{2}_\d{2}_\d{2}_\d{2}_\d{2})"
 
+# What may follow the time in the names of our own models: nothing, or a version.
+VERSION_PATTERN = r"(?:-[0-9a-f]+)?$"
+
 
 def name_time(name: Column, prefix: Column, suffix: str = r"\.pkl") -> Column:
     """Time in a model name, null where there is none or it is no valid time."""
-    pattern = F.concat(prefix, F.lit(STAMP_PATTERN + suffix))
+    pattern = F.concat(F.lit(r"\Q"), prefix, F.lit(r"\E" + STAMP_PATTERN + suffix))
     stamp = F.call_function("regexp_extract", name, pattern, F.lit(1))
     return F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit(ARTIFACT_TIME_FORMAT))
 
@@ -41,10 +47,16 @@ def stamped_name(spark: SparkSession, prefix: str, at: str | None = None) -> str
     return f"{prefix}_{spark.range(1).select(artifact_stamp(ts)).first()[0]}"
 
 
+def new_name(spark: SparkSession, prefix: str, at: str | None = None) -> str:
+    """A stamped name with a version that grows with every call, so that no two models share a
+    name and the later of one minute is the newer one."""
+    return f"{stamped_name(spark, prefix, at)}-{time.time_ns():016x}{uuid.uuid4().hex[:6]}"
+
+
 def write_model(df: DataFrame, root: str, prefix: str, at: str | None = None) -> str:
-    """Write a model table under its stamped name and return the name."""
-    name = stamped_name(df.sparkSession, prefix, at)
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    """Write a model table under a new name and return the name."""
+    name = new_name(df.sparkSession, prefix, at)
+    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{name}")
     return name
 
 
@@ -54,6 +66,9 @@ def read_model(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def announced(spark: SparkSession, root: str) -> DataFrame:
     """Names of the finished models below ``root``, as announced in its ``artifacts`` table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/artifacts")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "prefix string, name string")
     return spark.read.schema("prefix string, name string").json(f"{root.rstrip('/')}/artifacts")
 
 
@@ -65,5 +80,5 @@ def announce(spark: SparkSession, root: str, models: dict[str, str]) -> None:
 
 def read_latest(spark: SparkSession, root: str, prefix: str, default: str | None = None) -> DataFrame:
     wanted = spark.createDataFrame([(prefix, default or prefix)], "prefix string, default_name string")
-    row = latest_artifact(announced(spark, root), wanted, suffix="$").first()
+    row = latest_artifact(announced(spark, root), wanted, suffix=VERSION_PATTERN).first()
     return read_model(spark, root, row["name"])

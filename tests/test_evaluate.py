@@ -90,14 +90,6 @@ def test_predictors_on_unknown_users(spark):
     assert slope == pytest.approx({"x": mean, "u1": 2.0 + 2.0, "u3": mean})
 
 
-@pytest.mark.parametrize("light", [1, 64])
-def test_large_products_give_the_same_similarity(spark, light):
-    sims = pred.user_similarity(ratings(spark), light).collect()
-    got = {(r["user_id"], r["other"]): r["sim"] for r in sims}
-    want = {("u1", "u2"): 1 / 2, ("u1", "u3"): 1 / 5}
-    want |= {(b, a): s for (a, b), s in want.items()}
-    assert got == pytest.approx(want)
-
 
 def test_best_trial_and_invalid_order(spark):
     sums = spark.createDataFrame(

@@ -38,9 +38,9 @@ def random_rows(seed, keys=30, items=25):
     return rows
 
 
-@pytest.mark.parametrize(("light", "block", "slab"), [(1, 4, 3), (3, 7, 100), (1000, 4, 4)])
-def test_pair_sums_of_small_and_large_groups(spark, light, block, slab):
-    rows = random_rows(light)
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_pair_sums_of_small_and_large_groups(spark, chunk):
+    rows = random_rows(chunk)
     by_key = defaultdict(dict)
     for k, i, v in rows:
         by_key[k][i] = v
@@ -54,7 +54,7 @@ def test_pair_sums_of_small_and_large_groups(spark, light, block, slab):
     df = spark.createDataFrame(rows, "k string, i string, v double")
     got = {
         (r["a"], r["b"]): [r["n"], r["sx"], r["sy"], r["sxy"], r["sd2"]]
-        for r in pair_sums(df, "k", "i", "v", light=light, block=block, slab=slab).collect()
+        for r in pair_sums(df, "k", "i", "v", chunk=chunk).collect()
     }
     assert got.keys() == want.keys()
     for key, sums in want.items():
@@ -65,13 +65,22 @@ def test_left_side_restricts_targets(spark):
     rows = [(k, i) for k, i, _ in random_rows(5)]
     df = spark.createDataFrame(rows, "k string, i string")
     left = df.where(F.col("i").isin("i1", "i2"))
-    whole = {(r["a"], r["b"]): r["n"] for r in pair_sums(df, "k", "i", light=2, block=5).collect()}
-    part = {(r["a"], r["b"]): r["n"] for r in pair_sums(df, "k", "i", left=left, light=2, block=5).collect()}
+    whole = {(r["a"], r["b"]): r["n"] for r in pair_sums(df, "k", "i", chunk=5).collect()}
+    part = {(r["a"], r["b"]): r["n"] for r in pair_sums(df, "k", "i", left=left, chunk=5).collect()}
     assert part == {p: n for p, n in whole.items() if p[0] in ("i1", "i2")}
 
 
-@pytest.mark.parametrize("light", [2, 64])
-def test_cluster_lists_match_a_full_sort(spark, light):
+def test_one_key_with_many_items_on_one_side(spark):
+    """50,000 items of one key against three: as many pairs, and no unit with many of them."""
+    many = spark.range(50_000).select(F.lit("k").alias("k"), F.col("id").cast("string").alias("i"))
+    few = many.where(F.col("i").isin("1", "2", "3"))
+    got = pair_sums(many, "k", "i", left=few, chunk=500)
+    assert got.count() == 3 * 49_999
+    assert got.agg(F.max("n")).first()[0] == 1
+
+
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_cluster_lists_match_a_full_sort(spark, chunk):
     rows = random_rows(9, 40, 30)
     groups = defaultdict(list)
     for k, i, _ in rows:
@@ -80,7 +89,7 @@ def test_cluster_lists_match_a_full_sort(spark, light):
     for g in groups.values():
         freq.update(itertools.permutations(set(g), 2))
     assert all(freq[a, b] == freq[b, a] for a, b in freq)
-    got = cold.coldstart_clusters(sessions(spark, groups), 4, 3, light=light).collect()
+    got = cold.coldstart_clusters(sessions(spark, groups), 4, 3, chunk=chunk).collect()
     for target in {i for _, i, _ in rows}:
         ranked = sorted((c for t, c in freq if t == target), key=lambda c: (-freq[target, c], c))
         mine = [r for r in got if r["target"] == target]

@@ -41,14 +41,14 @@ def brute(rows, target, months=3):
     return Counter(p for s, p in recent if s in holds and p != target)
 
 
-@pytest.mark.parametrize("light", [2, 64])
-def test_candidates_match_row_by_row_counting(spark, light):
-    rows = random_events(light)
+@pytest.mark.parametrize("chunk", [2, 64])
+def test_candidates_match_row_by_row_counting(spark, chunk):
+    rows = random_events(chunk)
     events = spark.createDataFrame(rows, EVENT)
     targets = [f"p{i}" for i in range(0, 20, 3)] + ["unseen"]
     asked = spark.createDataFrame([(t,) for t in targets], "product_id string")
     got = {}
-    for r in ses.session_candidates(events, asked, light=light).collect():
+    for r in ses.session_candidates(events, asked, chunk=chunk).collect():
         got.setdefault(r["target"], {})[r["product_id"]] = r["appearance_count"]
     for t in targets:
         assert got.get(t, {}) == dict(brute(rows, t))
