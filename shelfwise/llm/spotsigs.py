@@ -32,7 +32,7 @@ ANCHORS = (
 #: Content words in a chain.
 CHAIN = 2
 #: Rows that are ordered together, and the most units they are dealt over.
-UNIT_ROWS, MOST_UNITS = 2000, 1 << 16
+UNIT_ROWS, MOST_UNITS = 500, 1 << 16
 COARSE = 64
 
 
