@@ -840,6 +840,42 @@ ORACLES["session_recommend"] = _with(
     LEFT JOIN event_details d ON d.product_id = t.product_id, all_mu
     """,
 )
+_FACTOR = "(CAST(concat('0x', substr(md5(concat('{l}{j}:', {key})), 1, 6)) AS BIGINT) % 17 - 8) / 64.0"
+_DOT = " + ".join(
+    f"CAST({_FACTOR.format(l='u', j=j, key='user_id')} AS DOUBLE) * CAST({_FACTOR.format(l='i', j=j, key='product_id')} AS DOUBLE)"
+    for j in range(4)
+)
+_cte(
+    "personal_value",
+    ["last_touch", "all_users", "all_items", "clean"],
+    f"""SELECT user_id, l.target, p.product_id, b_u, coalesce(b_i, 0) AS b_i,
+          CASE WHEN b_i IS NULL THEN 0 ELSE {_DOT} END AS d,
+          round(coalesce(b_i, 0) + CASE WHEN b_i IS NULL THEN 0 ELSE {_DOT} END, 6) AS v
+        FROM (SELECT user_id, product_id AS target FROM last_touch
+              WHERE product_id IN (SELECT product_id FROM clean)) l JOIN all_users USING (user_id),
+          (SELECT DISTINCT product_id FROM clean) p LEFT JOIN all_items USING (product_id)
+        WHERE p.product_id <> l.target""",
+)
+_cte(
+    "personal_tiers",
+    ["personal_value", "candidates"],
+    """SELECT *, CASE WHEN appearance_count IS NULL THEN 2 WHEN nth <= 3 THEN 0 ELSE 1 END AS tier FROM (
+         SELECT *, CASE WHEN appearance_count >= 3 THEN row_number() OVER (
+             PARTITION BY user_id, target, coalesce(appearance_count, 0) >= 3
+             ORDER BY appearance_count DESC, v DESC, product_id) ELSE 99 END AS nth
+         FROM personal_value LEFT JOIN candidates USING (target, product_id))""",
+)
+ORACLES["personal_recommend"] = _with(
+    ["personal_tiers", "all_mu", "event_details"],
+    f"""
+    SELECT user_id, target, rank, product_id, appearance_count,
+      {r6('least(greatest(mu + b_u + b_i + d, lo), hi)')} AS predicted_score, name, category_code, brand
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, target ORDER BY tier,
+            CASE WHEN tier = 0 THEN nth END, v DESC, product_id) AS rank
+          FROM personal_tiers QUALIFY rank <= 10)
+    LEFT JOIN event_details USING (product_id), all_mu
+    """,
+)
 
 
 def _cold(prefix: str, clusters: str, others_first: bool, final_cut: bool) -> None:

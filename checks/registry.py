@@ -19,7 +19,7 @@ from shelfwise.operators import names, sampling, text
 from shelfwise.operators import predictors as pred
 from shelfwise.operators import vectors as vec
 from shelfwise.operators import weights as wt
-from shelfwise.plans import cart, content, session
+from shelfwise.plans import cart, content, personal, session
 from shelfwise.plans import cold as coldplan
 from shelfwise.session import prepare
 from shelfwise.sources import artifacts
@@ -453,6 +453,30 @@ def session_recommend(spark, sf):
     return six(big_rank(df), "predicted_score")
 
 
+def fixed_factors(df, key, name, letter):
+    """Factors in steps of 1/64 from the md5 of the ids, the same in both engines."""
+    part = [
+        (F.conv(F.substring(F.md5(F.concat(F.lit(f"{letter}{j}:"), key)), 1, 6), 16, 10).cast("bigint") % 17 - 8) / 64.0
+        for j in range(4)
+    ]
+    return df.select(key, F.array(*part).alias(name))
+
+
+@query
+def personal_recommend(spark, sf):
+    events = cut(clean(spark, sf))
+    model = base.fit_baselines(ft.user_product_scores(ft.session_features(events)))
+    factors = fac.Factors(
+        model,
+        fixed_factors(model.users, "user_id", "p", "u"),
+        fixed_factors(model.items, "product_id", "q", "i"),
+    )
+    df = personal.personal_recommend(
+        fx.last_touch(spark, sf), events, factors, ft.product_details(events)
+    )
+    return six(big_rank(df), "predicted_score")
+
+
 @query
 def coldstart_recommend(spark, sf):
     df = coldplan.cold_recommend(

@@ -5,8 +5,10 @@ from collections import Counter
 import pytest
 
 from shelfwise.operators.baselines import Baselines
+from shelfwise.operators.factors import Factors
 from shelfwise.plans import session as ses
 from shelfwise.plans.cold import anonymous_recommend, cold_recommend
+from shelfwise.plans.personal import best_products, personal_recommend
 
 EVENT = "user_session string, product_id string, event_time timestamp, event_id bigint"
 
@@ -107,3 +109,48 @@ def test_cold_lists_order_and_fill(spark):
     assert [s for s, _ in second["T"]] == ["others"] * 2 + ["top"] * 3 + ["similar"] * 4
     short = lists(cold_recommend(asked, clusters, details, size=2))
     assert [s for s, _ in short["T"]] == ["top", "top"]
+
+
+def test_two_users_get_their_own_orders(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [("s1", p) for p in "TAB"] + [("s2", p) for p in "CDEFGH"]
+    events = spark.createDataFrame([(s, p, day, i) for i, (s, p) in enumerate(rows)], EVENT)
+    names = sorted({p for _, p in rows})
+    base = Baselines(
+        ["score"], {"score": 1.0}, {"score": 0.0}, {"score": 2.0},
+        spark.createDataFrame([("u", 0.0), ("w", 0.1)], "user_id string, b_u double"),
+        spark.createDataFrame([(p, 0.0) for p in names], "product_id string, b_i double"),
+    )
+    model = Factors(
+        base,
+        spark.createDataFrame([("u", [1.0]), ("w", [-1.0])], "user_id string, p array<double>"),
+        spark.createDataFrame([(p, [i / 16]) for i, p in enumerate(names)], "product_id string, q array<double>"),
+    )
+    asked = spark.createDataFrame([("u", "T"), ("w", "T"), ("x", "T"), ("u", "Z")], "user_id string, product_id string")
+    details = events.select("product_id").distinct()
+    found = personal_recommend(asked, events, model, details, size=5).orderBy("user_id", "rank").collect()
+    lists = {}
+    for r in found:
+        lists.setdefault((r.user_id, r.target), []).append(r.product_id)
+    assert lists == {("u", "T"): list("BAHGF"), ("w", "T"): list("ABCDE")}
+    assert found[0].predicted_score == pytest.approx(1.0 + 1 / 16)
+
+
+@pytest.mark.parametrize(("users", "items"), [(1024, 16_384), (3, 4)])
+def test_best_products_in_blocks(spark, monkeypatch, users, items):
+    from shelfwise.plans import personal
+
+    monkeypatch.setattr(personal, "USER_BLOCK", users)
+    monkeypatch.setattr(personal, "ITEM_BLOCK", items)
+    r = random.Random(4)
+    p = {f"u{i}": [r.randint(-8, 8) / 8 for _ in range(3)] for i in range(20)}
+    q = {f"i{i}": (r.randint(-4, 4) / 8, [r.randint(-8, 8) / 8 for _ in range(3)]) for i in range(30)}
+    left = spark.createDataFrame([*p.items(), ("none", [])], "user_id string, p array<double>")
+    right = spark.createDataFrame([(i, b, v) for i, (b, v) in q.items()], "product_id string, b_i double, q array<double>")
+    got = {}
+    for x in best_products(left, right, 4).collect():
+        got.setdefault(x.user_id, set()).add(x.product_id)
+    p["none"] = [0.0] * 3
+    for u, own in p.items():
+        order = sorted(q, key=lambda i: (-q[i][0] - sum(a * b for a, b in zip(own, q[i][1], strict=True)), i))
+        assert got[u] == set(order[:4])
