@@ -38,7 +38,9 @@ def upsert_latest(stored: DataFrame, arriving: DataFrame, key: str = "product_id
             "price", F.coalesce(F.col("price").try_cast("double"), F.lit(0.0))
         )
     fields = [c for c in every.columns if c not in (key, version)]
-    newest = F.max(F.struct(F.col(version).alias("v"), F.struct(*fields).alias("row")))
+    # Of equal versions the greater text form counts, which a map in the payload has as well.
+    row = F.struct(*fields)
+    newest = F.max_by(F.struct(F.col(version).alias("v"), row.alias("row")), F.struct(F.col(version), F.to_json(row)))
     return every.groupBy(key).agg(newest.alias("x")).select(key, F.col("x.v").alias(version), "x.row.*")
 
 

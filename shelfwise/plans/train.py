@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baskets, coldstart, evaluate, features, weights
 from ..operators.baselines import Baselines, fit_baselines
-from ..operators.factors import fit_factors
+from ..operators.factors import Factors, fit_factors
 from ..schemas import CATALOG, require_columns, require_rows
 from ..sources.artifacts import (
     VERSION_PATTERN,
@@ -72,8 +72,15 @@ def train_collaborative(
     _write(sweep, root, name, "trials")
     if factors:
         fitted = fit_factors(ratings, model)
-        _write(fitted.users, root, name, "user_factors")
-        _write(fitted.items, root, name, "item_factors")
+    else:
+        none = F.lit(None).cast("array<float>")
+        fitted = Factors(
+            model,
+            model.users.limit(0).select("user_id", none.alias("p")),
+            model.items.limit(0).select("product_id", none.alias("q")),
+        )
+    _write(fitted.users, root, name, "user_factors")
+    _write(fitted.items, root, name, "item_factors")
     return name
 
 
@@ -88,6 +95,15 @@ def read_collaborative(spark: SparkSession, root: str, name: str) -> Baselines:
     )
 
 
+def read_factors(spark: SparkSession, root: str, name: str) -> Factors:
+    """Offsets and factors of a collaborative model."""
+    return Factors(
+        read_collaborative(spark, root, name),
+        read_model(spark, root, f"{name}/user_factors"),
+        read_model(spark, root, f"{name}/item_factors"),
+    )
+
+
 def train_coldstart(
     events: DataFrame,
     root: str,

@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.features import product_details
-from ..plans import cart, cold, content, session, train
+from ..plans import cart, cold, content, personal, train
 from ..sources.artifacts import read_model
-from ..storage import cut
+from ..storage import cut, working_tables
 
 REQUEST = "kind string, request_id string, user_id string, product_id string, cart_items array<string>, k int"
-ANSWER = ["request_id", "kind", "rank", "product_id"]
+ANSWER = ["request_id", "kind", "status", "rank", "product_id"]
 
 
 def answer(spark: SparkSession, root: str, events: DataFrame, requests: DataFrame) -> DataFrame:
-    """request_id, kind, rank, product_id for content, session, anonymous and cart requests.
+    """request_id, kind, status, rank, product_id for content, session, anonymous and cart requests.
+
+    Every request has a row: status is "found", or "not found" with null rank and product where
+    no model knows the product or no rule applies.
 
     Requests are rows of one table; each kind is one join plan over the current model tables. A
     session request of an unknown user is answered from the clusters.
@@ -40,12 +43,13 @@ def answer(spark: SparkSession, root: str, events: DataFrame, requests: DataFram
     found = kind("content").select("request_id", "product_id").join(found, "product_id")
     parts = [out(found.select("request_id", "rank", F.col("rec_product_id").alias("product_id")), "content")]
 
-    model = train.read_collaborative(spark, root, names[train.COLLABORATIVE])
+    factors = train.read_factors(spark, root, names[train.COLLABORATIVE])
+    model = factors.base
     asked = kind("session").select("request_id", "user_id", F.col("product_id").alias("target"))
     known = asked.join(model.users, "user_id", "left_semi")
     unknown = asked.join(model.users, "user_id", "left_anti")
     pairs = known.select("user_id", F.col("target").alias("product_id"))
-    listed = session.session_recommend(pairs, events, model, details)
+    listed = personal.personal_recommend(pairs, events, factors, details)
     parts.append(out(known.join(listed, ["user_id", "target"]), "session"))
     targets = unknown.select(F.col("target").alias("product_id"))
     listed = cold.cold_recommend(targets, clusters, details)
@@ -66,7 +70,9 @@ def answer(spark: SparkSession, root: str, events: DataFrame, requests: DataFram
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
-    return df
+    every = requests.select("request_id", "kind").join(df, ["request_id", "kind"], "left")
+    status = F.when(F.col("product_id").isNull(), "not found").otherwise("found")
+    return every.withColumn("status", status).select(*ANSWER)
 
 
 def serve(
@@ -81,7 +87,8 @@ def serve(
 
     def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
-            sink(answer(df.sparkSession, root, events(), df), number)
+            with working_tables(df.sparkSession):
+                sink(answer(df.sparkSession, root, events(), df), number)
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.expressions import message_time
+from ..storage import working_tables
 
 # Fixed value: records older than this many seconds are skipped.
 MAX_AGE = 3600
@@ -36,12 +37,14 @@ def retrain_on(
     """Run ``train`` once for every batch that holds an accepted record.
 
     The checkpoint keeps the position, so a crash repeats the batch instead of losing it; models
-    are written under new names, so repeating is harmless.
+    are written under new names, so a repeated batch only adds newer ones. Working tables are
+    deleted after each batch.
     """
 
     def batch(df: DataFrame, _: int) -> None:
         if not accepted(df, now).isEmpty():
-            train()
+            with working_tables(df.sparkSession):
+                train()
 
     writer = records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

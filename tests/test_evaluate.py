@@ -105,6 +105,14 @@ def test_best_trial_and_invalid_order(spark):
     assert wt.best_weights(sweep) == pytest.approx((0.075, 0.3, 0.6, 0.15))
 
 
+def test_a_sweep_without_a_valid_trial(spark):
+    sums = spark.createDataFrame([("u0", "p", 0.1, 0.2, 0.3, 0.1)], PAIR + ", s1 double, s2 double, s3 double, s4 double")
+    users = spark.createDataFrame([("u1",)], "user_id string")
+    trials = [{"w3": 0.6, "r2": 1.0, "r4": 0.5, "r1": 0.5}]
+    sweep = wt.weight_sweep(sums, sums.select("user_id", "product_id"), users, trials)
+    assert [r.f1 for r in sweep.collect()] == [-1.0]
+
+
 @pytest.mark.parametrize(("blocks", "k"), [(2, 3), (7, 1), (512, 4)])
 def test_rating_neighbors_in_blocks(spark, blocks, k):
     import random

@@ -109,7 +109,7 @@ def test_similar_names_leave_out_excluded_products(spark):
     by_id = {row[0]: row for row in rows}
     asked, want = [], {}
     for target in ("00", "07", "13", "25", "44"):
-        excluded = r.sample(sorted(by_id), 10)
+        excluded = r.sample(sorted(by_id), 25)
         excluded = [x for x in excluded if x != target]
         needed = r.choice([1, 4, 10])
         asked.append((target, excluded, needed))

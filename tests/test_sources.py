@@ -3,7 +3,7 @@ import pytest
 from shelfwise.operators.vectors import dedupe_points, upsert_latest
 from shelfwise.schemas import BEHAVIORS, CATALOG, require_columns, require_rows
 from shelfwise.sources import artifacts as art
-from shelfwise.sources.files import read_collection, read_csv, write_collection, write_csv, write_trending
+from shelfwise.sources.files import read_collection, read_csv, upsert_collection, write_collection, write_csv, write_trending
 
 
 def latest(spark, names, prefix="m", default="m_default"):
@@ -75,3 +75,37 @@ def test_validation(spark):
         require_columns(spark.createDataFrame([("a",)], "name string"), ["name", "brand"])
     with pytest.raises(ValueError, match="empty"):
         require_rows(spark.createDataFrame([], BEHAVIORS))
+
+
+def test_two_models_of_one_minute_stay_apart(spark, tmp_path):
+    root, at = str(tmp_path), "2024-06-01 00:00:00"
+    old = art.write_model(spark.range(1), root, "m", at)
+    reader = art.read_model(spark, root, old)
+    art.announce(spark, root, {"m": old})
+    new = art.write_model(spark.range(2), root, "m", at)
+    art.announce(spark, root, {"m": new})
+    assert old != new and reader.count() == 1
+    assert art.read_latest(spark, root, "m").count() == 2
+
+
+def test_prefixes_are_plain_text_and_an_empty_root_falls_back(spark, tmp_path):
+    root = str(tmp_path)
+    spark.range(3).write.parquet(f"{root}/a.b")
+    assert art.read_latest(spark, root, "a.b").count() == 3
+    names = spark.createDataFrame([("axb_01_01_24_00_00",), ("a.b_01_01_23_00_00",)], "name string")
+    wanted = spark.createDataFrame([("a.b", "none")], "prefix string, default_name string")
+    assert art.latest_artifact(names, wanted, "$").first()["name"] == "a.b_01_01_23_00_00"
+
+
+def test_upserts_are_staged_versions(spark, tmp_path):
+    root = str(tmp_path)
+    schema = "product_id string, version int, price string, payload map<string,string>"
+    first = spark.createDataFrame([("a", 1, None, {"x": "1"}), ("b", 1, "2", {})], schema)
+    upsert_collection(root, first)
+    before = art.read_latest(spark, root, "vectors")
+    second = spark.createDataFrame([("a", 2, "5", {"x": "2"}), ("b", 0, "9", {}), ("c", 1, "7", None)], schema)
+    for _ in range(2):  # a repeated upsert changes nothing
+        upsert_collection(root, second)
+        rows = art.read_latest(spark, root, "vectors").collect()
+        assert {(r.product_id, r.version, r.price) for r in rows} == {("a", 2, 5.0), ("b", 1, 2.0), ("c", 1, 7.0)}
+    assert {r.version for r in before.collect()} == {1}

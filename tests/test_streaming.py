@@ -1,6 +1,7 @@
 """Filter, retrain, serve and sticky clusters, driven by files and restarted from checkpoints."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from shelfwise.operators.features import clean_events
 from shelfwise.plans import train
 from shelfwise.schemas import RETRAIN_RECORD
 from shelfwise.sources.kafka import as_messages, read_record_files
+from shelfwise.storage import checkpoint_dir
 from shelfwise.streaming import requests as serving
 from shelfwise.streaming.retrain import accepted, retrain_on
 from shelfwise.streaming.sticky import sticky_clusters
@@ -86,7 +88,7 @@ def trained(spark, sf, tmp_path_factory):
 def test_train_writes_stamped_models_and_announces_them(spark, trained):
     root, names = trained
     # 02:30 UTC is 09:30 in the zone of model names.
-    assert names[train.CONTENT] == "content_base_01_03_24_09_30"
+    assert names[train.CONTENT].startswith("content_base_01_03_24_09_30-")
     assert train.current_models(spark, root) == names
     model = train.read_collaborative(spark, root, names[train.COLLABORATIVE])
     assert model.users.count() > 0 and model.items.count() > 0
@@ -111,6 +113,8 @@ def test_requests_are_answered_from_the_stream(spark, sf, trained, tmp_path):
     def sink(df, number):
         df.write.mode("overwrite").parquet(f"{out}/{number}")
 
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     query = serving.serve(stream, root, lambda: events, sink, str(tmp_path / "cp"), once=True)
     query.awaitTermination(240)
     assert query.exception() is None
@@ -119,10 +123,14 @@ def test_requests_are_answered_from_the_stream(spark, sf, trained, tmp_path):
     )
     counts = {r["request_id"]: (r["n"], r["last"]) for r in got.collect()}
     assert counts["r1"] == (10, 10)
-    assert "r2" not in counts
+    assert counts["r2"] == (1, None)
+    lost = spark.read.parquet(f"{out}/0").where("request_id = 'r2'").first()
+    assert (lost.status, lost.product_id) == ("not found", None)
     assert counts["r3"] == (10, 10)
     assert 0 < counts["r4"][0] <= 10 and 0 < counts["r5"][0]
-    assert counts.get("r6", (0, 0))[0] <= 3
+    assert 1 <= counts["r6"][0] <= 3
+    left = {x for x in set(os.listdir(folder)) - before if x.startswith("cut-")}
+    assert not left
 
 
 def test_sticky_cluster_stays_while_the_product_is_inside(spark, tmp_path):
