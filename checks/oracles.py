@@ -1024,6 +1024,33 @@ ORACLES["normal_predictor"] = _with(
          FROM rated)""",
 )
 
+ORACLES["model_compare_fixed"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS model, round(sqrt(avg((score - est) * (score - est))), 4) AS rmse,
+          round(avg(abs(score - est)), 4) AS mae FROM ({ORACLES[query]})"""
+    for name, query in (
+        ("knnbasic", "knn_basic"),
+        ("knnwithmeans", "knn_means"),
+        ("knnbaseline", "knn_baseline"),
+        ("normalpredictor", "normal_predictor"),
+        ("slopeone", "slope_one"),
+    )
+)
+_cte(
+    "hashed",
+    ["catalog"],
+    r"""SELECT product_id AS point_id, name, price,
+          CAST(concat('0x', substr(md5(term), 1, 8)) AS BIGINT) % 128 AS bucket, count(*) AS tf
+        FROM (SELECT *, unnest(regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''),
+                coalesce(category, ''), coalesce(type, ''), coalesce(description, ''))),
+                '[\p{L}\p{N}_]{2,}')) AS term FROM catalog) GROUP BY ALL""",
+)
+ORACLES["hashed_vectors"] = _with(
+    ["hashed"],
+    f"""SELECT point_id, name, price, bucket,
+          {r6('CAST(tf / sqrt(sum(tf * tf) OVER (PARTITION BY point_id)) AS FLOAT)')} AS weight
+        FROM hashed""",
+)
+
 # ---- streams, in their batch form ---------------------------------------------------------
 _cte(
     "records",

@@ -407,7 +407,10 @@ def vector_topk(spark, sf):
 
 @query
 def hashed_vectors(spark, sf):
-    return vec.hashed_vectors(fx.catalog(spark, sf)).select("point_id", "embedding", "name", "price")
+    df = vec.hashed_vectors(fx.catalog(spark, sf))
+    df = df.select("point_id", "name", "price", F.posexplode("embedding").alias("bucket", "weight"))
+    df = df.where(F.col("weight") != 0).withColumn("weight", F.col("weight").cast("double"))
+    return six(df.withColumn("bucket", F.col("bucket").cast("bigint")), "weight")
 
 
 def product_points(spark, sf):
@@ -522,6 +525,21 @@ def mf_grid_search(spark, sf):
     return fac.grid_search(scores(spark, sf), grid)
 
 
+@query
+def model_compare_fixed(spark, sf):
+    """The compared models whose predictions do not depend on an iterative fit's details."""
+    train, test = rating_split(spark, sf)
+    models = {
+        "knnbasic": pred.knn_basic(train, test),
+        "knnwithmeans": pred.knn_means(train, test),
+        "knnbaseline": pred.knn_baseline(train, test),
+        "normalpredictor": pred.normal_predictor(train, test),
+        "slopeone": pred.slope_one(train, test),
+    }
+    found = pred.compare(models).select("model", "rmse", "mae")
+    return found.withColumns({c: F.round(c, 4) for c in ("rmse", "mae")})
+
+
 @query
 def model_compare(spark, sf):
     return pred.model_compare(*rating_split(spark, sf))

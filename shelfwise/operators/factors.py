@@ -94,6 +94,18 @@ def nmf_scores(train: DataFrame, pairs: DataFrame, **options) -> DataFrame:
     return df.withColumn("est", clip(est, low, high)).drop("p", "q")
 
 
+def best_factors(
+    ratings: DataFrame, grid: Iterable[dict], by: str = "rmse", **options
+) -> tuple[DataFrame, Factors]:
+    """The errors of ``grid_search`` and the model fitted again on all ratings with the setting
+    that has the smallest error (the first of equals)."""
+    grid = list(grid)
+    errors = cut(grid_search(ratings, grid, **options))
+    best = errors.orderBy(by, "params").first()["params"]
+    chosen = next(g for g in grid if str(sorted(g.items())) == best)
+    return errors, fit_factors(ratings, **chosen)
+
+
 def grid_search(
     ratings: DataFrame,
     grid: Iterable[dict],

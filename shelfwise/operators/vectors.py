@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,16 +84,23 @@ def hashed_vectors(
 ) -> DataFrame:
     """point_id, embedding and payload of each product.
 
-    Without a model, terms are hashed into ``dimensions`` buckets and scaled to unit length. A
-    model is passed as ``embed``, a column function such as a pandas UDF.
+    Without a model, terms are hashed by their md5 into ``dimensions`` buckets and the counts are
+    scaled to unit length; a product without terms has zeros. A model is passed as ``embed``, a
+    column function such as a pandas UDF.
     """
+    text = product_text(catalog)
     if embed is not None:
-        return catalog.withColumn("embedding", embed(product_text(catalog))).withColumn(
-            "point_id", F.col("product_id")
-        )
-    df = catalog.withColumn("__words", tokens(product_text(catalog)))
-    df = HashingTF(numFeatures=dimensions, inputCol="__words", outputCol="__tf").transform(df)
-    df = Normalizer(p=2.0, inputCol="__tf", outputCol="__unit").transform(df)
-    return df.withColumns(
-        {"embedding": vector_to_array("__unit", "float32"), "point_id": F.col("product_id")}
-    ).drop("__words", "__tf", "__unit")
+        return catalog.withColumn("embedding", embed(text)).withColumn("point_id", F.col("product_id"))
+    number = F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("bigint") % dimensions
+    terms = catalog.select("product_id", F.explode(tokens(text)).alias("term"))
+    counts = terms.groupBy("product_id", number.cast("int").alias("bucket")).agg(
+        F.count(F.lit(1)).cast("double").alias("tf")
+    )
+    sums = counts.groupBy("product_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "tf"))).alias("__tf"),
+        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("__norm"),
+    )
+    weight = lambda j: F.coalesce(F.col("__tf")[j] / F.col("__norm"), F.lit(0.0)).cast("float")
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), weight)
+    df = catalog.join(sums, "product_id", "left")
+    return df.withColumns({"embedding": vector, "point_id": F.col("product_id")}).drop("__tf", "__norm")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baskets, coldstart, evaluate, features, weights
 from ..operators.baselines import Baselines, fit_baselines
-from ..operators.factors import Factors, fit_factors
+from ..operators.factors import Factors, best_factors, fit_factors
 from ..schemas import CATALOG, require_columns, require_rows
 from ..sources.artifacts import (
     VERSION_PATTERN,
@@ -47,10 +47,12 @@ def train_collaborative(
     trials: list[dict[str, float]] | None = None,
     at: str | None = None,
     factors: bool = True,
+    grid: list[dict] | None = None,
 ) -> str:
     """Search the share weights by F1, then fit offsets and factors on all ratings with the best.
 
-    Tables: scale (one row), users, items, factors of users and items, and the trials.
+    Tables: scale (one row), users, items, factors of users and items, and the trials. With a
+    ``grid`` of factorization settings the best by cross-validation is used.
     """
     spark = events.sparkSession
     name = new_name(spark, COLLABORATIVE, at)
@@ -71,7 +73,7 @@ def train_collaborative(
     _write(model.items, root, name, "items")
     _write(sweep, root, name, "trials")
     if factors:
-        fitted = fit_factors(ratings, model)
+        fitted = fit_factors(ratings, model) if grid is None else best_factors(ratings, grid)[1]
     else:
         none = F.lit(None).cast("array<float>")
         fitted = Factors(
