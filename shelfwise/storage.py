@@ -46,8 +46,9 @@ def working_tables(spark: SparkSession):
             remove(spark, path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written table.
+def cut(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table. ``options`` are
+    those of the writer.
 
     The result no longer depends on the executors that made it, later readers do not repeat
     the work, and the planner knows its size.
@@ -57,7 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     made = _made.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
