@@ -22,9 +22,10 @@ def written(df: DataFrame) -> DataFrame:
     Spark deletes shuffle files when the driver collects the plans that refer to them, so the
     driver is asked to; without it they stay on the executors' disks until the job ends.
     """
-    out = cut(df)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    out = cut(df, compression="zstd")
+    for _ in range(2):  # the first time frees the plan, the second time what it held
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     return out
 
 
