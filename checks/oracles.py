@@ -135,6 +135,14 @@ ORACLES["session_features"] = _with(
         {r6('total_duration')} AS total_duration, {r6('F1')} AS F1, {r6('F2')} AS F2,
         {r6('F3')} AS F3, {r6('F4')} AS F4 FROM features""",
 )
+ORACLES["encoded_features"] = _with(
+    ["features"],
+    f"""SELECT event_id, CAST(dense_rank() OVER (ORDER BY product_id) - 1 AS BIGINT) AS product_id,
+        CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS BIGINT) AS user_id,
+        CAST(dense_rank() OVER (ORDER BY user_session) - 1 AS BIGINT) AS user_session,
+        event_type, total_view, is_view, {r6('duration')} AS duration, {r6('F1')} AS F1,
+        {r6('F2')} AS F2, {r6('F3')} AS F3, {r6('F4')} AS F4 FROM features""",
+)
 ORACLES["user_product_scores"] = _with(
     ["scores"], f"SELECT user_id, product_id, {r6('score')} AS score FROM scores"
 )
@@ -750,6 +758,16 @@ ORACLES["vector_topk"] = _with(
                   round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS similarity
                 FROM unit a, unit b)) WHERE rank <= 10""",
 )
+ORACLES["vector_search"] = _with(
+    ["unit"],
+    f"""SELECT id, rank, neighbor AS point_id, {r6('similarity')} AS similarity, label,
+          {r6('list_sum(CAST(embedding AS DOUBLE[]))')} AS total FROM (
+          SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbor) AS rank
+          FROM (SELECT a.id, b.id AS neighbor,
+                  round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS similarity
+                FROM unit a, unit b)) JOIN embeddings ON CAST(vec_id AS VARCHAR) = neighbor
+        WHERE rank <= 10""",
+)
 ORACLES["dedupe_points"] = _with(
     ["clean"],
     """SELECT user_session AS point_id, event_id, event_type, product_id,

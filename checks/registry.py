@@ -62,6 +62,14 @@ def clean_events(spark, sf):
     return clean(spark, sf).withColumn("event_us", micros(F.col("event_time"))).drop("event_time")
 
 
+@query
+def encoded_features(spark, sf):
+    df = ft.feature_pipeline(fx.behaviors(spark, sf)).select(
+        "event_id", *ft.ENCODED, "event_type", "total_view", "is_view", "duration", "F1", "F2", "F3", "F4"
+    )
+    return six(df, "duration", "F1", "F2", "F3", "F4")
+
+
 @query
 def session_features(spark, sf):
     df = features(spark, sf).select(
@@ -405,6 +413,13 @@ def vector_topk(spark, sf):
     return big_rank(vec.vector_topk(fx.vectors(spark, sf)))
 
 
+@query
+def vector_search(spark, sf):
+    df = big_rank(vec.search_points(fx.vectors(spark, sf)))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return six(df.select("id", "rank", "point_id", "similarity", "label", total.alias("total")), "similarity", "total")
+
+
 @query
 def hashed_vectors(spark, sf):
     df = vec.hashed_vectors(fx.catalog(spark, sf))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions.expressions import first_of, is_present, micros, safe_ratio
 from ..schemas import require_columns
 from .hot import split_hot
+from .sampling import label_encode
 
 # Event types that carry a share, and the default weights of the four shares.
 EVENT_TYPES = ("view", "cart", "purchase")
@@ -125,6 +126,17 @@ def session_features(clean: DataFrame, session_rows: int = SESSION_ROWS) -> Data
     )
 
 
+# The columns that the encoded form of the features numbers.
+ENCODED = ["product_id", "user_id", "user_session"]
+
+
+def feature_pipeline(raw: DataFrame, encoded: bool = True) -> DataFrame:
+    """Raw events to session features; ids are replaced by their numbers in sorted order unless
+    ``encoded`` is off. Numbers keep equal ids equal, so the features are the same."""
+    features = session_features(clean_events(raw))
+    return label_encode(features, ENCODED) if encoded else features
+
+
 def share_sums(features: DataFrame) -> DataFrame:
     """Sums of F1..F4 over event rows, per user and product. Any weighting is linear in them."""
     return features.groupBy("user_id", "product_id").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import tokens
-from ..storage import cut, spread
+from ..storage import cut
 
 # Vocabulary size and document frequency limits.
 MAX_FEATURES = 5000
@@ -49,10 +49,10 @@ def tfidf_weights(
 ) -> DataFrame:
     """doc, term, idx, tf, weight with unit length per document.
 
-    Texts are hashed by document once; counting, weighting and norms then need no other shuffle
-    of the exploded tokens. The vocabulary has a fixed largest size and is broadcast.
+    Texts stay where they are: terms are counted in place before their one shuffle. The
+    vocabulary has a fixed largest size and is broadcast.
     """
-    words = spread(docs.select(doc, "text"), doc).select(doc, F.explode(tokens(F.col("text"))).alias("term"))
+    words = docs.select(doc, F.explode(tokens(F.col("text"))).alias("term"))
     counts = cut(words.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
     n = docs.count()
     vocab = cut(vocabulary(counts, n, max_features, min_df, max_df))

@@ -71,6 +71,15 @@ def vector_topk(points: DataFrame, queries: DataFrame | None = None, k: int = RE
     return knn_join(asked, data, k)
 
 
+def search_points(points: DataFrame, queries: DataFrame | None = None, k: int = RESULTS) -> DataFrame:
+    """id, rank, similarity and the whole found point, its vector and payload, under its columns.
+
+    The points are joined on after the search, which moves only ids and vectors.
+    """
+    found = vector_topk(points, queries, k)
+    return found.withColumnRenamed("neighbor", "point_id").join(points, "point_id")
+
+
 def product_text(catalog: DataFrame) -> Column:
     return F.concat_ws(
         " ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "category", "type", "description")]
