@@ -103,3 +103,50 @@ SELECT page_id, host, path, rule, CASE
   ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+ORACLES["op1_near_duplicates"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS words FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i
+        FROM texts WHERE len(words) > 0)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x
+                        JOIN shingles y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b
+  WHERE 100 * k >= 80 * (m.n + n.n - k)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.id, CASE WHEN l.a = r.other THEN l.b ELSE l.a END
+  FROM reach r JOIN links l ON l.a = r.other OR l.b = r.other
+)
+SELECT id AS doc_id, any_value(n) AS n_shingles, min(other) AS component_id, id = min(other) AS kept
+FROM reach JOIN sizes ON doc_id = id GROUP BY id
+"""
+
+ORACLES["op6_substring_dedup"] = r"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, row_number() OVER (
+    PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS nth
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i
+        FROM texts WHERE len(words) >= 20)
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, i + k AS i FROM windows, range(0, 20) t(k) WHERE nth > 1
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
