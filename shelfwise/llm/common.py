@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 from shelfwise.storage import cut
 
 
+#: Rows in an Arrow batch: texts may be long, and a worker holds a batch several times over.
+BATCH_ROWS = "1500"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +27,7 @@ def written(df: DataFrame) -> DataFrame:
     Spark deletes shuffle files when the driver collects the plans that refer to them, so the
     driver is asked to; without it they stay on the executors' disks until the job ends.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     out = cut(df, compression="zstd")
     for _ in range(2):  # the first time frees the plan, the second time what it held
         gc.collect()

@@ -112,8 +112,11 @@ class Model:
         return self.vectors @ (self.layer[:, 1] - self.layer[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def train(x: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 4.0, seed: int = 7) -> Model:
-    """Stochastic gradient descent over small batches; ``x`` has a row of weights per document."""
+def train(
+    docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 4.0, seed: int = 7
+) -> Model:
+    """Stochastic gradient descent over small batches; ``docs`` has buckets and weights of each
+    document, which are spread out for one batch at a time."""
     rng = np.random.default_rng(seed)
     model = Model(
         rng.uniform(-1 / SIZE, 1 / SIZE, (BUCKETS, SIZE)).astype(np.float32),
@@ -121,13 +124,17 @@ def train(x: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float =
         np.zeros(2, np.float32),
     )
     batch, steps = 16, 0
-    total = max(1, epochs * -(-len(x) // batch))
+    total = max(1, epochs * -(-len(docs) // batch))
     target = np.eye(2, dtype=np.float32)[labels]
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for a in range(0, len(x), batch):
+        order = rng.permutation(len(docs))
+        for a in range(0, len(docs), batch):
             rows = order[a : a + batch]
-            hidden = x[rows] @ model.vectors
+            used, at = np.unique(np.concatenate([docs[r][0] for r in rows]), return_inverse=True)
+            x = np.zeros((len(rows), len(used)), np.float32)
+            owner = np.repeat(np.arange(len(rows)), [len(docs[r][0]) for r in rows])
+            x[owner, at] = np.concatenate([docs[r][1] for r in rows])
+            hidden = x @ model.vectors[used]
             raw = hidden @ model.layer + model.bias
             raw = np.exp(raw - raw.max(axis=1, keepdims=True))
             error = (raw / raw.sum(axis=1, keepdims=True) - target[rows]) / len(rows)
@@ -135,8 +142,7 @@ def train(x: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float =
             back = error @ model.layer.T
             model.layer -= step * (hidden.T @ error)
             model.bias -= step * error.sum(axis=0)
-            used = np.flatnonzero(x[rows].any(axis=0))
-            model.vectors[used] -= step * (x[rows][:, used].T @ back)
+            model.vectors[used] -= step * (x.T @ back)
             steps += 1
     return model
 
@@ -182,11 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # repeated ids of the sample come out more than once: the smallest features count
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("buckets", "weights", "quality")).alias("r"))
     rows = sorted((r[0], *r[1]) for r in rows.collect())
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    y = np.zeros(len(rows), np.int64)
-    for i, (_, buckets, weights, quality) in enumerate(rows):
-        x[i, np.frombuffer(buckets, np.int32)] = np.frombuffer(weights, np.float32)
-        y[i] = min(max(quality, 0), 1)
+    x = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float32)) for _, b, w, _ in rows]
+    y = np.array([min(max(q, 0), 1) for *_, q in rows], np.int64)
     if not len(rows):
         return Model(np.zeros((BUCKETS, SIZE)), np.zeros((SIZE, 2)), np.zeros(2))
     return train(x, y)

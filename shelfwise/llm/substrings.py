@@ -26,7 +26,7 @@ WINDOW = 20
 ANCHOR = 4
 #: Stretches in a shard, and stretches of one anchor that stay together; the windows of an anchor
 #: with more are dealt over several shards.
-SHARD_ROWS, ANCHOR_ROWS = 20_000, 5_000
+SHARD_ROWS, ANCHOR_ROWS = 10_000, 5_000
 
 
 class Stretches:
@@ -420,9 +420,8 @@ def covered(words: Words, lists: pa.Array, kept: pa.Array, length: int) -> np.nd
     return np.cumsum(change)[: len(words.hashes)] > 0
 
 
-def kept_texts(batch: pa.RecordBatch, length: int, text: str = "text"):
+def kept_texts(batch: pa.RecordBatch, length: int, texts: pa.Array):
     """For slices (first row, end) of a batch: words, removed words and the kept text of each row."""
-    texts = texts_of(batch, text)
     lists = list_column(batch, batch.schema.get_field_index("anchors"), pa.int64())
     kept = list_column(batch, batch.schema.get_field_index("kept"), pa.int32())
     for a, b in text_slices(texts):
@@ -459,7 +458,7 @@ def dedup_digest(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in DIGEST.split(", ")]
         for batch in batches:
-            for a, b, n, removed, left in kept_texts(batch, length):
+            for a, b, n, removed, left in kept_texts(batch, length, texts_of(batch)):
                 digests = [hashlib.sha256(x).hexdigest() for x in left]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -486,7 +485,7 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.column(0).flatten()
-            for a, b, _, removed, left in kept_texts(batch, length):
+            for a, b, _, removed, left in kept_texts(batch, length, columns[at].fill_null("")):
                 own = [c.slice(a, b - a) for c in columns]
                 pairs = zip(own[at].to_pylist(), removed, left, strict=True)
                 after = [x.decode() if gone else old for old, gone, x in pairs]
@@ -498,4 +497,4 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(own, names)
 
     marked = rows.join(marks(rows, length), ["d", "h"], "left")
-    return marked.select("row", "text", "anchors", "kept").mapInArrow(run, docs.schema)
+    return marked.select("row", "anchors", "kept").mapInArrow(run, docs.schema)
