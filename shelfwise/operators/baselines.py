@@ -7,15 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import bucketed, cut
 
 # Usual defaults of the baseline estimator.
 EPOCHS = 10
 REG_USER = 15.0
 REG_ITEM = 10.0
 
-# Passes between two written tables: bounds the plan and what a lost executor can cost.
-CUT_EVERY = 10
+# Parts of each user's and product's pairs, so that none of them is one task's work.
+SALTS = 8
 
 
 @dataclass
@@ -48,8 +48,9 @@ def fit_baselines(
     reg_item: float = REG_ITEM,
 ) -> Baselines:
     """Each pass adds up the other side's offsets over (user, item) pairs: sums combine on the
-    map side, so a popular product costs no more than one row per task. Offsets are linear in the
-    scores, hence several score columns are fitted in the same passes.
+    map side, so a popular product costs no more than one row per task. Every pass is written,
+    which bounds the plan and what a lost executor can cost. Offsets are linear in the scores,
+    hence several score columns are fitted in the same passes.
     """
     values = list(values)
     ratings = cut(ratings.select("user_id", "product_id", *values))
@@ -71,28 +72,35 @@ def fit_baselines(
     pairs = ratings.select("user_id", "product_id")
     user_totals, item_totals = totals("user_id", reg_user), totals("product_id", reg_item)
 
-    def offsets(own: str, sums: DataFrame, name: str, other: DataFrame | None, key: str, oname: str):
+    def offsets(own: str, sums: DataFrame, name: str, rows: DataFrame, other, key: str, oname: str):
         if other is None:
             joined, minus = sums, {v: F.lit(0.0) for v in values}
         else:
-            added = pairs.join(other, key).groupBy(own).agg(
+            spread = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            added = rows.join(spread, [key, "salt"]).groupBy(own).agg(
                 *[F.sum(f"{oname}_{v}").alias(f"__o_{v}") for v in values]
             )
             joined, minus = sums.join(added, own), {v: F.col(f"__o_{v}") for v in values}
-        return joined.select(
-            own,
-            *[((F.col(f"__t_{v}") - minus[v]) / F.col("__den")).alias(f"{name}_{v}") for v in values],
+        return cut(
+            joined.select(
+                own,
+                *[((F.col(f"__t_{v}") - minus[v]) / F.col("__den")).alias(f"{name}_{v}") for v in values],
+            )
         )
 
+    # The pairs are dealt out once by each side, a user's or product's over several buckets; in the
+    # passes only offsets and sums move.
+    def salted(by: str) -> DataFrame:
+        return pairs.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
     users = items = None
-    for epoch in range(1, epochs + 1):
-        items = offsets("product_id", item_totals, "b_i", users, "user_id", "b_u")
-        users = offsets("user_id", user_totals, "b_u", items, "product_id", "b_i")
-        if epoch % CUT_EVERY == 0 and epoch < epochs:
-            users = cut(users)
-    # The last user pass starts from the written item offsets, so nothing is computed twice.
-    items = cut(items)
-    users = cut(offsets("user_id", user_totals, "b_u", items, "product_id", "b_i"))
+    with (
+        bucketed(salted("product_id"), "user_id", "salt") as by_user,
+        bucketed(salted("user_id"), "product_id", "salt") as by_item,
+    ):
+        for _ in range(epochs):
+            items = offsets("product_id", item_totals, "b_i", by_user, users, "user_id", "b_u")
+            users = offsets("user_id", user_totals, "b_u", by_item, items, "product_id", "b_i")
     if values == ["score"]:
         users = users.withColumnRenamed("b_u_score", "b_u")
         items = items.withColumnRenamed("b_i_score", "b_i")

@@ -62,6 +62,22 @@ def cut(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, *keys: str):
+    """``df`` as a table dealt into buckets of ``keys``, for joins that repeat: only the other side
+    is then shuffled. The table is dropped and its files are deleted at the end."""
+    spark = df.sparkSession
+    name = f"buckets_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the rows over all cores for work that grows far beyond its input bytes.
 
