@@ -23,7 +23,7 @@ from shelfwise.llm.common import text_slices, texts_of
 from shelfwise.llm.pretoken import Pieces
 
 #: Encoded pieces kept between slices in each Python worker; beyond it they are encoded again.
-MOST_KEPT = 300_000
+MOST_KEPT = 100_000
 #: Bytes of text whose new pieces are encoded together; a longer text stands alone.
 TOGETHER = 8 << 20
 
