@@ -80,3 +80,65 @@ def test_grid_search_refits_with_the_best_setting(spark):
     best = rows[str(sorted(grid[1].items()))]
     assert best.best_rmse and best.rmse < min(r.rmse for r in rows.values()) + 1e-9
     assert {len(r.p) for r in model.users.collect()} == {2} and rmse(fac.predict_factors(model, test)) < 0.35
+
+
+def test_coclustering_follows_its_epochs(spark):
+    """The same assignments and means in plain Python, epoch by epoch."""
+    import hashlib
+
+    from shelfwise.operators.predictors import coclustering
+
+    r = np.random.default_rng(8)
+    rows = {
+        (f"u{u}", f"i{i}"): float(round(1 + u % 3 + (i % 2) * 0.7 + r.normal(0, 0.3), 3))
+        for u in range(15)
+        for i in range(12)
+        if r.random() < 0.6
+    }
+    names = sorted(rows)
+    train, test = {k: rows[k] for k in names[::2] + names[1::4]}, {k: rows[k] for k in names[3::4]}
+    test["new", "i0"] = 2.0
+    train = {k: v for k, v in train.items() if k not in test}
+    users, items = sorted({u for u, _ in train}), sorted({i for _, i in train})
+    pick = lambda x: int(hashlib.md5(f"42:{x}".encode()).hexdigest()[:8], 16) % 3
+    g, h = {u: pick(u) for u in users}, {i: pick(i) for i in items}
+    mean = np.mean(list(train.values()))
+
+    def average(of):
+        found = {}
+        for (u, i), s in train.items():
+            found.setdefault(of(u, i), []).append(s)
+        return {k: np.mean(v) for k, v in found.items()}
+
+    by_user, by_item = average(lambda u, i: u), average(lambda u, i: i)
+
+    def means():
+        return average(lambda u, i: (g[u], h[i])), average(lambda u, i: g[u]), average(lambda u, i: h[i])
+
+    def estimate(t, u, i, a, b):
+        cell, rows_, columns = t
+        return cell.get((a, b), mean) + by_user[u] - rows_.get(a, mean) + by_item[i] - columns.get(b, mean)
+
+    for _ in range(20):
+        t, before = means(), (dict(g), dict(h))
+        for u in users:
+            g[u] = min(
+                (sum((s - estimate(t, u, i, c, h[i])) ** 2 for (v, i), s in train.items() if v == u), c)
+                for c in range(3)
+            )[1]
+        for i in items:
+            h[i] = min(
+                (sum((s - estimate(t, u, i, g[u], c)) ** 2 for (u, j), s in train.items() if j == i), c)
+                for c in range(3)
+            )[1]
+        if before == (g, h):
+            break
+    t = means()
+    low, high = min(train.values()), max(train.values())
+    frame = lambda d: spark.createDataFrame([(u, i, s) for (u, i), s in d.items()], RATING)
+    got = {(x.user_id, x.product_id): x.est for x in coclustering(frame(train), frame(test)).collect()}
+    for u, i in test:
+        if u in g and i in h:
+            want = min(max(estimate(t, u, i, g[u], h[i]), low), high)
+            assert got[u, i] == pytest.approx(want)
+    assert len(got) == len(test) and got["new", "i0"] == pytest.approx(min(max(by_item["i0"], low), high))
