@@ -166,25 +166,21 @@ def repeated_stretches(marked: DataFrame, length: int) -> DataFrame:
     return marked.select("d", "h", "anchors", "text").mapInArrow(run, STRETCH)
 
 
-PIECE = "shard long, d long, h long, start int, words string"
+WINDOWS = "shard long, value long, d long, h long, start int, words string"
 
 
 def pieces(stretches: DataFrame, length: int) -> DataFrame:
     """The stretches with the key of their shard; those of an anchor with very many stretches are
-    cut into their windows, dealt by what the windows hold."""
+    cut into their windows, dealt by what the windows hold. Equal windows are one, with the first
+    place, before they are dealt: copies may be any share of all documents."""
     often = stretches.groupBy("anchor").agg(F.count("*").alias("n"))
     split = often.where(F.col("n") > ANCHOR_ROWS).select(
         "anchor", F.ceil(F.col("n") / ANCHOR_ROWS).cast("int").alias("parts")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in PIECE.split(", ")]
-        for batch in batches:
-            anchor, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            whole = pa.array(parts == 1)
-            kept = batch.filter(whole)
-            yield pa.RecordBatch.from_arrays([kept.column(i) for i in (0, 2, 3, 4, 5)], names)
-            cut = batch.filter(pa.array(parts > 1))
+        names = [f.split()[0] for f in WINDOWS.split(", ")]
+        for cut in batches:
             texts = texts_of(cut, "words")
             anchor, parts = cut.column(0).to_numpy(), cut.column(1).to_numpy()
             for a, b in text_slices(texts):
@@ -200,11 +196,13 @@ def pieces(stretches: DataFrame, length: int) -> DataFrame:
                 shard = mix(anchor[a + row].view(np.uint64) + mix(part + np.uint64(1))).astype(np.int64)
                 low, high = words.starts[at], words.ends[at + length - 1]
                 raw = words.raw.tobytes()
-                text = [raw[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]
+                # blanks in place of other white space, so that equal windows are equal texts
+                text = [b" ".join(raw[x:y].split()) for x, y in zip(low.tolist(), high.tolist(), strict=True)]
                 pick = pa.array(a + row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard),
+                        pa.array(value.view(np.int64)),
                         cut.column(2).take(pick),
                         cut.column(3).take(pick),
                         pa.array(cut.column(4).to_numpy()[a + row] + offset, pa.int32()),
@@ -213,9 +211,12 @@ def pieces(stretches: DataFrame, length: int) -> DataFrame:
                     names,
                 )
 
-    rows = stretches.join(split, "anchor", "left")
-    rows = rows.select("anchor", F.coalesce("parts", F.lit(1)).alias("parts"), "d", "h", "start", "words")
-    return rows.mapInArrow(run, PIECE)
+    rows = stretches.join(written(split), "anchor", "left")  # few rows: stretches stay where they are
+    whole = rows.where("parts is null").select(F.col("anchor").alias("shard"), "d", "h", "start", "words")
+    cut = rows.where("parts is not null").select("anchor", "parts", "d", "h", "start", "words")
+    first = F.min(F.struct("d", "h", "start")).alias("first")
+    single = cut.mapInArrow(run, WINDOWS).groupBy("shard", "value", "words").agg(first)
+    return whole.unionByName(single.select("shard", "first.*", "words"))
 
 
 class Bits:

@@ -158,6 +158,29 @@ def test_passages_match_brute_force(spark, monkeypatch, anchor_rows, shard_rows)
     assert got == want and sum(r[1] for r in want.values()) > 1000
 
 
+def test_copies_of_a_common_passage_are_one_window(spark, monkeypatch):
+    """A line in every document, with other words (and white space) around and in it."""
+    monkeypatch.setattr(substrings, "ANCHOR_ROWS", 10)
+    signs = " \t\n"
+    rows = []
+    for i in range(200):
+        line = signs[i % 3].join(f"common{k}" for k in range(30))
+        own = [" ".join(f"u{i}x{part}x{k}" for k in range(25)) for part in range(2)]
+        rows.append((i, f"{own[0]} {line} {own[1]}"))
+    docs = substrings.keyed(documents(spark, rows))
+    found = substrings.anchors(docs, 20)
+    marked = docs.join(found.select("d", "anchors"), "d")
+    stretches = substrings.repeated_stretches(marked, 20)
+    windows = Counter()
+    for r in substrings.pieces(stretches, 20).collect():
+        words = WORD.findall(r.words)
+        windows.update(tuple(words[k : k + 20]) for k in range(len(words) - 19))
+    passage = tuple(f"common{k}" for k in range(30))
+    assert all(windows[passage[k : k + 20]] == 1 for k in range(11))
+    got = {r[0]: tuple(r)[1:] for r in substrings.dedup_digest(documents(spark, rows)).collect()}
+    assert got == digests(removal(rows))
+
+
 def test_passages_of_awkward_rows(spark):
     got = substrings.dedup_digest(messy(spark)).collect()
     alone = {i: (t or "") for i, t, *_ in messy_rows() if i is not None}
