@@ -13,10 +13,12 @@ import functools
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from shelfwise.llm.common import text_slices, texts_of
@@ -50,6 +52,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
     }
 
 
+def read_added(path: str) -> dict[bytes, int]:
+    """The added tokens of a tokenizer's JSON file and their ids; they are found in texts before
+    pieces are cut. A ``.tiktoken`` file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, "rb") as f:
+        return {t["content"].encode(): t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
 class Replay:
     """Merge replay over many distinct pieces.
 
@@ -163,9 +174,40 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.words = Replay(self.ranks)
         self.kept: dict[int, bytes] = {}
+        self.added = read_added(path)
+        longest = sorted((t.decode() for t in self.added), key=len, reverse=True)
+        self.mark = "|".join(map(re.escape, longest))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For slices (first row, end) of the texts: all ids, and the offsets of each row's."""
+        for low, high in text_slices(texts, TOGETHER):
+            own = texts.slice(low, high - low)
+            if self.added and pc.any(pc.match_substring_regex(own, self.mark)).as_py():
+                yield low, high, *self.around_added(own)
+            else:
+                for a, b, ids, ends in self.ordinary(own):
+                    yield low + a, low + b, ids, ends
+
+    def around_added(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and the offsets of each row's, of texts cut at the added tokens in them."""
+        cut = re.compile(f"({self.mark})")
+        parts = [cut.split(t) for t in texts.to_pylist()]  # every second one is an added token
+        between = pa.array([x for own in parts for x in own[::2]], pa.string())
+        found = []
+        for a, b, ids, ends in self.ordinary(between):
+            found += [ids[ends[i] : ends[i + 1]] for i in range(b - a)]
+        found = iter(found)
+        out, sizes = [], [0]
+        for own in parts:
+            ids = [
+                np.array([self.added[x.encode()]], "<i4") if k % 2 else next(found) for k, x in enumerate(own)
+            ]
+            out += ids
+            sizes.append(sum(map(len, ids)))
+        return np.concatenate(out), np.cumsum(sizes)
+
+    def ordinary(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``encode`` for texts whose added tokens, if they hold any, are ordinary characters."""
         for low, high in text_slices(texts, TOGETHER):
             slices, new = [], {}
             if len(self.kept) > MOST_KEPT:
@@ -195,8 +237,9 @@ class Encoder:
 
     @functools.cached_property
     def token_bytes(self) -> list[bytes]:
-        out = [b""] * (max(self.ranks.values()) + 1)
-        for t, i in self.ranks.items():
+        known = self.ranks | self.added
+        out = [b""] * (max(known.values()) + 1)
+        for t, i in known.items():
             out[i] = t
         return out
 

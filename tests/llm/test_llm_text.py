@@ -12,6 +12,7 @@ from llm_fixtures import corpus, documents, empty, messy, messy_rows
 from tokenizers import Tokenizer
 
 import public_tokenizers
+import pyarrow as pa
 from shelfwise.llm import bpe, packing, ring, urls
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -119,6 +120,19 @@ def test_encoding_equals_the_libraries_and_decodes_back(spark, library):
     assert back == {i: t.encode() for i, t in rows}
 
 
+def test_added_tokens_of_the_vocabulary_file():
+    """The library in its default setting, as the query for packing uses the file."""
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark} don't", "plain text", "", f"x\n {mark}", "<|endoftext|", f"é{mark}日本"]
+    coder, plain = bpe.Encoder(JSON), Tokenizer.from_file(JSON)
+    got = []
+    for a, b, ids, ends in coder.encode(pa.array(texts)):
+        got += [ids[ends[i] : ends[i + 1]] for i in range(b - a)]
+    assert got[0].tolist() == [64, 220, 50256, 275]
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [coder.decode(x) for x in got] == [t.encode() for t in texts]
+
+
 def test_digest_of_awkward_rows(spark, library):
     got = Counter(tuple(r) for r in bpe.digest_documents(messy(spark), RANKS).collect())
     sha = lambda b: hashlib.sha256(b).hexdigest()
