@@ -3,9 +3,11 @@
 Groups (equal band hashes, shared rare signatures) may hold any share of all sets. They are never
 paired out: in each round every member of a group is compared with one centre of the group, first
 with the member that shares groups with most others, and members that are already connected
-with it are left out. The members of groups that still hold unconnected ones then meet in blocks of
-bounded size: a task counts the common items of all its members with matrix products and
-returns no more links than connect them, so that no link between different sets is lost.
+with it are left out. In groups that still hold unconnected ones, sketches of the members outside
+the largest connected part then meet those of all others in blocks of bounded size, a pair in the
+first group that it shares; the pairs that the sketches let through are confirmed on full sets.
+Sets without sketches meet in blocks themselves: a task counts the common items of all its members
+with matrix products and returns no more links than connect them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ ROUNDS = 2
 #: that only one part's sets lie in shuffles at a time.
 BLOCK_ITEMS = 1_000_000
 PARTS = 4
+#: Members on either side of a block of sketches.
+BLOCK_ROWS = 4096
 #: Members, and items, of one matrix.
 TILE, ITEMS = 1024, 4096
 
@@ -77,13 +81,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def link(members: DataFrame, sets: DataFrame, percent: int, may_match) -> DataFrame:
+def link(members: DataFrame, sets: DataFrame, percent: int, may_match, bits=None) -> DataFrame:
     """``id, root`` of every id that is linked with another one.
 
     ``members`` (key, id and the columns that ``may_match`` reads) and ``sets`` (id, items) are
     written tables; every id of a group has its set. ``may_match(a, b)`` makes a condition from
     two functions that give a member's columns: pairs that fail it are not compared in full
-    with a centre.
+    with a centre. ``bits`` names the columns of the members' sketches, if they have any, and the
+    most bits in which those of a pair may differ.
     """
     extra = [c for c in members.columns if c not in ("key", "id")]
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
@@ -98,6 +103,10 @@ def link(members: DataFrame, sets: DataFrame, percent: int, may_match) -> DataFr
             pairs = written(_with_centres(known, extra, may_match, round_no))
             found = written(confirm(pairs, sets, percent))
             discard(pairs)
+        elif bits:
+            pairs = written(_sifted(known, sets, percent, *bits))
+            found = written(confirm(pairs, sets, percent))
+            discard(pairs)
         else:
             found = _in_blocks(known.select("key", "id", "label"), sets, percent)
         discard(known)
@@ -138,6 +147,81 @@ def _with_centres(known: DataFrame, extra: list[str], may_match, round_no: int)
 LINKS = "a long, b long"
 
 
+def _sifted(known: DataFrame, sets: DataFrame, percent: int, columns: list[str], most: int) -> DataFrame:
+    """Pairs of different labels that share a group and whose sizes and sketches are near, once each.
+
+    Two members with different labels are not both in the group's largest label, so its members
+    are only compared with the others.
+    """
+
+    def compare(rows: pa.Table) -> pa.Table:
+        found = near_sketches(rows, columns, percent, most)
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    labels = known.groupBy("key", "label").agg(F.count("*").alias("n"))
+    groups = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    groups = groups.select(
+        "key",
+        F.col("main.label").alias("main"),
+        blocks(F.col("n")).alias("blocks"),
+        blocks(F.col("n") - F.col("main.n")).alias("small_blocks"),
+    )
+    sized = sets.groupBy("id").agg(F.min(F.size("items")).alias("low"), F.max(F.size("items")).alias("high"))
+    shared = known.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    rows = known.join(groups, "key").join(sized, "id").join(shared, "id")
+    rows = written(rows.withColumn("small", F.col("label") != F.col("main")))
+    kept = ["key", "id", "label", "small", "low", "high", "keys", *columns]
+
+    def side(of: DataFrame, left: bool) -> DataFrame:
+        own, other = ("small_blocks", "blocks") if left else ("blocks", "small_blocks")
+        at = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        names = ("x", "y") if left else ("y", "x")
+        return of.select(*kept, F.lit(left).alias("left"), at.alias(names[0]), every.alias(names[1]))
+
+    dealt = side(rows.where("small"), True).unionByName(side(rows, False))
+    return dealt.groupBy("key", "x", "y").applyInArrow(compare, LINKS).distinct()
+
+
+def near_sketches(rows: pa.Table, columns: list[str], percent: int, most: int):
+    """Pairs (two arrays) of the left and the other members of a block that may be similar and
+    share no group with a smaller key."""
+    left = rows["left"].to_numpy()
+    small, ids, label, low, high = (rows[c].to_numpy() for c in ("small", "id", "label", "low", "high"))
+    bits = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], axis=1)
+    lists = rows["keys"].combine_chunks()
+    counts = np.diff(lists.offsets.to_numpy())
+    # the group's own key fills the lists up: only smaller ones are looked at
+    key = rows["key"][0].as_py() if len(rows) else 0
+    keys = np.full((len(ids), int(counts.max(initial=0))), key, np.int64)
+    inside = np.arange(keys.shape[1]) < counts[:, None]
+    keys[inside] = lists.flatten().to_numpy(zero_copy_only=False)
+    ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
+    out = [], []
+    for p in range(0, len(ours), TILE):
+        for q in range(0, len(theirs), TILE):
+            i, j = ours[p : p + TILE], theirs[q : q + TILE]
+            apart = np.zeros((len(i), len(j)), np.uint16)
+            for k in range(len(columns)):
+                apart += np.bitwise_count(bits[i, k][:, None] ^ bits[j, k][None, :])
+            near = (apart <= most) & (label[i][:, None] != label[j][None, :])
+            near &= ~small[j][None, :] | (ids[i][:, None] < ids[j][None, :])
+            near &= (high[i][:, None] * 100 >= low[j][None, :] * percent) & (
+                high[j][None, :] * 100 >= low[i][:, None] * percent
+            )
+            a, b = np.nonzero(near)
+            for at in range(0, len(a), TILE * 4):
+                x, y = i[a[at : at + TILE * 4]], j[b[at : at + TILE * 4]]
+                before = np.zeros(len(x), bool)
+                for k in range(keys.shape[1]):
+                    one = keys[x, k]
+                    before |= (one < key) & (keys[y] == one[:, None]).any(axis=1)
+                out[0].append(np.minimum(ids[x], ids[y])[~before])
+                out[1].append(np.maximum(ids[x], ids[y])[~before])
+    return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
+
+
 def _in_blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that connect the members of each group (key, id, label) as far as any do."""
 

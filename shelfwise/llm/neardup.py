@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT) -> D
     )
     sets = full_sets(texts, size).join(wanted, ["id", "h1"], "left_semi")
     sets = written(sets.select("id", "items"))
-    roots = linking.link(members, sets, percent, sketches_match)
+    bits = [f"s{i}" for i in range(SKETCH_WORDS)], most_different_bits(ESTIMATE)
+    roots = linking.link(members, sets, percent, sketches_match, bits)
     # a doc_id that comes with several texts joins their classes
     twice = real.groupBy("doc_id").agg(
         F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")

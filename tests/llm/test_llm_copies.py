@@ -108,6 +108,19 @@ def test_links_of_a_chain_and_a_hot_group(spark, monkeypatch, rounds):
     assert got == linked(sets)
 
 
+def test_sketches_of_a_hot_group_meet_once(spark, monkeypatch):
+    """Pairs of different labels come from one of their groups, those of one label from none."""
+    monkeypatch.setattr(linking, "BLOCK_ROWS", 7)
+    sets = {i: {5000 + i} | set(range(2000)) for i in range(40)}
+    sets |= {100 + i: {9000 + i} | set(range(3000, 3050)) for i in range(30)}
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<long>")
+    label = lambda i: 0 if i < 40 else i
+    rows = [(k, i, label(i), 0 if i < 100 else 255) for i in sets for k in (1, 2, 3)]
+    known = spark.createDataFrame(rows, "key long, id long, label long, s0 long")
+    pairs = Counter(tuple(r) for r in linking._sifted(known, frame, 80, ["s0"], 4).collect())
+    assert pairs == Counter((100 + i, 100 + j) for j in range(30) for i in range(j))
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(60)] + [(200, 200 + i) for i in range(1, 50)] + [(7, 7), (300, 301)]
