@@ -3,7 +3,7 @@
 The distinct pieces of a slice of texts are encoded together: an inverted index leads from each
 token pair, named by the token that it merges into, to the places where it occurs in any piece;
 the merges are replayed in rank order, each at all of its places, and only the neighbours of a
-merged place are looked up again. Pieces met before are kept, up to a fixed number.
+merged place are looked up again. Pieces met lately are kept, up to a fixed number.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from shelfwise.llm.common import text_slices, texts_of
+from shelfwise.llm.common import gathered, text_slices, texts_of
 from shelfwise.llm.pretoken import Pieces
 
-#: Encoded pieces kept between slices in each Python worker; beyond it they are encoded again.
-MOST_KEPT = 100_000
+#: Encoded pieces in each of the two generations that a Python worker keeps between slices. When
+#: the young one is full the old one goes, so that pieces which come again are not replayed again.
+MOST_KEPT = 150_000
 #: Bytes of text whose new pieces are encoded together; a longer text stands alone.
-TOGETHER = 8 << 20
+TOGETHER = 16 << 20
+#: Bytes of text that are cut into pieces together.
+CUT_TOGETHER = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -173,7 +176,8 @@ class Encoder:
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
         self.words = Replay(self.ranks)
-        self.kept: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.added = read_added(path)
         longest = sorted((t.decode() for t in self.added), key=len, reverse=True)
         self.mark = "|".join(map(re.escape, longest))
@@ -182,7 +186,7 @@ class Encoder:
         """For slices (first row, end) of the texts: all ids, and the offsets of each row's."""
         for low, high in text_slices(texts, TOGETHER):
             own = texts.slice(low, high - low)
-            if self.added and pc.any(pc.match_substring_regex(own, self.mark)).as_py():
+            if any(pc.any(pc.match_substring(own, t.decode())).as_py() for t in self.added):
                 yield low, high, *self.around_added(own)
             else:
                 for a, b, ids, ends in self.ordinary(own):
@@ -208,20 +212,33 @@ class Encoder:
 
     def ordinary(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """``encode`` for texts whose added tokens, if they hold any, are ordinary characters."""
-        for low, high in text_slices(texts, TOGETHER):
-            slices, new = [], {}
-            if len(self.kept) > MOST_KEPT:
-                self.kept.clear()
-            for a, b in text_slices(texts.slice(low, high - low)):
+        for low, high in text_slices(texts, TOGETHER, trim=False):
+            slices, own = [], {}
+            for a, b in text_slices(texts.slice(low, high - low), CUT_TOGETHER, trim=False):
                 pieces = Pieces(texts.slice(low + a, b - a))
-                names = pieces.distinct.tolist()
-                for c, name in enumerate(names):
-                    if name not in self.kept and name not in new:
-                        new[name] = pieces.word(c)
-                slices.append((low + a, low + b, pieces.codes, pieces.doc_ends, names))
-            self.kept.update(zip(new, self.words.encode(list(new.values())), strict=True))
-            for a, b, codes, doc_ends, names in slices:
-                yield a, b, *self.spread(codes, doc_ends, [self.kept[name] for name in names])
+                words = pieces.words()
+                own.update(dict.fromkeys(words))
+                slices.append((low + a, low + b, pieces.codes, pieces.doc_ends, words))
+            self.fill(own)
+            for a, b, codes, doc_ends, words in slices:
+                yield a, b, *self.spread(codes, doc_ends, [own[w] for w in words])
+
+    def fill(self, own: dict[bytes, bytes]) -> None:
+        """Put the ids of each piece; those not met lately are replayed together."""
+        new = []
+        for word in own:
+            ids = self.young.get(word)
+            if ids is None:
+                ids = self.old.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
+                self.young[word] = ids
+            own[word] = ids
+        for word, ids in zip(new, self.words.encode(new), strict=True):
+            own[word] = self.young[word] = ids
+        if len(self.young) > MOST_KEPT:
+            self.old, self.young = self.young, {}
 
     @staticmethod
     def spread(codes: np.ndarray, doc_ends: np.ndarray, found: list[bytes]):
@@ -262,7 +279,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             texts = texts_of(batch)
             for a, b, ids, ends in coder.encode(texts):
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
@@ -292,7 +309,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         coder = encoder(path)
         digits = [str(i) for i in range(len(coder.token_bytes))]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             texts = texts_of(batch)
             for a, b, ids, ends in coder.encode(texts):
                 written, decoded = [], []

@@ -59,9 +59,9 @@ def give_back() -> None:
         trim(0)
 
 
-def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def text_slices(column: pa.Array, most: int = 1 << 19, trim: bool = True) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about ``most`` bytes each; a long text stands alone.
-    After the last one the memory that they took is given back."""
+    After the last one the memory that they took is given back, if ``trim`` is set."""
     if not len(column):
         return
     ends = string_offsets(column)[1:].astype("int64")
@@ -72,7 +72,22 @@ def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, in
         yield start, stop
         base = int(ends[stop - 1])
         start = stop
-    give_back()
+    if trim:
+        give_back()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts have about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        own = batch.column(batch.schema.get_field_index(name)).nbytes
+        if held and size + own > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
 
 
 def string_offsets(column: pa.Array):

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.bpe import encoder
-from shelfwise.llm.common import texts_of, written
+from shelfwise.llm.bpe import TOGETHER, encoder
+from shelfwise.llm.common import gathered, texts_of, written
 
 CAPACITY = 2048
 #: Rows numbered together in one task.
@@ -203,7 +203,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         names = [f.split()[0] for f in schema.split(", ")]
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             known = batch.column(0).to_pylist()
             for a, b, ids, ends in coder.encode(texts_of(batch)):
                 out: list[tuple] = []

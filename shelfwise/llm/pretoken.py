@@ -8,6 +8,7 @@ characters, so a batch is cut with array operations instead of a match per piece
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,8 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the odd multiplier and of its inverse modulo 2 to the 64."""
+    """The first ``n`` powers of the odd multiplier and of its inverse modulo 2 to the 64, for
+    short windows over words that are hashed already."""
     if len(_powers[0]) < n:
         size = 1 << max(20, (n - 1).bit_length())
         for k, base in enumerate((MULTIPLIER, INVERSE)):
@@ -54,15 +56,43 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of many spans of one sequence, equal for equal spans wherever they lie."""
-    power, inverse = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    term = values.astype(np.uint64)
-    term += np.uint64(1)
-    term *= power[:-1]
-    np.cumsum(term, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of many spans of bytes, equal for equal spans wherever they lie.
+
+    Spans are taken in eight bytes at a time, through two states that are mixed differently, so
+    that no pattern of bytes cancels out as it does in a polynomial; long ones through BLAKE2.
+    """
+    sizes = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(raw) + 1, "<u8", padded.data, 0, (1,))
+    one = mix(sizes.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    two = ~one
+    at, left, rows = starts, sizes, None
+    for _ in range(LONG_SPAN // 8):
+        if not len(at):
+            break
+        value = eights[at] & LOW_BYTES[np.minimum(left, 8)]
+        x, y = (one, two) if rows is None else (one[rows], two[rows])
+        x = mix((x ^ value) * np.uint64(0x9E3779B97F4A7C15))
+        y = (y + value) * np.uint64(0xC2B2AE3D27D4EB4F)
+        y ^= (y >> np.uint64(29)) + x
+        if rows is None:
+            one, two = x, y
+        else:
+            one[rows], two[rows] = x, y
+        more = left > 8
+        rows = np.flatnonzero(more) if rows is None else rows[more]
+        at, left = at[more] + 8, left[more] - 8
+    out = mix(one + two * np.uint64(0x165667B19E3779F9))
+    for i in np.flatnonzero(sizes > LONG_SPAN):
+        digest = hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -98,23 +128,57 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """The pieces of a slice of texts: ``codes`` number them by their first occurrence."""
+    """The pieces of a slice of texts: ``codes`` number the different ones."""
 
     def __init__(self, texts: pa.Array):
         raw, offsets = string_bytes(texts)
-        self.text = raw.tobytes().decode("utf-8")
-        points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
-        chars = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
-        at = chars[offsets]
-        self.starts = piece_starts(points, at[:-1][np.diff(at) > 0])
-        self.ends = np.append(self.starts[1:], len(points))[: len(self.starts)]
-        self.doc_ends = np.searchsorted(self.starts, at)  # pieces before each text and in all
-        hashes = span_hashes(points, self.starts, self.ends)
-        self.codes, self.distinct = pd.factorize(hashes)
-        self.first = np.empty(len(self.distinct), np.int64)
-        self.first[self.codes[::-1]] = np.arange(len(self.codes))[::-1]
-
-    def word(self, code: int) -> bytes:
-        i = self.first[code]
-        return self.text[self.starts[i] : self.ends[i]].encode()
+        points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        begins = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each character
+        at = np.searchsorted(begins, offsets)
+        starts = piece_starts(points, at[:-1][np.diff(at) > 0])
+        self.raw = raw
+        self.starts = begins[starts]
+        self.ends = np.append(self.starts[1:], len(raw))[: len(starts)]
+        self.doc_ends = np.searchsorted(starts, at)  # pieces before each text and in all
+        self.codes, _ = pd.factorize(span_hashes(raw, self.starts, self.ends))
+        self.first = self._first()
+        self._part_unequal()
+
+    def _first(self) -> np.ndarray:
+        count = int(self.codes.max(initial=-1)) + 1
+        out = np.empty(count, np.int64)
+        out[self.codes[::-1]] = np.arange(len(self.codes))[::-1]
+        return out
+
+    def _part_unequal(self) -> None:
+        """Give pieces that share a hash but not their bytes codes of their own."""
+        if not len(self.codes):
+            return
+        sizes = self.ends - self.starts
+        like = self.first[self.codes]
+        other = sizes != sizes[like]
+        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(self.raw) + 1, "<u8", padded.data, 0, (1,))
+        rows, done = np.arange(len(like)), 0
+        while len(rows) and done < LONG_SPAN:
+            mask = LOW_BYTES[np.minimum(sizes[rows] - done, 8)]
+            here, there = eights[self.starts[rows] + done], eights[self.starts[like[rows]] + done]
+            other[rows] |= ((here ^ there) & mask) != 0
+            done += 8
+            rows = rows[(sizes[rows] > done) & ~other[rows]]
+        for i in rows:  # long ones
+            other[i] |= self.bytes_of(i) != self.bytes_of(like[i])
+        if other.any():
+            seen: dict[bytes, int] = {}
+            for i in np.flatnonzero(other):
+                self.codes[i] = seen.setdefault(self.bytes_of(i), len(self.first) + len(seen))
+            self.first = self._first()
+
+    def bytes_of(self, i: int) -> bytes:
+        return self.raw[self.starts[i] : self.ends[i]].tobytes()
+
+    def words(self) -> list[bytes]:
+        """The bytes of the different pieces, in the order of their codes."""
+        raw = self.raw.tobytes()
+        first = self.first
+        return [raw[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)]

@@ -200,3 +200,31 @@ def test_packing_of_documents(spark, library, monkeypatch, unit_rows):
     total = sum(r.length for r in got)
     assert len(places) <= -(-total // 2048) + 1
     assert packing.pack_documents(empty(spark), JSON).count() == 0
+
+
+# ---- words that collide in polynomial hashes -----------------------------------------------
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text = "".join({"a": "ab", "b": "ba"}[c] for c in text)
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_of_equal_polynomial_hash_keep_their_ids(spark, library):
+    texts = [t for n in (1024, 2048, 4096, 8192) for t in thue_morse(n)]
+    got = bpe.digest_documents(documents(spark, list(enumerate(texts))), RANKS).collect()
+    for r in got:
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_each_piece_is_replayed_once_while_it_is_kept():
+    coder = bpe.Encoder(RANKS)
+    replayed = []
+    old = coder.words.replay
+    coder.words.replay = lambda words: replayed.extend(words) or old(words)
+    for _ in range(3):
+        for _ in coder.encode(pa.array([t for _, t in corpus(120)])):
+            pass
+    assert replayed and len(replayed) == len(set(replayed))
