@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, curves, neardup, packing, pii, quality, ring, spotsigs, substrings, urls
+from shelfwise.llm import (
+    bpe,
+    curves,
+    decontaminate,
+    neardup,
+    packing,
+    pii,
+    quality,
+    ring,
+    spotsigs,
+    substrings,
+    urls,
+)
 from shelfwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +86,12 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op12_benchmark_hits(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.hit_report(docs, items)
+
+
 ORACLES["op5_url_filter"] = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0
@@ -150,3 +168,31 @@ SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+ORACLES["op12_benchmark_hits"] = r"""
+WITH texts AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') AS words FROM documents
+), asked AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+    lambda x: x <> '') AS words FROM benchmark
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[i:i + 9], ' ') AS w
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i
+        FROM asked WHERE len(words) > 0)
+), places AS MATERIALIZED (
+  SELECT doc_id, n, i, array_to_string(words[i:i + n - 1], ' ') AS w
+  FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+        FROM texts, (SELECT DISTINCT n FROM windows) WHERE len(words) >= n)
+), found AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM places JOIN windows USING (n, w)),
+hits AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM found, range(0, 10) t(k) WHERE k < n GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM (SELECT DISTINCT doc_id, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
