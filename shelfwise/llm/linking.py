@@ -5,19 +5,24 @@ paired out: in each round every member of a group is compared with one centre of
 with the member that shares groups with most others, and members that are already connected
 with it are left out. In groups that still hold unconnected ones, sketches of the members outside
 the largest connected part then meet those of all others in blocks of bounded size, a pair in the
-first group that it shares; the pairs that the sketches let through are confirmed on full sets.
-Sets without sketches meet in blocks themselves: a task counts the common items of all its members
+first group that it shares. Only members with a pair that the sketches let through stay in a block;
+their full sets are dealt to it, the task confirms its pairs and returns no more links than
+connect its members, so that rows follow the members and not the pairs. Sets without sketches meet in blocks themselves: a task counts the common items of all its members
 with matrix products and returns no more links than connect them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import discard, written
+from shelfwise.storage import spread
 
 #: Rounds with one centre in each group before the remaining members meet.
 ROUNDS = 2
@@ -104,9 +109,9 @@ def link(members: DataFrame, sets: DataFrame, percent: int, may_match, bits=None
             found = written(confirm(pairs, sets, percent))
             discard(pairs)
         elif bits:
-            pairs = written(_sifted(known, sets, percent, *bits))
-            found = written(confirm(pairs, sets, percent))
-            discard(pairs)
+            near = written(_promising(_units(known, sets, bits[0]), percent, *bits))
+            found = written(_connecting(near, sets, percent, *bits))
+            discard(near)
         else:
             found = _in_blocks(known.select("key", "id", "label"), sets, percent)
         discard(known)
@@ -147,29 +152,29 @@ def _with_centres(known: DataFrame, extra: list[str], may_match, round_no: int)
 LINKS = "a long, b long"
 
 
-def _sifted(known: DataFrame, sets: DataFrame, percent: int, columns: list[str], most: int) -> DataFrame:
-    """Pairs of different labels that share a group and whose sizes and sketches are near, once each.
+def _units(known: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The members of each group dealt into blocks (key, x, y) that bound rows and items.
 
     Two members with different labels are not both in the group's largest label, so its members
-    are only compared with the others.
+    are only on the right side; all others are on both.
     """
-
-    def compare(rows: pa.Table) -> pa.Table:
-        found = near_sketches(rows, columns, percent, most)
-        return pa.table([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
-
-    labels = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    groups = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    sized = sets.groupBy("id").agg(
+        F.min(F.size("items")).alias("low"), F.max(F.size("items")).alias("high"), F.sum(F.size("items")).alias("n")
+    )
+    share = F.greatest(F.lit(1 / BLOCK_ROWS), F.col("n") / BLOCK_ITEMS)
+    known = known.join(sized.withColumn("share", share).drop("n"), "id")
+    labels = known.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("share").alias("share"))
+    groups = labels.groupBy("key").agg(
+        F.max(F.struct("n", "label", "share")).alias("main"), F.sum("share").alias("share")
+    )
     groups = groups.select(
         "key",
         F.col("main.label").alias("main"),
-        blocks(F.col("n")).alias("blocks"),
-        blocks(F.col("n") - F.col("main.n")).alias("small_blocks"),
+        F.ceil("share").cast("int").alias("blocks"),
+        F.greatest(F.ceil(F.col("share") - F.col("main.share") - 1e-6), F.lit(1)).cast("int").alias("small_blocks"),
     )
-    sized = sets.groupBy("id").agg(F.min(F.size("items")).alias("low"), F.max(F.size("items")).alias("high"))
     shared = known.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    rows = known.join(groups, "key").join(sized, "id").join(shared, "id")
+    rows = known.join(groups, "key").join(shared, "id")
     rows = written(rows.withColumn("small", F.col("label") != F.col("main")))
     kept = ["key", "id", "label", "small", "low", "high", "keys", *columns]
 
@@ -180,13 +185,37 @@ def _sifted(known: DataFrame, sets: DataFrame, percent: int, columns: list[str],
         names = ("x", "y") if left else ("y", "x")
         return of.select(*kept, F.lit(left).alias("left"), at.alias(names[0]), every.alias(names[1]))
 
-    dealt = side(rows.where("small"), True).unionByName(side(rows, False))
-    return dealt.groupBy("key", "x", "y").applyInArrow(compare, LINKS).distinct()
+    return side(rows.where("small"), True).unionByName(side(rows, False))
+
+
+def _promising(dealt: DataFrame, percent: int, columns: list[str], most: int) -> DataFrame:
+    """The rows of the blocks that have a pair in theirs which the sketches let through."""
+
+    def pick(rows: pa.Table) -> pa.Table:
+        near = np.zeros(len(rows), bool)
+        for i, j in near_pairs(rows, columns, percent, most):
+            near[i] = near[j] = True
+        return rows.filter(pa.array(near))
+
+    unit = ["key", "x", "y"]
+    return spread(dealt, *unit).groupBy(*unit).applyInArrow(pick, dealt.schema)
+
+
+def _connecting(dealt: DataFrame, sets: DataFrame, percent: int, columns: list[str], most: int) -> DataFrame:
+    """Links between the members of each block, no more than connect them."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        pairs = near_pairs(rows, columns, percent, most)
+        found = confirmed_links(rows, pairs, percent)
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    unit = ["key", "x", "y"]
+    return spread(dealt.join(sets, "id"), *unit).groupBy(*unit).applyInArrow(compare, LINKS)
 
 
-def near_sketches(rows: pa.Table, columns: list[str], percent: int, most: int):
-    """Pairs (two arrays) of the left and the other members of a block that may be similar and
-    share no group with a smaller key."""
+def near_pairs(rows: pa.Table, columns: list[str], percent: int, most: int) -> Iterator[tuple]:
+    """Pairs (rows of the left side, rows of the right) of a block whose labels differ, whose sizes
+    and sketches are near, and which share no group with a smaller key."""
     left = rows["left"].to_numpy()
     small, ids, label, low, high = (rows[c].to_numpy() for c in ("small", "id", "label", "low", "high"))
     bits = np.stack([rows[c].to_numpy().view(np.uint64) for c in columns], axis=1)
@@ -198,7 +227,6 @@ def near_sketches(rows: pa.Table, columns: list[str], percent: int, most: int):
     inside = np.arange(keys.shape[1]) < counts[:, None]
     keys[inside] = lists.flatten().to_numpy(zero_copy_only=False)
     ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
-    out = [], []
     for p in range(0, len(ours), TILE):
         for q in range(0, len(theirs), TILE):
             i, j = ours[p : p + TILE], theirs[q : q + TILE]
@@ -217,9 +245,48 @@ def near_sketches(rows: pa.Table, columns: list[str], percent: int, most: int):
                 for k in range(keys.shape[1]):
                     one = keys[x, k]
                     before |= (one < key) & (keys[y] == one[:, None]).any(axis=1)
-                out[0].append(np.minimum(ids[x], ids[y])[~before])
-                out[1].append(np.maximum(ids[x], ids[y])[~before])
-    return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in out)
+                if not before.all():
+                    yield x[~before], y[~before]
+
+
+def confirmed_links(rows: pa.Table, pairs: Iterator[tuple], percent: int):
+    """Of pairs of rows, sorted by the first, those (two lists of ids) whose full sets have that
+    percentage in common, without those that earlier ones connect already."""
+    ids = rows["id"].to_numpy()
+    lists = rows["items"].combine_chunks()
+    starts = lists.offsets.to_numpy()
+    sizes = np.diff(starts)
+    codes, distinct = pd.factorize(lists.flatten().to_numpy(zero_copy_only=False))
+    starts = starts - starts[0]
+    part, _ = pd.factorize(rows["label"].to_numpy())  # the connected part of each row
+    held = np.zeros(len(distinct), bool)
+    a, b = [], []
+    for left, right in pairs:
+        for i, first, end in _stretches(left):
+            j = right[first:end]
+            j = j[part[j] != part[i]]
+            if not len(j):
+                continue
+            own = codes[starts[i] : starts[i] + sizes[i]]
+            held[own] = True
+            ends = np.cumsum(sizes[j])
+            at = np.arange(int(ends[-1])) + np.repeat(starts[j] - (ends - sizes[j]), sizes[j])
+            sums = np.concatenate([[0], np.cumsum(held[codes[at]])])
+            held[own] = False
+            common = sums[ends] - sums[ends - sizes[j]]
+            for k in j[common * (100 + percent) >= percent * (sizes[i] + sizes[j])].tolist():
+                if part[k] != part[i]:
+                    part[part == part[k]] = part[i]
+                    a.append(int(min(ids[i], ids[k])))
+                    b.append(int(max(ids[i], ids[k])))
+    return a, b
+
+
+def _stretches(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first, end) of the stretches of equal values."""
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    for first, end in zip(cuts, cuts[1:], strict=False):
+        yield int(values[first]), first, end
 
 
 def _in_blocks(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
