@@ -15,6 +15,7 @@ from shelfwise.llm import (
     negatives,
     packing,
     pii,
+    prefixes,
     quality,
     ring,
     spotsigs,
@@ -98,6 +99,11 @@ def op12_benchmark_hits(spark, sf_dir):
     return decontaminate.hit_report(docs, items)
 
 
+@query
+def op13_conversation_trie(spark, sf_dir):
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 ORACLES["op5_url_filter"] = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0
@@ -225,3 +231,49 @@ FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
 QUALIFY row_number() OVER w <= 5
 WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
 """
+
+ORACLES["op13_conversation_trie"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+turns AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table
+), parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), rebuilt AS MATERIALIZED (
+  SELECT c.conv_id, list(sha256(length(p.role) || ':' || p.role || p.text) ORDER BY p.part, p.pos)
+    FILTER (p.pos IS NOT NULL) AS s,
+    list(p.text ORDER BY p.part, p.pos) FILTER (p.pos IS NOT NULL) AS texts
+  FROM convs c LEFT JOIN parts p USING (conv_id) GROUP BY c.conv_id
+), passing AS MATERIALIZED (
+  SELECT conv_id, d, coalesce(array_to_string(s[1:d], ','), '') AS k,
+    CASE WHEN d = 0 THEN NULL ELSE coalesce(array_to_string(s[1:d - 1], ','), '') END AS parent,
+    d = coalesce(len(s), 0) AS ends, CASE WHEN d = 0 THEN '' ELSE texts[d] END AS text
+  FROM (SELECT *, unnest(range(0, coalesce(len(s), 0) + 1)) AS d FROM rebuilt)
+), nodes AS MATERIALIZED (
+  SELECT k, any_value(d) AS depth, any_value(parent) AS parent, count(*) AS n_convs, min(conv_id) AS conv_id,
+    len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends
+  FROM passing GROUP BY k
+), children AS MATERIALIZED (SELECT parent AS k, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+up AS (
+  SELECT n.k, n.k AS top, n.parent, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf, (n.n_convs - 1) * n.words AS saved
+  FROM nodes n LEFT JOIN children c USING (k)
+  UNION ALL
+  SELECT u.k, p.k, p.parent, u.leaf, u.saved FROM up u JOIN nodes p ON p.k = u.parent
+), sums AS (SELECT top AS k, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves,
+  s.saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.k = n.parent LEFT JOIN children c ON c.k = n.k JOIN sums s ON s.k = n.k
+"""
