@@ -27,7 +27,7 @@ JOIN = "\x01"  # stands for a single separator inside an e-mail domain or a row
 #: over long rows of characters.
 LOCAL = r"A-Za-z0-9._%+\x01-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+\x01[A-Za-z0-9\x01-]+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"  # a match starts and ends with its rows of digits
 CARD = r"(?<![0-9\x01])(?:[0-9]\x01?){12,18}[0-9](?![0-9\x01])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
@@ -41,6 +41,8 @@ GENERATORS = [AT, DOTTED, DIGITS, TOKEN, ASSIGNED]
 SECRET = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk-[A-Za-z0-9_-]{20,}$"
 NAMED = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?$"
 FEATURES = ["gen", "size", "digits", "upper", "seps", "turns", "at", "sign", "named", "number", "luhn"]
+#: Matches whose places add up in one list; code points of a block in which spans are compared.
+RUN, BLOCK = 256, 4096
 TREES, RATE, PRECISION = 24, 0.4, 0.9
 
 
@@ -50,15 +52,17 @@ def _joined(text: Column, before: str, sign: str, after: str) -> Column:
     return F.regexp_replace(plain, f"(?<={before}){sign}(?={after})", JOIN)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches as (s, e, m, left): code points from and to, the match, the text before it."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(
-        F.slice(gaps, 1, F.size(hits)),
-        hits,
-        lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m"), F.substring(g, -24, 24).alias("left")),
-    )
+    """All matches as (s, e, m, left): code points from and to, the match, the text before it.
+
+    Places add up within runs of bounded length and over the runs, as a list that grows by one
+    match at a time would be copied for each.
+    """
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string,left:string>>)")
 
     def step(acc, x):
@@ -67,7 +71,37 @@ def _matches(text: Column, pattern: str) -> Column:
         return F.struct((s + x["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
+    starts = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def next_start(acc, run):
+        at = acc["out"]
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(at, F.array(acc["at"])).alias("out"))
+
+    def moved(run, at):
+        return F.transform(
+            run["out"], lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["m"].alias("m"), x["left"].alias("left"))
+        )
+
+    def placed(parts):
+        last = F.floor((F.size(parts) - 1) / RUN).cast("int")
+        runs = F.transform(
+            F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(parts, k * RUN + 1, F.lit(RUN)), start, step)
+        )
+        spread_out = lambda r: F.zip_with(r, F.aggregate(r, starts, next_start, lambda acc: acc["out"]), moved)
+        return F.when(F.size(parts) > 0, F.flatten(_bound(runs, spread_out))).otherwise(none)
+
+    def cut(hits):
+        gaps = F.split(text, pattern, -1)
+        return F.zip_with(
+            F.slice(gaps, 1, F.size(hits)),
+            hits,
+            lambda g, m: F.struct(
+                F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m"), F.substring(g, -24, 24).alias("left")
+            ),
+        )
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _bound(hits, lambda h: F.when(F.size(h) > 0, _bound(cut(h), placed)).otherwise(none))
 
 
 def _digits(m: Column) -> Column:
@@ -159,7 +193,7 @@ def _of_kind(kind: int):
 
 
 def proposals(text: Column) -> Column:
-    """The spans of all generators, overlapping each other."""
+    """The spans of all generators, overlapping each other (``clear`` is set by ``found_spans``)."""
     asks = [
         F.contains(text, F.lit("@")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")),
         text.rlike("[0-9]\\.[0-9]"),
@@ -177,6 +211,31 @@ def _meets(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
+def _by_block(spans: Column, last: Column) -> Column:
+    """The spans that reach into each block of code points, from the first block to ``last``."""
+    inside = lambda b: lambda x: (x["s"] < (b + 1) * BLOCK) & (x["e"] > b * BLOCK)
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.filter(spans, inside(b)))
+
+
+def _compared(spans: Column, others: Column, clash, body) -> Column:
+    """``body`` of a test whether a span clashes with any of ``others``. Only those that reach into
+    the same block of code points are compared; clashing spans overlap."""
+    end = F.coalesce(F.array_max(F.transform(spans, lambda y: y["e"])), F.lit(0))
+    last = F.floor(end / BLOCK).cast("int")
+
+    def compare(blocks):
+        def any_of(x):
+            first = F.floor(x["s"] / BLOCK).cast("int")
+            near = F.slice(blocks, first + 1, F.floor(x["e"] / BLOCK).cast("int") - first + 1)
+            return F.exists(near, lambda own: F.exists(own, lambda y: clash(x, y)))
+
+        return body(any_of)
+
+    return F.when(F.size(others) > 0, _bound(_by_block(others, last), compare)).otherwise(
+        body(lambda x: F.lit(False))
+    )
+
+
 @dataclass
 class Model:
     """Trees as (feature, limit, feature, limit, feature, limit, four leaves): the first split and
@@ -243,9 +302,9 @@ def fit(found: DataFrame) -> Model:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = found.where(F.size("proposed") > 0).select(
-        held.alias("held"), "base", F.explode("proposed").alias("p")
+        held.alias("held"), F.explode("proposed").alias("p")
     )
-    right = F.exists("base", lambda b: _meets(b, F.col("p"))) | F.col("p.secret")
+    right = ~F.col("p.clear") | F.col("p.secret")
     counted = (
         rows.select("held", *[F.col(f"p.{f}").alias(f) for f in FEATURES], right.cast("long").alias("right"))
         .groupBy("held", *FEATURES)
@@ -270,14 +329,22 @@ def fit(found: DataFrame) -> Model:
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` and ``proposed`` spans of the whole text (null: empty)."""
+    """``docs`` with ``base`` and ``proposed`` spans of the whole text (null: empty); ``clear``
+    proposals meet no base span."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"base": base_spans(text), "proposed": proposals(text)})
+    found = docs.withColumns({"base": base_spans(text), "_all": proposals(text)})
+    clear = _compared(
+        F.col("_all"),
+        F.col("base"),
+        _meets,
+        lambda hit: F.transform("_all", lambda p: p.withField("clear", ~hit(p))),
+    )
+    return found.withColumn("proposed", clear).drop("_all")
 
 
 def selected(model: Model) -> Column:
-    """The spans that the model adds to ``base``: those over the threshold that meet no base
-    span; of overlapping ones the best (margin, then length, then the first)."""
+    """The spans that the model may add to ``base``: those over the threshold that meet no base
+    span, with what orders them (length, margin, the first)."""
     kind = (
         lambda p: F.when(p["gen"] == 0, 0)
         .when(p["gen"] == 1, 1)
@@ -287,8 +354,8 @@ def selected(model: Model) -> Column:
 
     def scored(p):
         return F.struct(
-            model.margin(lambda f: p[f]).alias("margin"),
             (p["e"] - p["s"]).alias("n"),
+            model.margin(lambda f: p[f]).alias("margin"),
             (-p["s"]).alias("first"),
             (-p["gen"]).alias("order"),
             kind(p).alias("kind"),
@@ -302,18 +369,20 @@ def selected(model: Model) -> Column:
             least = F.when(p["gen"] == gen, F.lit(float(value))).otherwise(least)
         return model.margin(lambda f: p[f]) >= least - 1e-9
 
-    chosen = F.filter("proposed", lambda p: over(p) & ~F.exists("base", lambda b: _meets(b, p)))
+    chosen = F.filter("proposed", lambda p: p["clear"] & over(p))
     return F.transform(chosen, scored)
 
 
 def with_spans(found: DataFrame, model: Model) -> DataFrame:
-    """``found`` with ``spans``: base spans and selected ones, by kind and start."""
+    """``found`` with ``spans``: base spans and selected ones, by kind and start. A selected span that
+    lies within another one is left out; all that any of them covers stays covered."""
     kept = found.withColumn("_chosen", selected(model))
-    best = F.filter(
-        "_chosen", lambda p: ~F.exists("_chosen", lambda q: _meets(p, q) & (q > p))
+    within = lambda p, q: (q["s"] <= p["s"]) & (p["e"] <= q["e"]) & (q > p)
+    best = _compared(
+        F.col("_chosen"), F.col("_chosen"), within, lambda hit: F.filter("_chosen", lambda p: ~hit(p))
     )
     added = F.transform(best, lambda p: F.struct(p["kind"].alias("kind"), p["s"].alias("s"), p["e"].alias("e")))
-    return kept.withColumn("spans", F.array_sort(F.array_union("base", added))).drop("_chosen")
+    return kept.withColumn("spans", F.array_sort(F.concat("base", added))).drop("_chosen")
 
 
 def listed(spans: Column) -> Column:
@@ -345,11 +414,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, model: Model) -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs``, all columns, with every span of ``text`` replaced by its kind in brackets;
-    ``n_chars`` follows in the rows that change. Of overlapping spans the first names the gap."""
-    rows = docs.select(whole_row(docs), "doc_id", "text")
-    found = with_spans(found_spans(rows), model)
+    ``n_chars`` follows in the rows that change. Of overlapping spans the first names the gap.
+    Without a model one is fitted to the proposals of ``docs``."""
+    spans = written(found_spans(docs.select(whole_row(docs), "doc_id", "text")))
+    found = with_spans(spans, model or fit(spans))
     by_place = F.array_sort(
         F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
     )

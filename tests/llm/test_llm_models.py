@@ -144,6 +144,32 @@ def test_exact_rules_match_regular_expressions(spark):
     check_base(rows, pii.find_personal_data(documents(spark, rows)).collect())
 
 
+@pytest.mark.parametrize(
+    "text", [("9" * 100 + ".1.1 ") * 9_500, "user.name@mail.example.com " * 37_000, "+1 " * 330_000]
+)
+def test_texts_of_a_megabyte(spark, text):
+    rows = documents(spark, [(1, text), (2, "a@b.co")]).select("doc_id", pii.base_spans(F.col("text")).alias("b"))
+    got = {r.doc_id: [(pii.KINDS[x.kind], x.s, x.e) for x in r.b] for r in rows.collect()}
+    assert got == {1: base(text), 2: [("email", 0, 6)]}
+
+
+def test_all_of_a_chain_of_overlapping_spans_is_redacted(spark):
+    """The middle one of three overlapping secrets is the best: what the others cover goes, too."""
+    span = lambda s, e, gen: {"s": s, "e": e, "gen": gen, "secret": True, "clear": True} | {
+        f: 0 for f in pii.FEATURES if f != "gen"
+    }
+    model = pii.Model(least=[0.0] * 5)
+    spans = [span(0, 10, 3), span(8, 30, 4), span(28, 38, 3), span(30, 36, 4)]
+    kinds = ", ".join(f"{f}: int" for f in pii.FEATURES)
+    schema = (
+        "doc_id long, base array<struct<kind:int,s:int,e:int>>, "
+        f"proposed array<struct<s:int, e:int, {kinds}, secret: boolean, clear: boolean>>"
+    )
+    rows = spark.createDataFrame([(1, [], spans)], schema)
+    got = pii.with_spans(rows, model).first().spans
+    assert [(x.s, x.e) for x in got] == [(0, 10), (8, 30), (28, 38)]
+
+
 def test_personal_data_of_awkward_rows(spark):
     check_base([(i, t) for i, t, *_ in messy_rows()], pii.find_personal_data(messy(spark)).collect())
     assert pii.find_personal_data(empty(spark)).count() == 0
