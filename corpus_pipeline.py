@@ -30,8 +30,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and secrets replaced by their kind."""
-    found = written(pii.found_spans(docs.select("doc_id", "text")).drop("text"))
-    return pii.redact(docs, pii.fit(found))
+    return pii.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
