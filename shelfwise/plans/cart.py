@@ -65,10 +65,22 @@ def fill_pool(rules: DataFrame, size: int = POOL) -> DataFrame:
     return pool.select("consequent", rank.alias("rank"))
 
 
-def cart_recommend(rules: DataFrame, carts: DataFrame, k: int = DEFAULT_K) -> DataFrame:
+def rules_by_handle(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``handle``, the item of the antecedent that fewest antecedents use: a cart that
+    holds the antecedent holds its handle."""
+    sets = rules.select(F.explode("antecedent").alias("item"), "antecedent").distinct()
+    usage = sets.groupBy("item").agg(F.count(F.lit(1)).alias("uses"))
+    rarest = F.min_by("item", F.struct("uses", "item")).alias("handle")
+    return rules.join(sets.join(usage, "item").groupBy("antecedent").agg(rarest), "antecedent")
+
+
+def cart_recommend(
+    rules: DataFrame, carts: DataFrame, k: int = DEFAULT_K, pool: DataFrame | None = None
+) -> DataFrame:
     """cart, rank, product_id. ``carts`` has cart, cart_items and optionally its own ``k``.
 
-    Equal carts are answered once. The fill pool has a fixed largest size.
+    Equal carts are answered once. The fill pool has a fixed largest size; with a ``pool`` from all
+    rules, ``rules`` need only hold those whose handle lies in one of the carts.
     """
     wanted = F.col("k") if "k" in carts.columns else F.lit(k)
     requests = carts.select(
@@ -94,7 +106,7 @@ def cart_recommend(rules: DataFrame, carts: DataFrame, k: int = DEFAULT_K) -> Da
         .groupBy("cart")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "consequent"))).alias("hits"))
     )
-    pool = fill_pool(rules).agg(
+    pool = (fill_pool(rules) if pool is None else pool).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "consequent"))),
             lambda x: x["consequent"],

@@ -15,9 +15,15 @@ from ..storage import cut
 OTHERS_TAKEN = 2
 
 
-def cluster_lists(requests: DataFrame, clusters: DataFrame, seed: int | str = 42) -> DataFrame:
-    """target, bucket, pos, product_id: up to 8 of ``top`` and 2 random ones of ``others``."""
-    chosen = cluster_for_target(clusters, requests).where(F.col("cluster").isNotNull())
+def cluster_lists(
+    requests: DataFrame, clusters: DataFrame, seed: int | str = 42, chosen: DataFrame | None = None
+) -> DataFrame:
+    """target, bucket, pos, product_id: up to 8 of ``top`` and 2 random ones of ``others``.
+
+    With ``chosen`` (target, cluster), ``clusters`` need only hold the chosen ones.
+    """
+    chosen = cluster_for_target(clusters, requests) if chosen is None else chosen
+    chosen = chosen.where(F.col("cluster").isNotNull())
     members = clusters.select(F.col("target").alias("cluster"), "bucket", "rank", "candidate")
     listed = chosen.join(members, "cluster").where(
         F.col("candidate").isNotNull() & (F.col("candidate") != F.col("target"))
@@ -41,11 +47,13 @@ def cold_recommend(
     final_cut: bool = True,
     size: int = LIST_SIZE,
     seed: int | str = 42,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """target, rank, product_id, source and details. Depends on the product only, so equal
-    requests are answered once and joined back by the caller."""
+    requests are answered once and joined back by the caller. ``details`` need only hold the
+    products of the requested ones' categories and brands."""
     wanted = requests.select("product_id").distinct()
-    lists = cut(cluster_lists(wanted, clusters, seed))
+    lists = cut(cluster_lists(wanted, clusters, seed, chosen))
     taken = lists.groupBy("target").agg(F.collect_list("product_id").alias("excluded"))
     targets = wanted.select(F.col("product_id").alias("target")).join(taken, "target", "left")
     targets = targets.withColumn(

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expressions import rounded
+from ..operators.baselines import Baselines
 from ..operators.factors import Factors, dot
 from ..storage import cut
 from .session import FREQUENT, FREQUENT_TAKEN, LIST_SIZE, MONTHS, session_candidates
@@ -45,28 +46,77 @@ def _best_of_block(k: int):
     return best
 
 
-def best_products(users: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _length(vector: Column, offset: Column | float) -> Column:
+    """The length of a vector with its offset as one more component."""
+    more = F.lit(offset) if isinstance(offset, float) else offset
+    return F.sqrt(F.aggregate(vector, more * more, lambda s, x: s + x * x))
+
+
+def length_ranges(items: DataFrame, first: int) -> list[float]:
+    """The lengths at which the longest ``first``, twice, four times as many products end. Every range
+    but the last is about as large as all before it."""
+    n = items.count()
+    shares = []
+    while first * 2 ** len(shares) < n:
+        shares.append(1 - first * 2 ** len(shares) / n)
+    if not shares:
+        return []
+    return sorted(set(items.agg(F.percentile_approx("length", shares, 10_000)).first()[0]), reverse=True)
+
+
+def best_products(
+    users: DataFrame, items: DataFrame, k: int, user_block: int | None = None, item_block: int | None = None
+) -> DataFrame:
     """user_id, product_id, value: each user's k products of the largest b_i + p q.
 
-    ``users`` (user_id, p) and ``items`` (product_id, b_i, q) are dealt into blocks of bounded
-    size; a user sends k rows from each block of products.
+    ``users`` (user_id, p) and ``items`` (product_id, b_i, q). Products are searched in ranges of
+    falling length: no value in a range is above the product of the lengths of its longest vector and
+    of the user's, offsets included, so a user whose k-th value is above that is done. The others
+    meet the range in blocks of bounded size, and a user sends k rows from each block.
     """
-    users, items = cut(users), cut(items)
-    n_users = max(1, -(-users.count() // USER_BLOCK))
-    n_items = max(1, -(-items.count() // ITEM_BLOCK))
+    user_block, item_block = user_block or USER_BLOCK, item_block or ITEM_BLOCK
+    items = cut(items.withColumn("length", _length(F.col("q"), F.col("b_i"))))
+    ends = length_ranges(items, item_block)
+    number = sum((F.when(F.col("length") <= e, 1).otherwise(0) for e in ends), F.lit(0))
+    items = cut(items.withColumn("range", number))
+    users = cut(users.withColumn("reach", _length(F.col("p"), 1.0)))
+    # as many rows as ranges, which grow with the logarithm of the products
+    ranges = items.groupBy("range").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"))
+    best = None
+    for r in sorted(ranges.collect(), key=lambda r: r["range"]):
+        active = users
+        if best is not None:
+            last = best.groupBy("user_id").agg(F.min("value").alias("last"), F.count(F.lit(1)).alias("found"))
+            # values are rounded to six places, and equal ones go by the smaller id
+            done = last.where((F.col("found") == k)).join(users.select("user_id", "reach"), "user_id")
+            done = done.where(F.col("last") > F.col("reach") * r["longest"] + 1e-6)
+            active = cut(users.join(done, "user_id", "left_anti"))
+            if active.isEmpty():
+                break
+        own = items.where(F.col("range") == r["range"])
+        found = _best_of_range(active, own, k, max(1, -(-r["n"] // item_block)), user_block)
+        order = Window.partitionBy("user_id").orderBy(F.desc("value"), "product_id")
+        every = found if best is None else best.unionByName(found)
+        best = cut(every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"))
+    if best is None:
+        return users.select("user_id", F.lit("").alias("product_id"), F.lit(0.0).alias("value")).limit(0)
+    return best
+
+
+def _best_of_range(users: DataFrame, items: DataFrame, k: int, n_items: int, user_block: int) -> DataFrame:
+    """user_id, product_id, value: the k best of each block of products."""
+    n_users = max(1, -(-users.count() // user_block))
     u = F.pmod(F.xxhash64("user_id"), F.lit(n_users)).alias("ub")
     i = F.pmod(F.xxhash64("product_id"), F.lit(n_items)).alias("ib")
-    left = users.select("*", u, F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("ib"))
-    right = items.select("*", i, F.explode(F.sequence(F.lit(0), F.lit(n_users - 1))).alias("ub"))
+    left = users.select("user_id", "p", u, F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("ib"))
+    right = items.select("product_id", "b_i", "q", i, F.explode(F.sequence(F.lit(0), F.lit(n_users - 1))).alias("ub"))
     left, right = left.withColumn("ib", F.col("ib").cast("bigint")), right.withColumn("ub", F.col("ub").cast("bigint"))
     near = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(
         _best_of_block(k), "user_id string, product_id string"
     )
-    valued = near.join(users, "user_id").join(items, "product_id").select(
+    return near.join(users, "user_id").join(items, "product_id").select(
         "user_id", "product_id", rounded(F.col("b_i") + dot(F.col("p"), F.col("q"))).alias("value")
     )
-    order = Window.partitionBy("user_id").orderBy(F.desc("value"), "product_id")
-    return valued.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
 def personal_recommend(
@@ -76,6 +126,7 @@ def personal_recommend(
     details: DataFrame,
     months: int = MONTHS,
     size: int = LIST_SIZE,
+    item_block: int | None = None,
 ) -> DataFrame:
     """user_id, target, rank, product_id, predicted_score, appearance_count and details.
 
@@ -83,27 +134,50 @@ def personal_recommend(
     by count, the other candidates by the user's predicted score, then the user's best products
     of all. A user or product without factors counts with its offset alone.
     """
-    none = F.array().cast("array<double>")
-
-    def wide(column: str):
-        return F.coalesce(F.col(column).cast("array<double>"), none)
-
-    known = cut(
-        requests.select("user_id", F.col("product_id").alias("target"))
-        .distinct()
-        .join(model.base.users, "user_id")
-        .join(model.users, "user_id", "left")
-        .select("user_id", "target", "b_u", wide("p").alias("p"))
-    )
     products = events.select("product_id").distinct()
+    items = cut(item_rows(model, products))
+    known = requests.select("user_id", F.col("product_id").alias("target")).distinct()
+    known = known.join(user_rows(model), "user_id")
     known = cut(known.join(products.withColumnRenamed("product_id", "target"), "target", "left_semi"))
-    items = cut(
-        products.join(model.base.items, "product_id", "left")
-        .join(model.items, "product_id", "left")
-        .select("product_id", F.coalesce("b_i", F.lit(0.0)).alias("b_i"), wide("q").alias("q"))
-    )
     targets = known.select(F.col("target").alias("product_id")).distinct()
     candidates = session_candidates(events, targets, months)
+    users = known.select("user_id", "p").dropDuplicates(["user_id"])
+    best = best_products(users, items, fill_size(size), item_block=item_block)
+    return personal_lists(known, items, candidates, best, model.base, size).join(details, "product_id", "left")
+
+
+def _wide(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("array<double>"), F.array().cast("array<double>"))
+
+
+def user_rows(model: Factors) -> DataFrame:
+    """user_id, b_u, p of all users the model knows."""
+    users = model.base.users.join(model.users, "user_id", "left")
+    return users.select("user_id", "b_u", _wide("p").alias("p"))
+
+
+def item_rows(model: Factors, products: DataFrame) -> DataFrame:
+    """product_id, b_i, q of all ``products``."""
+    items = products.join(model.base.items, "product_id", "left").join(model.items, "product_id", "left")
+    return items.select("product_id", F.coalesce("b_i", F.lit(0.0)).alias("b_i"), _wide("q").alias("q"))
+
+
+def fill_size(size: int = LIST_SIZE) -> int:
+    """How many of a user's best products a list of ``size`` can need."""
+    return 2 * size + 1
+
+
+def personal_lists(
+    known: DataFrame,
+    items: DataFrame,
+    candidates: DataFrame,
+    best: DataFrame,
+    base: Baselines,
+    size: int = LIST_SIZE,
+) -> DataFrame:
+    """The lists of ``personal_recommend`` without details, from what is known of each request:
+    ``known`` (user_id, target, b_u, p), ``candidates`` (target, product_id, appearance_count),
+    the users' ``best`` products and the ``items`` that occur in both."""
     scored = cut(
         known.join(candidates, "target").join(items, "product_id").select(
             "user_id", "target", "product_id", "appearance_count",
@@ -122,8 +196,7 @@ def personal_recommend(
     rest = ranked(scored, by_value, size + FREQUENT_TAKEN).join(
         high.select(*key, "product_id"), [*key, "product_id"], "left_anti"
     )
-    users = known.select("user_id", "p").dropDuplicates(["user_id"])
-    fill = known.select(*key).join(best_products(users, items, 2 * size + 1), "user_id")
+    fill = known.select(*key).join(best, "user_id")
     fill = fill.where(F.col("product_id") != F.col("target")).select(
         *key, "product_id", F.lit(None).cast("bigint").alias("appearance_count"), "value"
     )
@@ -139,6 +212,5 @@ def personal_recommend(
     top = tiers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     top = top.select(*key, "rank", "product_id", "appearance_count")
     full = top.join(known, key).join(items, "product_id")
-    raw = F.lit(model.base.mean["score"]) + F.col("b_u") + F.col("b_i") + dot(F.col("p"), F.col("q"))
-    full = full.withColumn("predicted_score", model.base.clip(raw)).drop("b_u", "b_i", "p", "q")
-    return full.join(details, "product_id", "left")
+    raw = F.lit(base.mean["score"]) + F.col("b_u") + F.col("b_i") + dot(F.col("p"), F.col("q"))
+    return full.withColumn("predicted_score", base.clip(raw)).drop("b_u", "b_i", "p", "q")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import baskets, coldstart, evaluate, features, weights
 from ..operators.baselines import Baselines, fit_baselines
 from ..operators.factors import Factors, best_factors, fit_factors
+from ..operators.names import GROUP
 from ..schemas import CATALOG, require_columns, require_rows
 from ..sources.artifacts import (
     VERSION_PATTERN,
@@ -17,8 +18,11 @@ from ..sources.artifacts import (
     new_name,
     read_model,
 )
+from ..sources.keyed import BUCKET_ROWS, write_keyed
 from ..storage import cut
+from . import cart, personal
 from .content import K, content_neighbors
+from .session import session_candidates
 
 # Name prefixes of the models.
 CONTENT = "content_base"
@@ -26,6 +30,9 @@ COLLABORATIVE = "collaborative"
 COLDSTART = "coldstart"
 RULES = "association_rules"
 
+#: Name prefix of the tables that requests are answered from.
+SERVING = "serving"
+
 
 def _write(df: DataFrame, root: str, name: str, part: str = "") -> None:
     df.write.mode("errorifexists").parquet("/".join(x for x in (root.rstrip("/"), name, part) if x))
@@ -132,8 +139,45 @@ def train_rules(events: DataFrame, root: str, prefix: str = "electronics", at: s
     return name
 
 
+def train_serving(
+    events: DataFrame, root: str, names: dict[str, str], at: str | None = None, bucket_rows: int = BUCKET_ROWS
+) -> str:
+    """Everything that answers to requests read, keyed by what a request looks up.
+
+    Candidates of every product, each known user's best products, product details by product and
+    by category and brand, the clusters and who lists a product in them, neighbours, and rules by
+    the item under which a cart finds them. What is derived from events is worked out here, once
+    for all requests that the models will answer.
+    """
+    spark = events.sparkSession
+    name = new_name(spark, SERVING, at)
+    events = cut(events)
+    details = cut(features.product_details(events))
+    clusters = read_model(spark, root, names[COLDSTART])
+    listed = clusters.where(F.col("candidate").isNotNull()).groupBy(F.col("candidate").alias("product_id"))
+    rules = cut(read_model(spark, root, names[RULES]))
+    factors = read_factors(spark, root, names[COLLABORATIVE])
+    users, items = cut(personal.user_rows(factors)), cut(personal.item_rows(factors, details.select("product_id")))
+    tables = {
+        "details": (details, ["product_id"]),
+        "names": (details, GROUP),
+        "clusters": (clusters, ["target"]),
+        "listed": (listed.agg(F.min("target").alias("cluster")), ["product_id"]),
+        "near": (read_model(spark, root, names[CONTENT]), ["product_id"]),
+        "candidates": (session_candidates(events, details.select("product_id")), ["target"]),
+        "users": (users, ["user_id"]),
+        "items": (items, ["product_id"]),
+        "best": (personal.best_products(users.select("user_id", "p"), items, personal.fill_size()), ["user_id"]),
+        "rules": (cart.rules_by_handle(rules), ["handle"]),
+    }
+    for part, (df, keys) in tables.items():
+        write_keyed(cut(df), f"{root.rstrip('/')}/{name}/{part}", keys, bucket_rows)
+    _write(cart.fill_pool(rules), root, name, "pool")
+    return name
+
+
 def train_all(raw_events: DataFrame, catalog: DataFrame, root: str, at: str | None = None, **limits) -> dict[str, str]:
-    """All four models, then their announcement. Returns the names by prefix."""
+    """All four models and the tables that serve them, then their announcement. Returns the names by prefix."""
     events = cut(features.clean_events(raw_events))
     made = {
         CONTENT: train_content(catalog, root, at=at, **limits),
@@ -141,6 +185,7 @@ def train_all(raw_events: DataFrame, catalog: DataFrame, root: str, at: str | No
         COLDSTART: train_coldstart(events, root, at=at),
         RULES: train_rules(events, root, at=at),
     }
+    made[SERVING] = train_serving(events, root, made, at)
     announce(events.sparkSession, root, made)
     return made
 
@@ -148,6 +193,6 @@ def train_all(raw_events: DataFrame, catalog: DataFrame, root: str, at: str | No
 def current_models(spark: SparkSession, root: str) -> dict[str, str]:
     """Newest announced name of each model."""
     wanted = spark.createDataFrame(
-        [(p, p) for p in (CONTENT, COLLABORATIVE, COLDSTART, RULES)], "prefix string, default_name string"
+        [(p, p) for p in (CONTENT, COLLABORATIVE, COLDSTART, RULES, SERVING)], "prefix string, default_name string"
     )
     return {r["prefix"]: r["name"] for r in latest_artifact(announced(spark, root), wanted, VERSION_PATTERN).collect()}

@@ -154,3 +154,40 @@ def test_best_products_in_blocks(spark, monkeypatch, users, items):
     for u, own in p.items():
         order = sorted(q, key=lambda i: (-q[i][0] - sum(a * b for a, b in zip(own, q[i][1], strict=True)), i))
         assert got[u] == set(order[:4])
+
+
+def test_most_users_are_done_after_a_few_ranges(spark, monkeypatch):
+    """50,000 products whose vectors get shorter: a block meets few users behind the first ranges."""
+    from pyspark.sql import functions as F
+
+    from shelfwise.plans import personal
+
+    met = []
+    search = personal._best_of_range
+
+    def watched(users, items, *more):
+        met.append((users.count(), items.count()))
+        return search(users, items, *more)
+
+    monkeypatch.setattr(personal, "_best_of_range", watched)
+    n = 50_000
+    turn = (F.col("id") * 0.7).alias("a")
+    items = spark.range(n).select("id", turn, (100 / (F.col("id") + 1) ** 0.5).alias("r"))
+    items = items.select(
+        F.format_string("i%05d", "id").alias("product_id"),
+        F.lit(0.0).alias("b_i"),
+        F.array(F.col("r") * F.cos("a"), F.col("r") * F.sin("a")).alias("q"),
+    )
+    users = spark.range(40).select(
+        F.concat(F.lit("u"), "id").alias("user_id"), F.array(F.cos(F.col("id")), F.sin(F.col("id"))).alias("p")
+    )
+    users = users.unionByName(spark.createDataFrame([("none", [])], "user_id string, p array<double>"))
+    got = {}
+    for x in best_products(users, items, 5, item_block=512).collect():
+        got.setdefault(x.user_id, set()).add(x.product_id)
+    assert sum(u * i for u, i in met) < 0.1 * 41 * n and met[0][1] <= 600
+    rows = [(x.product_id, x.q) for x in items.collect()]
+    for x in users.collect():
+        p = x.p or [0.0, 0.0]
+        order = sorted(rows, key=lambda v: (-round(p[0] * v[1][0] + p[1] * v[1][1], 6), v[0]))
+        assert got[x.user_id] == {i for i, _ in order[:5]}

@@ -115,7 +115,7 @@ def test_requests_are_answered_from_the_stream(spark, sf, trained, tmp_path):
 
     folder = checkpoint_dir(spark).removeprefix("file:")
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
-    query = serving.serve(stream, root, lambda: events, sink, str(tmp_path / "cp"), once=True)
+    query = serving.serve(stream, root, sink, str(tmp_path / "cp"), once=True)
     query.awaitTermination(240)
     assert query.exception() is None
     got = spark.read.parquet(f"{out}/0").groupBy("request_id").agg(
