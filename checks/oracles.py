@@ -236,6 +236,7 @@ _clusters(8, 5)
 _clusters(5, 2)
 ORACLES["cooccurrence"] = _with(["cooc"], "SELECT * FROM cooc")
 ORACLES["coldstart_clusters"] = _with(["clusters_8_5"], "SELECT * FROM clusters_8_5")
+ORACLES["incremental_clusters"] = _with(["clusters_8_5"], "SELECT * FROM clusters_8_5")
 _cte(
     "cluster_of",
     ["clusters_8_5", "catalog"],
@@ -370,6 +371,16 @@ ORACLES["basket_rules"] = _with(
     f"""SELECT array_to_string(antecedent, ',') AS antecedent, consequent, {r6('support')} AS support,
         {r6('confidence')} AS confidence, {r6('lift')} AS lift, {r6('score')} AS score FROM rules""",
 )
+ORACLES["basket_rules_all"] = _with(
+    ["itemsets", "brand_ids"],
+    f"""SELECT array_to_string(a.items, ',') AS antecedent, array_to_string(c.items, ',') AS consequent,
+        {r6('x.freq / n')} AS support, {r6('x.freq / a.freq')} AS confidence,
+        {r6('(x.freq / a.freq) / (c.freq / n)')} AS lift, {r6('x.freq / n - a.freq / n * (c.freq / n)')} AS leverage
+        FROM itemsets x, itemsets a, itemsets c, (SELECT count(*)::DOUBLE AS n FROM brand_ids)
+        WHERE len(a.items) < len(x.items) AND list_has_all(x.items, a.items)
+          AND c.items = list_filter(x.items, lambda i: NOT list_contains(a.items, i))
+          AND x.freq / a.freq >= 0.08""",
+)
 _cte("cart_items", ["brand_lines"], "SELECT DISTINCT user_session AS cart, product_id AS item FROM brand_lines")
 _cte("rule_ids", ["rules"], "SELECT row_number() OVER () AS rid, * FROM rules")
 _cte(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,11 @@ from shelfwise.operators import names, sampling, text
 from shelfwise.operators import predictors as pred
 from shelfwise.operators import vectors as vec
 from shelfwise.operators import weights as wt
-from shelfwise.plans import cart, content, personal, session
+from shelfwise.plans import cart, content, incremental, personal, session
 from shelfwise.plans import cold as coldplan
 from shelfwise.session import prepare
 from shelfwise.sources import artifacts
-from shelfwise.storage import cut
+from shelfwise.storage import checkpoint_dir, cut
 from shelfwise.streaming import retrain
 
 from . import fixtures as fx
@@ -148,6 +149,19 @@ def coldstart_clusters(spark, sf):
     return clusters(spark, sf).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def incremental_clusters(spark, sf):
+    """All events in three batches that tear sessions apart, one of them twice, put together once."""
+    events = clean(spark, sf)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    batch = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    for number in (2, 0, 2, 1):
+        incremental.update_clusters(events.where(batch == number), root, str(number))
+        if number == 0:
+            incremental.compact(spark, root)
+    return incremental.current_clusters(spark, root).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query
 def cluster_for_target(spark, sf):
     return cold.cluster_for_target(clusters(spark, sf), fx.catalog(spark, sf))
@@ -211,6 +225,14 @@ def basket_rules(spark, sf):
     return six(rules, "support", "confidence", "lift", "score")
 
 
+@query
+def basket_rules_all(spark, sf):
+    prepared = bk.prepare_baskets(fx.brand_lines(spark, sf))
+    rules = bk.all_rules(bk.frequent_itemsets(bk.mine(prepared)), prepared.ids.count())
+    rules = rules.withColumns({c: F.array_join(c, ",") for c in ("antecedent", "consequent")})
+    return six(rules, "support", "confidence", "lift", "leverage")
+
+
 def brand_carts(spark, sf):
     lines = fx.brand_lines(spark, sf).distinct()
     return lines.groupBy(F.col("user_session").alias("cart")).agg(
@@ -490,7 +512,7 @@ def personal_recommend(spark, sf):
         fixed_factors(model.items, "product_id", "q", "i"),
     )
     df = personal.personal_recommend(
-        fx.last_touch(spark, sf), events, factors, ft.product_details(events)
+        fx.last_touch(spark, sf), events, factors, ft.product_details(events), item_block=256
     )
     return six(big_rank(df), "predicted_score")
 

@@ -1,4 +1,4 @@
-"""Baskets from sessions, frequent itemsets and one-consequent rules (FP-Growth)."""
+"""Baskets from sessions, frequent itemsets (FP-Growth) and rules with one or more consequents."""
 
 from __future__ import annotations
 
@@ -115,3 +115,47 @@ def basket_rules(model: FPGrowthModel) -> DataFrame:
         "lift",
         rounded(F.col("confidence") * F.col("lift")).alias("score"),
     )
+
+
+def all_rules(itemsets: DataFrame, n_baskets: int, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """antecedent, consequent (both sorted arrays), support, confidence, lift, leverage.
+
+    Every split of every frequent set (``items``, ``freq``) into two parts that are not empty. The
+    antecedent shrinks as the consequent grows, and its count can only rise, so a split that
+    falls short of the confidence is not grown any further: consequents grow by one item at a
+    time, always a later one of the set, so that each is reached once, from its own beginning.
+    Rounds are the items of the largest set less one.
+    """
+    name = lambda c: F.sha2(F.array_join(c, "\u0001"), 256)
+    sets = itemsets.select(F.array_sort("items").alias("items"), F.col("freq").cast("double").alias("freq"))
+    sets = cut(sets.withColumn("key", name(F.col("items"))))
+    counts = sets.select("key", F.col("freq").alias("part_freq"))
+    empty = F.array().cast("array<string>")
+    grown = sets.where(F.size("items") > 1).select("items", "freq", empty.alias("consequent"), F.lit(0).alias("at"))
+    found = None
+    while True:
+        places = F.sequence(F.col("at") + 1, F.size("items"))
+        longer = grown.where((F.col("at") < F.size("items")) & (F.size("consequent") < F.size("items") - 1))
+        longer = longer.select("items", "freq", "consequent", F.explode(places).alias("at"))
+        longer = longer.withColumn("consequent", F.concat("consequent", F.array(F.element_at("items", F.col("at")))))
+        longer = longer.withColumn("antecedent", F.array_except("items", "consequent"))
+        held = longer.withColumn("key", name(F.col("antecedent"))).join(counts, "key").drop("key")
+        grown = cut(held.where(F.col("freq") / F.col("part_freq") >= min_confidence))
+        if grown.isEmpty():
+            break
+        rows = grown.withColumnRenamed("part_freq", "antecedent_freq")
+        found = rows if found is None else found.unionByName(rows)
+        grown = grown.select("items", "freq", "consequent", "at")
+    if found is None:
+        found = grown.withColumnRenamed("part_freq", "antecedent_freq")
+    rules = found.withColumn("key", name(F.col("consequent"))).join(counts, "key")
+    n = float(max(n_baskets, 1))
+    confidence = F.col("freq") / F.col("antecedent_freq")
+    return rules.select(
+        "antecedent",
+        "consequent",
+        (F.col("freq") / n).alias("support"),
+        confidence.alias("confidence"),
+        (confidence / (F.col("part_freq") / n)).alias("lift"),
+        (F.col("freq") / n - F.col("antecedent_freq") / n * (F.col("part_freq") / n)).alias("leverage"),
+    )

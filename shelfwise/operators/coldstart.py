@@ -33,14 +33,25 @@ def coldstart_clusters(
     seed: int | str = 42,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """target, bucket, rank, candidate, freq.
+    """target, bucket, rank, candidate, freq of the products of all events."""
+    targets = events.select(F.col("product_id").alias("target")).distinct()
+    return rank_partners(cut(cooccurrence(events, chunk)), targets, top_n, random_n, seed)
+
+
+def rank_partners(
+    pairs: DataFrame,
+    targets: DataFrame,
+    top_n: int = TOP_N,
+    random_n: int = RANDOM_N,
+    seed: int | str = 42,
+) -> DataFrame:
+    """target, bucket, rank, candidate, freq from the counts of pairs (target, candidate, freq).
 
     ``top`` holds the most frequent partners, ``others`` a random pick of the rest. The pick is
     the smallest md5 values among partners not in ``top``; these are among the
     top_n + random_n smallest of all partners, so both lists come from limits that are applied
     before the shuffle. A product without partners keeps one row with null candidate.
     """
-    pairs = cut(cooccurrence(events, chunk))
     by_freq = Window.partitionBy("target").orderBy(F.desc("freq"), "candidate")
     top = pairs.withColumn("rank", F.row_number().over(by_freq)).where(F.col("rank") <= top_n)
     by_draw = Window.partitionBy("target").orderBy("__h", "candidate")
@@ -56,8 +67,7 @@ def coldstart_clusters(
         .select(*columns)
         .unionByName(others.withColumn("bucket", F.lit("others")).select(*columns))
     )
-    alone = events.select(F.col("product_id").alias("target")).distinct()
-    alone = alone.join(lists.select("target"), "target", "left_anti")
+    alone = targets.join(lists.select("target"), "target", "left_anti")
     return cut(lists.unionByName(alone, allowMissingColumns=True))
 
 
