@@ -1042,6 +1042,63 @@ ORACLES["slope_one"] = _with(
           JOIN rated r USING (user_id) JOIN devs v ON v.product_id = t.product_id
           AND v.rated = r.product_id GROUP BY ALL) USING (user_id, product_id)""",
 )
+# Co-clustering: the assignments of every epoch are tables of their own. All epochs are written out;
+# one without any move repeats the state before it.
+_CELL = "coalesce({v}, (SELECT avg(score) FROM rated))"
+for _key, _name in (("user_id", "g"), ("product_id", "h")):
+    _cte(
+        f"co_{_name}0",
+        ["rated"],
+        f"""SELECT {_key}, avg(score) AS mean_{_name},
+            CAST(concat('0x', substr(md5(concat('42:', {_key})), 1, 8)) AS BIGINT) % 3 AS {_name}
+            FROM rated GROUP BY {_key}""",
+    )
+
+
+def _co_tables(e: int) -> None:
+    joined = f"rated JOIN co_g{e} USING (user_id) JOIN co_h{e} USING (product_id)"
+    needs = ["rated", f"co_g{e}", f"co_h{e}"]
+    _cte(f"co_cell{e}", needs, f"SELECT g, h, avg(score) AS cell FROM {joined} GROUP BY g, h")
+    _cte(f"co_by_g{e}", needs, f"SELECT g, avg(score) AS by_g FROM {joined} GROUP BY g")
+    _cte(f"co_by_h{e}", needs, f"SELECT h, avg(score) AS by_h FROM {joined} GROUP BY h")
+
+
+def _co_estimate(e: int, source: str) -> str:
+    return f"""(SELECT x.*, {_CELL.format(v='cell')} + (mean_g - {_CELL.format(v='by_g')})
+                  + (mean_h - {_CELL.format(v='by_h')}) AS est
+                FROM {source} x LEFT JOIN co_cell{e} USING (g, h) LEFT JOIN co_by_g{e} USING (g)
+                LEFT JOIN co_by_h{e} USING (h))"""
+
+
+def _co_assign(e: int, key: str, name: str, users: str, items: str) -> None:
+    """The cluster of least squared error for each user, or product, by the means of epoch ``e``."""
+    other = "mean_g, mean_h, h" if name == "g" else "mean_g, mean_h, g"
+    source = f"""(SELECT user_id, product_id, score, {other}, c AS {name}
+                  FROM rated JOIN {users} USING (user_id) JOIN {items} USING (product_id), range(3) t(c))"""
+    _cte(
+        f"co_{name}{e + 1}",
+        ["rated", users, items, f"co_cell{e}", f"co_by_g{e}", f"co_by_h{e}"],
+        f"""SELECT {key}, any_value(mean_{name}) AS mean_{name}, arg_min({name}, (err, {name})) AS {name}
+            FROM (SELECT {key}, any_value(mean_{name}) AS mean_{name}, {name},
+                    round(sum((score - est) * (score - est)), 9) AS err
+                  FROM {_co_estimate(e, source)} GROUP BY {key}, {name}) GROUP BY {key}""",
+    )
+
+
+_EPOCHS = 20
+for _e in range(_EPOCHS):
+    _co_tables(_e)
+    _co_assign(_e, "user_id", "g", f"co_g{_e}", f"co_h{_e}")
+    _co_assign(_e, "product_id", "h", f"co_g{_e + 1}", f"co_h{_e}")
+_co_tables(_EPOCHS)
+ORACLES["coclustering"] = _with(
+    ["rated", "rated_test", f"co_cell{_EPOCHS}", f"co_by_g{_EPOCHS}", f"co_by_h{_EPOCHS}"],
+    f"""SELECT user_id, product_id, {r6('score')} AS score, {r6('least(greatest(est, lo), hi)')} AS est
+        FROM (SELECT user_id, product_id, score, CASE WHEN g IS NOT NULL AND h IS NOT NULL THEN est
+                ELSE coalesce(mean_g, mean_h, (SELECT avg(score) FROM rated)) END AS est
+              FROM {_co_estimate(_EPOCHS, f"(SELECT * FROM rated_test LEFT JOIN co_g{_EPOCHS} USING (user_id) LEFT JOIN co_h{_EPOCHS} USING (product_id))")}),
+        (SELECT min(score) AS lo, max(score) AS hi FROM rated)""",
+)
 ORACLES["normal_predictor"] = _with(
     ["rated_test", "rated"],
     f"""SELECT user_id, product_id, {r6('score')} AS score,

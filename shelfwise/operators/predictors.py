@@ -260,9 +260,10 @@ def coclustering(
     """Co-cluster mean plus the user's and the product's offset from their clusters' means.
 
     The numbers of clusters are fixed, so cluster means are a handful of numbers. Each epoch
-    assigns users, then products, to the cluster with the least squared error; the errors for all
-    clusters of a row are summed side by side in one aggregation, and the assignments are written
-    to cut the plan. When nobody moves, further epochs would repeat the same state.
+    assigns users, then products, to the cluster with the least squared error, rounded to nine
+    places, the first of equal ones. The errors for all clusters of a row are summed side by side
+    in one aggregation, and the assignments are written to cut the plan. When nobody moves,
+    further epochs would repeat the same state.
     """
     mean, _, low, high = scale(train)
     ratings = cut(train.select("user_id", "product_id", "score"))
@@ -313,7 +314,7 @@ def coclustering(
         for c in range(n):
             g, h = (F.lit(c), F.col("h")) if name == "g" else (F.col("g"), F.lit(c))
             gap = F.col("score") - estimate(t, g, h)
-            errors.append(F.struct(F.sum(gap * gap).alias("e"), F.lit(c).alias("c")))
+            errors.append(F.struct(F.round(F.sum(gap * gap), 9).alias("e"), F.lit(c).alias("c")))
         best = joined.groupBy(key).agg(
             F.array_min(F.array(*errors))["c"].alias("__new"),
             F.any_value(f"mean_{name}").alias(f"mean_{name}"),
