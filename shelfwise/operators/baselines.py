@@ -17,6 +17,9 @@ REG_ITEM = 10.0
 # Parts of each user's and product's pairs, so that none of them is one task's work.
 SALTS = 8
 
+# Passes that run as one job, from one written table of offsets to the next.
+PASSES = 5
+
 
 @dataclass
 class Baselines:
@@ -48,9 +51,9 @@ def fit_baselines(
     reg_item: float = REG_ITEM,
 ) -> Baselines:
     """Each pass adds up the other side's offsets over (user, item) pairs: sums combine on the
-    map side, so a popular product costs no more than one row per task. Every pass is written,
-    which bounds the plan and what a lost executor can cost. Offsets are linear in the scores,
-    hence several score columns are fitted in the same passes.
+    map side, so a popular product costs no more than one row per task. Offsets are written after
+    every few passes, which bounds the plan and what a lost executor can cost. They are linear in
+    the scores, hence several score columns are fitted in the same passes.
     """
     values = list(values)
     ratings = cut(ratings.select("user_id", "product_id", *values))
@@ -72,7 +75,7 @@ def fit_baselines(
     pairs = ratings.select("user_id", "product_id")
     user_totals, item_totals = totals("user_id", reg_user), totals("product_id", reg_item)
 
-    def offsets(own: str, sums: DataFrame, name: str, rows: DataFrame, other, key: str, oname: str):
+    def offsets(number: int, own: str, sums: DataFrame, name: str, rows: DataFrame, other, key: str, oname: str):
         if other is None:
             joined, minus = sums, {v: F.lit(0.0) for v in values}
         else:
@@ -81,12 +84,10 @@ def fit_baselines(
                 *[F.sum(f"{oname}_{v}").alias(f"__o_{v}") for v in values]
             )
             joined, minus = sums.join(added, own), {v: F.col(f"__o_{v}") for v in values}
-        return cut(
-            joined.select(
-                own,
-                *[((F.col(f"__t_{v}") - minus[v]) / F.col("__den")).alias(f"{name}_{v}") for v in values],
-            )
+        new = joined.select(
+            own, *[((F.col(f"__t_{v}") - minus[v]) / F.col("__den")).alias(f"{name}_{v}") for v in values]
         )
+        return cut(new) if number % PASSES == 0 or number >= 2 * epochs - 1 else new
 
     # The pairs are dealt out once by each side, a user's or product's over several buckets; in the
     # passes only offsets and sums move.
@@ -98,9 +99,9 @@ def fit_baselines(
         bucketed(salted("product_id"), "user_id", "salt") as by_user,
         bucketed(salted("user_id"), "product_id", "salt") as by_item,
     ):
-        for _ in range(epochs):
-            items = offsets("product_id", item_totals, "b_i", by_user, users, "user_id", "b_u")
-            users = offsets("user_id", user_totals, "b_u", by_item, items, "product_id", "b_i")
+        for n in range(1, 2 * epochs, 2):
+            items = offsets(n, "product_id", item_totals, "b_i", by_user, users, "user_id", "b_u")
+            users = offsets(n + 1, "user_id", user_totals, "b_u", by_item, items, "product_id", "b_i")
     if values == ["score"]:
         users = users.withColumnRenamed("b_u_score", "b_u")
         items = items.withColumnRenamed("b_i_score", "b_i")
