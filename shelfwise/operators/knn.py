@@ -1,33 +1,55 @@
-"""Exact k nearest neighbours by cosine, as a partitioned join.
-
-Vectors are grouped around a bounded number of pivots. A query first meets the vectors of its own
-group, which gives the k-th best similarity so far; by the triangle inequality on angles, other
-groups that cannot hold anything better are skipped. Groups are cut into chunks of bounded size on
-both sides, and each task returns only k rows per query, so a large group is spread over many
-tasks and no pair of vectors is ever written out.
+"""Exact k nearest neighbours by cosine.
+
+Rows are put into an order in which near ones stand together: sparse rows by their heaviest columns,
+dense ones by the nearest of a bounded number of pivots. In that order a query first meets the rows
+around it, which gives a k-th best similarity that it will reach. Then queries are dealt to a
+bounded number of groups, and all rows stream past each group in blocks. Two bounds skip blocks that
+cannot hold anything better: the largest value of each column, and the triangle inequality on
+angles around the middle of a block. What is left is compared in single precision, and only rows
+that may count are compared exactly. No pair of vectors is ever written out, and the rows are
+shuffled once for each group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import cut, spread
+from ..storage import cut
+from .meet import groups_for, keep_best, lists, meet, padded, stretches
+from .sampling import dense_index
 
 CHUNK_ROWS = 2048
 MAX_PIVOTS = 256
 PLACES = 6
 
-# Larger than the rounding step of the similarities, so that rounding never prunes a tie.
+# Rows of a block that streams past the queries, and queries that one group holds at most.
+BLOCK_ROWS = 512
+GROUP_ROWS = 50_000
+
+# Values that are gathered at once to compare candidates exactly.
+MOST_VALUES = 4_000_000
+
+# Heaviest columns that order a sparse row.
+HEAVIEST = 6
+
+# Larger than the rounding step of the similarities, so that rounding never prunes a tie; the second
+# one also covers single precision.
 SLACK = 2e-6
+SLACK_SINGLE = 2e-5
+
+# A key orders by similarity in steps, then by the number of the id.
+_STEPS = 10**PLACES
+_IDS = 1 << 40
+_NONE = np.iinfo(np.int64).min
 
-_ROW = "id string, idx array<int>, val array<double>, cell int, angle double"
 _FOUND = "id string, neighbor string, similarity double"
+_ROW = "id string, num bigint, idx array<int>, val array<double>, sig array<int>"
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -44,158 +66,222 @@ def unit_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     )
 
 
-def _dense(rows: pd.DataFrame, columns: np.ndarray) -> np.ndarray:
-    """Rows as a dense matrix over the given columns; values elsewhere are left out."""
-    out = np.zeros((len(rows), len(columns)))
-    for r, (idx, val) in enumerate(zip(rows["idx"], rows["val"], strict=True)):
-        if len(val):
-            idx = np.asarray(idx) if len(idx) else np.arange(len(val))
-            at = np.searchsorted(columns, idx)
-            at[at == len(columns)] = 0
-            ok = columns[at] == idx
-            out[r, at[ok]] = np.asarray(val)[ok]
-    return out
-
+class _Rows:
+    """Vectors of a batch: row, column and value of each entry. A row without columns is dense."""
 
-def _columns(rows: pd.DataFrame) -> np.ndarray:
-    sets = [
-        np.asarray(idx) if len(idx) else np.arange(len(val))
-        for idx, val in zip(rows["idx"], rows["val"], strict=True)
-    ]
-    return np.unique(np.concatenate([np.zeros(1, dtype=int), *sets]))
-
-
-def _angles(rows: pd.DataFrame, pivots: pd.DataFrame) -> np.ndarray:
-    columns = _columns(pivots)
-    p = _dense(pivots, columns)
-    parts = [
-        _dense(rows.iloc[i : i + CHUNK_ROWS], columns) @ p.T for i in range(0, len(rows), CHUNK_ROWS)
-    ]
-    return np.arccos(np.clip(np.concatenate(parts), -1.0, 1.0))
-
-
-def _place(pivots: pd.DataFrame):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def __init__(self, rows: pa.RecordBatch):
+        self.n = rows.num_rows
+        self.row, self.value = lists(rows.column("val"), np.float64)
+        if len(rows.column("idx").flatten()) == len(self.row):
+            self.col = lists(rows.column("idx"), np.int64)[1]
+        else:
+            # Dense rows, or both kinds: a dense entry's column is its place.
+            idx = rows.column("idx")
+            sizes = np.asarray(rows.column("val").value_lengths().fill_null(0))
+            self.col = np.arange(len(self.row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            sparse = np.asarray(idx.value_lengths().fill_null(0)) > 0
+            self.col[sparse[self.row]] = np.asarray(idx.flatten(), dtype=np.int64)
+        self.columns = np.unique(self.col)
+
+    def dense(self, columns: np.ndarray, dtype=np.float64) -> np.ndarray:
+        """Rows as a dense matrix over the given columns; values elsewhere are left out."""
+        out = np.zeros((self.n, len(columns)), dtype=dtype)
+        if len(columns):
+            at = np.minimum(np.searchsorted(columns, self.col), len(columns) - 1)
+            ok = columns[at] == self.col
+            out[self.row[ok], at[ok]] = self.value[ok]
+        return out
+
+
+def _place(pivots: _Rows):
+    """Sets the order of dense rows: the number of the pivot at the smallest angle."""
+    matrix = pivots.dense(pivots.columns)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if len(rows):
-                angles = _angles(rows, pivots)
-                cell = angles.argmin(axis=1)
-                yield rows.assign(cell=cell, angle=angles[np.arange(len(rows)), cell])
+            cells = [
+                (_Rows(rows.slice(s, CHUNK_ROWS)).dense(pivots.columns) @ matrix.T).argmax(axis=1)
+                for s in range(0, rows.num_rows, CHUNK_ROWS)
+            ]
+            cells = np.concatenate([np.empty(0, dtype=np.int64), *cells]).astype(np.int32)
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32)), pa.array(cells))
+            yield rows.set_column(rows.schema.get_field_index("sig"), "sig", sig)
 
     return run
 
 
-def _other_cells(pivots: pd.DataFrame, radius: dict[int, float]):
-    """For each query, the other groups that can hold something at least as good as ``tau``."""
-    r = np.array([radius.get(c, -1.0) for c in range(len(pivots))])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if not len(rows):
-                continue
-            best = np.cos(np.clip(_angles(rows, pivots) - r, 0.0, np.pi))
-            open_ = (best >= rows["tau"].to_numpy()[:, None] - SLACK) & (r >= 0)
-            open_[np.arange(len(rows)), rows["cell"].to_numpy()] = False
-            keep = open_.any(axis=1)
-            out = rows.loc[keep, ["id", "idx", "val", "tau"]]
-            yield out.assign(cells=[np.flatnonzero(o).astype(np.int32) for o in open_[keep]])
+def _first_bound(k: int, chunk: int):
+    """Deals queries to the group of their range, with the k-th best similarity among the rows of
+    the same chunk."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk):
+                rows = batch.slice(start, chunk)
+                data = np.asarray(rows.column("data"))
+                asked = np.flatnonzero(np.asarray(rows.column("query")))
+                tau = np.full(len(asked), -2.0)
+                if len(asked) and data.sum() >= k:
+                    vectors = _Rows(rows)
+                    matrix = vectors.dense(vectors.columns)
+                    sims = matrix[asked] @ matrix[data].T
+                    tau = np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]
+                kept = rows.take(pa.array(asked))
+                columns = [kept.column(c) for c in ("lo", "id", "num", "idx", "val", "sig")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(tau)], names=["lo", "id", "num", "idx", "val", "sig", "tau"]
+                )
 
     return run
 
 
-def _postings(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(column, row number, value) of all entries of sparse rows, sorted by column."""
-    lengths = rows["idx"].map(len).to_numpy()
-    column = np.concatenate(rows["idx"].to_list()).astype(int)
-    value = np.concatenate(rows["val"].to_list())
-    order = np.argsort(column, kind="stable")
-    return column[order], np.repeat(np.arange(len(rows)), lengths)[order], value[order]
-
-
-def _products(asked: pd.DataFrame, data: pd.DataFrame) -> np.ndarray:
-    """Inner products of two bounded sets of rows; sparse rows only meet in shared columns."""
-    if not (asked["idx"].map(len).any() and data["idx"].map(len).any()):
-        columns = _columns(data)
-        return _dense(asked, columns) @ _dense(data, columns).T
-    out = np.zeros((len(asked), len(data)))
-    qc, qr, qv = _postings(asked)
-    dc, dr, dv = _postings(data)
-    for c in np.intersect1d(qc, dc):
-        q = slice(*np.searchsorted(qc, [c, c + 1]))
-        d = slice(*np.searchsorted(dc, [c, c + 1]))
-        out[np.ix_(qr[q], dr[d])] += np.outer(qv[q], dv[d])
-    return out
-
-
-def _nearest(k: int):
-    """The k best of a unit's data for each of its queries, at least as good as their ``tau``."""
-
-    def run(unit: pd.DataFrame) -> pd.DataFrame:
-        data = unit[~unit["query"]].sort_values("id")
-        asked = unit[unit["query"]]
-        if not len(data) or not len(asked):
-            ids = {c: pd.Series(dtype=object) for c in ("id", "neighbor")}
-            return pd.DataFrame(ids | {"similarity": pd.Series(dtype=float)})
-        sims = _products(asked, data)
-        floor = asked["tau"].to_numpy() - SLACK
-        if (floor < -1).any():
-            # One integer per pair orders by rounded similarity, then by id.
-            key = np.rint(sims * 10**PLACES).astype(np.int64) * len(data) - np.arange(len(data))
-            take = min(k, len(data))
-            col = np.argpartition(-key, take - 1, axis=1)[:, :take].ravel()
-            row = np.repeat(np.arange(len(asked)), take)
-        else:
-            row, col = np.nonzero(sims >= floor[:, None])
-        steps = np.rint(sims[row, col] * 10**PLACES)
-        order = np.lexsort((col, -steps, row))
-        row, col, steps = row[order], col[order], steps[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        return pd.DataFrame(
-            {
-                "id": asked["id"].to_numpy()[row[keep]],
-                "neighbor": data["id"].to_numpy()[col[keep]],
-                "similarity": steps[keep] / 10**PLACES + 0.0,
-            }
+class _Block(_Rows):
+    """Rows that stream past: their matrix, its largest values, and for dense rows the mean direction
+    and the largest angle to it."""
+
+    def __init__(self, rows: pa.RecordBatch, sparse: bool):
+        super().__init__(rows)
+        self.matrix = self.dense(self.columns)
+        self.high = self.matrix.max(axis=0, initial=0)
+        self.positive = not (self.value < 0).any()
+        self.middle = None if sparse else self._middle()
+
+    def _middle(self) -> tuple[np.ndarray, float] | None:
+        center = self.matrix.sum(axis=0)
+        norm = np.sqrt(center @ center)
+        if not norm > 0:
+            return None
+        center = center / norm
+        return center, np.arccos(np.clip(self.matrix @ center, -1.0, 1.0)).max()
+
+
+class _Part:
+    """Queries that meet the blocks together."""
+
+    def __init__(self, rows: pa.RecordBatch, first: int, k: int, sparse: bool):
+        self.first = first
+        self.vectors = _Rows(rows)
+        matrix = self.vectors.dense(self.vectors.columns)
+        self.high, self.low = matrix.max(axis=0, initial=0), matrix.min(axis=0, initial=0)
+        self.matrix = None if sparse else matrix
+        self.floor = np.array(rows.column("tau"))
+        self.key = np.full((rows.num_rows, k), _NONE)
+
+    def see(self, block: _Block, numbers: np.ndarray) -> None:
+        # Columns that both sides have, by their places in each.
+        common, mine, theirs = np.intersect1d(
+            self.vectors.columns, block.columns, assume_unique=True, return_indices=True
         )
+        asked = self.vectors.dense(common) if self.matrix is None else self.matrix[:, mine]
+        if block.positive and not (self.low < 0).any():
+            bound = asked @ block.high[theirs]
+        else:
+            bound = np.full(len(self.key), np.inf)
+        if block.middle is not None:
+            center, radius = block.middle
+            angle = np.arccos(np.clip(asked @ center[theirs], -1.0, 1.0))
+            bound = np.minimum(bound, np.cos(np.maximum(angle - radius, 0.0)))
+        rows = np.flatnonzero(bound >= self.floor - SLACK)
+        if not len(rows):
+            return
+        data = block.matrix[:, theirs]
+        sims = asked[rows].astype(np.float32) @ data.T.astype(np.float32)
+        near = sims >= (self.floor[rows] - SLACK_SINGLE).astype(np.float32)[:, None]
+        some = near.any(axis=1)
+        if not some.any():
+            return
+        rows, near = rows[some], near[some]
+        # Lines of few candidates apart from those of many, which would widen all.
+        few = near.sum(axis=1) <= 64
+        for part in (few, ~few):
+            places = np.flatnonzero(part)
+            for start in range(0, len(places), 256):
+                at = places[start : start + 256]
+                self._merge(rows[at], near[at], asked[rows[at]], data, numbers)
+
+    def _merge(self, rows, near, asked, data, numbers) -> None:
+        cols, filled = padded(near)
+        if cols.shape[1] * 4 > len(data) or cols.size * data.shape[1] > MOST_VALUES:
+            exact = np.take_along_axis(asked @ data.T, cols, 1)
+        else:
+            exact = np.einsum("rc,rnc->rn", asked, data[cols])
+        keys = np.rint(exact * _STEPS).astype(np.int64) * _IDS + (_IDS - 1 - numbers[cols])
+        keep_best(self.key, rows, np.where(filled, keys, _NONE), [])
+        worst = self.key[rows].min(axis=1)
+        reached = np.where(worst > _NONE, (worst // _IDS) / _STEPS, -2.0)
+        self.floor[rows] = np.maximum(self.floor[rows], reached)
+
+
+class _Group:
+    """The parts of one group, and the largest value of each column in each of them."""
+
+    def __init__(self, waiting: list[pa.RecordBatch], k: int, step: int, sparse: bool):
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        self.ids = table.column("id").combine_chunks()
+        self.parts = [
+            _Part(table.slice(s, step).combine_chunks().to_batches()[0], s, k, sparse)
+            for s in range(0, table.num_rows, step)
+        ]
+        self.columns = np.unique(np.concatenate([p.vectors.columns for p in self.parts]))
+        self.high = np.zeros((len(self.parts), len(self.columns)))
+        for high, p in zip(self.high, self.parts, strict=True):
+            high[np.searchsorted(self.columns, p.vectors.columns)] = p.high
+        self.positive = not any((p.low < 0).any() for p in self.parts)
+        self.floor = np.array([p.floor.min() for p in self.parts])
+
+    def see(self, block: _Block, numbers: np.ndarray) -> None:
+        near = range(len(self.parts))
+        if self.positive and block.positive:
+            _, mine, theirs = np.intersect1d(self.columns, block.columns, assume_unique=True, return_indices=True)
+            near = np.flatnonzero(self.high[:, mine] @ block.high[theirs] >= self.floor - SLACK)
+        for i in near:
+            self.parts[i].see(block, numbers)
+            self.floor[i] = self.parts[i].floor.min()
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for part in self.parts:
+            row, col = np.nonzero(part.key > _NONE)
+            key = part.key[row, col]
+            yield pa.RecordBatch.from_arrays(
+                [self.ids.take(pa.array(part.first + row)), pa.array(_IDS - 1 - key % _IDS),
+                 pa.array(key // _IDS / _STEPS + 0.0)],
+                names=["id", "num", "similarity"],
+            )
+
+
+def _nearest(k: int, chunk: int, sparse: bool):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, waiting, group = None, [], None
+        step = min(chunk, BLOCK_ROWS) if sparse else chunk
+        for now, side, rows in stretches(batches):
+            if now != lo:
+                if group:
+                    yield from group.found()
+                lo, waiting, group = now, [], None
+            if side == 0:
+                waiting.append(rows)
+                continue
+            if not waiting:
+                continue
+            group = group or _Group(waiting, k, step, sparse)
+            for start in range(0, rows.num_rows, step):
+                piece = rows.slice(start, step)
+                group.see(_Block(piece, sparse), np.asarray(piece.column("num"), dtype=np.int64))
+        if group:
+            yield from group.found()
 
     return run
 
 
-def _lookup(table: dict[int, int], key: Column) -> Column:
-    """Small map from group number (at most MAX_PIVOTS) to a number of chunks."""
-    pairs = [F.lit(x) for item in sorted(table.items()) for x in item]
-    return F.element_at(F.create_map(*pairs), key)
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbor")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search(asked: DataFrame, data: DataFrame, sizes: dict[int, int], k: int, chunk: int) -> DataFrame:
-    """``asked`` rows carry the group they visit; both sides meet in bounded units."""
-    visits = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    visits = {c: n for c, n in visits.items() if c in sizes}
-    if not visits:
-        return data.sparkSession.createDataFrame([], _FOUND)
-    dchunks = {c: -(-sizes[c] // chunk) for c in visits}
-    qchunks = {c: -(-n // chunk) for c, n in visits.items()}
-    cell = F.col("cell")
-    wanted = cell.isin(*visits)
-    own = F.pmod(F.xxhash64("id"), _lookup(dchunks, cell)).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), _lookup(qchunks, cell)).cast("int")
-    d = data.where(wanted).select(
-        "id", "idx", "val", "cell", own.alias("dc"),
-        F.explode(F.sequence(F.lit(0), _lookup(qchunks, cell) - 1)).alias("qc"),
-        F.lit(False).alias("query"), F.lit(0.0).alias("tau"),
-    )
-    q = asked.where(wanted).select(
-        "id", "idx", "val", "cell",
-        F.explode(F.sequence(F.lit(0), _lookup(dchunks, cell) - 1)).alias("dc"),
-        mine.alias("qc"), F.lit(True).alias("query"), "tau",
-    )
-    units = spread(d.unionByName(q), "cell", "dc", "qc")
-    return units.groupBy("cell", "dc", "qc").applyInPandas(_nearest(k), _FOUND)
+def _heaviest() -> Column:
+    """The columns of the largest values, largest first."""
+    entries = F.arrays_zip(F.transform("val", lambda x: -x).alias("v"), F.col("idx").alias("i"))
+    return F.slice(F.transform(F.array_sort(entries), lambda x: x["i"]), 1, HEAVIEST)
 
 
 def knn_join(queries: DataFrame, data: DataFrame, k: int, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -204,32 +290,43 @@ def knn_join(queries: DataFrame, data: DataFrame, k: int, chunk: int = CHUNK_ROW
     Both tables hold id, idx, val with unit or empty vectors; an empty idx means a dense vector.
     Similarities are rounded before ranking.
     """
+    spark = data.sparkSession
     same = queries is data
     data = cut(data.select("id", "idx", "val"))
-    n = data.count()
+    facts = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("idx")).alias("width")).first()
+    n, sparse = facts["n"], (facts["width"] or 0) > 0
     if n == 0:
-        return data.sparkSession.createDataFrame([], _FOUND + ", rank int")
-    pivots = (
-        data.orderBy(F.xxhash64("id"), "id").limit(min(MAX_PIVOTS, -(-n // chunk))).toPandas()
-    )
-    place = _place(pivots)
-    data = cut(data.mapInPandas(place, _ROW))
-    asked = data if same else cut(queries.select("id", "idx", "val").mapInPandas(place, _ROW))
-    facts = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect()
-    sizes = {f["cell"]: f["n"] for f in facts}
-    # Nothing is known yet: any similarity is welcome.
-    nothing = F.lit(-2.0)
-    first = cut(_best(_search(asked.withColumn("tau", nothing), data, sizes, k, chunk), k))
-    if len(pivots) == 1:
-        return first
-    # A query that has not found k neighbours yet must look everywhere.
-    tau = first.groupBy("id").agg(F.min("similarity").alias("tau"), F.count(F.lit(1)).alias("n"))
-    tau = tau.select("id", F.when(F.col("n") >= k, F.col("tau")).alias("tau"))
-    rest = asked.join(tau, "id", "left").withColumn("tau", F.coalesce("tau", nothing))
-    more = rest.mapInPandas(
-        _other_cells(pivots, {f["cell"]: f["r"] for f in facts}),
-        "id string, idx array<int>, val array<double>, tau double, cells array<int>",
+        return spark.createDataFrame([], _FOUND + ", rank int")
+    ids = cut(dense_index(data, "id", "num"))
+    none = F.array().cast("array<int>")
+    sig = _heaviest() if sparse else none
+
+    def shaped(df: DataFrame) -> DataFrame:
+        df = df.select("id", "num", "idx", "val", sig.alias("sig"))
+        return df if sparse else df.mapInArrow(_place(pivots), _ROW)
+
+    if not sparse:
+        few = min(MAX_PIVOTS, -(-n // chunk))
+        sample = data.orderBy(F.xxhash64("id"), "id").limit(few).select("idx", "val")
+        pivots = _Rows(sample.toArrow().combine_chunks().to_batches()[0])
+    known = ids.withColumnRenamed("id", "known")
+    data = cut(shaped(data.join(known, F.col("id").eqNullSafe(F.col("known")))))
+    if same:
+        asked, m = data, n
+        every = data.withColumns({"query": F.lit(True), "data": F.lit(True)})
+    else:
+        asked = cut(shaped(queries.select("id", "idx", "val").withColumn("num", F.lit(0).cast("bigint"))))
+        m = asked.count()
+        every = asked.withColumns({"query": F.lit(True), "data": F.lit(False)}).unionByName(
+            data.withColumns({"query": F.lit(False), "data": F.lit(True)})
+        )
+    groups = groups_for(-(-m // chunk), m, GROUP_ROWS)
+    # Rows of one range stand together, so its queries skip the same blocks.
+    ranges = every.repartitionByRange(groups, "sig", "id").withColumn("lo", F.spark_partition_id())
+    asked = cut(
+        ranges.sortWithinPartitions("sig", "id").mapInArrow(_first_bound(k, chunk), f"lo int, {_ROW}, tau double")
     )
-    more = cut(more.select("id", "idx", "val", "tau", F.explode("cells").alias("cell")))
-    second = _search(more, data, sizes, k, chunk)
-    return _best(first.drop("rank").unionByName(second), k)
+    rows = data.withColumn("tau", F.lit(0.0))
+    found = meet(asked, rows, groups, ["sig", "num"], _nearest(k, chunk, sparse), "id string, num bigint, similarity double")
+    named = found.join(ids.select("num", F.col("id").alias("neighbor")), "num")
+    return _best(named.select("id", "neighbor", "similarity"), k)

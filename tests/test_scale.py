@@ -31,3 +31,25 @@ def test_rating_neighbors_send_a_bounded_number_of_copies(spark, monkeypatch):
     wide = sorted(map(tuple, pred.rating_neighbors(train, test, 5, 512).collect()))
     assert narrow == wide and len(narrow) == 5 * test.count()
     assert copies == [meet.GROUPS, 1]
+
+
+def test_nearest_neighbours_send_a_bounded_number_of_copies(spark, monkeypatch):
+    import numpy as np
+
+    from shelfwise.operators import knn
+
+    copies = sent(monkeypatch, knn)
+    r = np.random.default_rng(5)
+    dense = [(f"d{i:03d}", [], [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(r.normal(size=(200, 8)))]
+    sparse = []
+    for i in range(200):
+        at, v = np.sort(r.choice(40, 3, replace=False)), r.random(3) + 0.1
+        sparse.append((f"s{i:03d}", [int(x) for x in at], [float(x) for x in v / np.linalg.norm(v)]))
+    for rows in (dense, sparse):
+        df = spark.createDataFrame(rows, "id string, idx array<int>, val array<double>")
+        few = df.where("id like '%7'")
+        for asked in (df, few):
+            narrow = sorted(map(tuple, knn.knn_join(asked, df, 4, 1 if asked is df else 2).collect()))
+            wide = sorted(map(tuple, knn.knn_join(asked, df, 4, 2048).collect()))
+            assert narrow == wide and len(narrow) == 4 * asked.count()
+    assert max(copies) == knn.groups_for(200, 200, 1000) == meet.GROUPS
