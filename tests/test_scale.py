@@ -53,3 +53,26 @@ def test_nearest_neighbours_send_a_bounded_number_of_copies(spark, monkeypatch):
             wide = sorted(map(tuple, knn.knn_join(asked, df, 4, 2048).collect()))
             assert narrow == wide and len(narrow) == 4 * asked.count()
     assert max(copies) == knn.groups_for(200, 200, 1000) == meet.GROUPS
+
+
+def test_targets_that_share_a_name_are_answered_once(spark, monkeypatch):
+    from shelfwise.operators import names
+
+    seen = []
+    spread = names.spread
+    monkeypatch.setattr(names, "spread", lambda df, *keys: seen.append(df.count()) or spread(df, *keys))
+    rows = [(f"{i:03d}", ("red bolt", "blue bolt", "old gear")[i % 3], "c", "b") for i in range(90)]
+    details = spark.createDataFrame(rows, "product_id string, name string, category_code string, brand string")
+    got = {}
+    for r in names.name_similarity(details, n=4).orderBy("target", "rank").collect():
+        got.setdefault(r["target"], []).append(r["product_id"])
+    assert seen == [6, 6]
+    for i, (product, name, _, _) in enumerate(rows):
+        assert got[product] == [r[0] for r in rows if r[1] == name and r[0] != product][:4], i
+    # A target in another's list of exclusions, and in its own.
+    asked = [("000", ["000", "003"], 2), ("003", ["000"], 2), ("006", [], 1), ("009", ["003"], 2)]
+    targets = spark.createDataFrame(asked, "target string, excluded array<string>, needed int")
+    got = {}
+    for r in names.similar_names(targets, details).orderBy("target", "rank").collect():
+        got.setdefault(r["target"], []).append(r["product_id"])
+    assert got == {"000": ["006", "009"], "003": ["006", "009"], "006": ["000"], "009": ["000", "006"]}
