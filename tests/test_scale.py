@@ -76,3 +76,44 @@ def test_targets_that_share_a_name_are_answered_once(spark, monkeypatch):
     for r in names.similar_names(targets, details).orderBy("target", "rank").collect():
         got.setdefault(r["target"], []).append(r["product_id"])
     assert got == {"000": ["006", "009"], "003": ["006", "009"], "006": ["000"], "009": ["000", "006"]}
+
+
+def counted(df, column):
+    """``df`` with an accumulator of how often its rows are worked out."""
+    from pyspark.sql import functions as F
+
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def same(x):
+        seen.add(1)
+        return x
+
+    return df.withColumn(column, F.udf(same, "string").asNondeterministic()(column)), seen
+
+
+def test_events_are_parsed_once_for_encoded_features(spark, sf):
+    from checks import fixtures
+    from shelfwise.operators import features as ft
+
+    raw = fixtures.behaviors(spark, sf)
+    events, seen = counted(raw, "brand")
+    assert ft.feature_pipeline(events).count() > 0
+    assert seen.value == raw.count()
+
+
+def test_events_are_parsed_once_for_the_evaluation(spark, sf, monkeypatch):
+    from checks import registry
+
+    raw = registry.fx.behaviors(spark, sf)
+    seen = []
+
+    def behaviors(*_):
+        events, number = counted(raw, "brand")
+        seen.append(number)
+        return events
+
+    monkeypatch.setattr(registry.fx, "behaviors", behaviors)
+    for name in ("eval_f1", "eval_topn", "rating_errors"):
+        seen.clear()
+        registry.QUERIES[name](spark, sf).collect()
+        assert [n.value for n in seen] == [raw.count()], name
