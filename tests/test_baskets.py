@@ -70,3 +70,21 @@ def test_matches_need_the_whole_antecedent(spark):
     df = spark.createDataFrame([("1", ["c"]), ("2", ["a", "c"])], "cart string, cart_items array<string>")
     got = {(r["cart"], "".join(r["antecedent"]), r["consequent"]) for r in cart_matches(rules(spark), df).collect()}
     assert got == {("2", "a", "b"), ("2", "ac", "d"), ("2", "ac", "b")}
+
+
+def test_matches_stay_with_their_cart(spark):
+    df = spark.createDataFrame([("1", ["c"]), ("2", ["a", "c"])], "cart string, cart_items array<string>")
+    per_cart = cart_matches(rules(spark), df).groupBy("cart", "consequent").count().groupBy("cart").count()
+    plan = per_cart._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the carts themselves
+
+
+def test_equal_carts_are_matched_once(spark):
+    from shelfwise.plans.cart import equal_carts
+
+    rows = [("1", ["c", "a"]), ("2", ["a", "c", "a"]), ("3", ["b"]), (None, ["b"]), ("4", [])]
+    carts, unique = equal_carts(spark.createDataFrame(rows, "cart string, cart_items array<string>"))
+    assert sorted(r["cart_items"] for r in unique.collect()) == [[], ["a", "c"], ["b"]]
+    assert {(r["cart"], tuple(r["key"])) for r in carts.collect()} == {
+        ("1", ("a", "c")), ("2", ("a", "c")), ("3", ("b",)), (None, ("b",)), ("4", ()),
+    }
