@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import first_of, tokens
 from .knn import knn_join, unit_vectors
+from .text import dealt
 
 # Stored vector length and number of search results.
 DIMENSIONS = 128
@@ -101,7 +102,8 @@ def hashed_vectors(
     if embed is not None:
         return catalog.withColumn("embedding", embed(text)).withColumn("point_id", F.col("product_id"))
     number = F.conv(F.substring(F.md5(F.col("term")), 1, 8), 16, 10).cast("bigint") % dimensions
-    terms = catalog.select("product_id", F.explode(tokens(text)).alias("term"))
+    texts, _ = dealt(catalog, "product_id", text)
+    terms = texts.select("product_id", F.explode(tokens(F.col("text"))).alias("term"))
     counts = terms.groupBy("product_id", number.cast("int").alias("bucket")).agg(
         F.count(F.lit(1)).cast("double").alias("tf")
     )
