@@ -10,7 +10,7 @@ from ..functions.expressions import rounded
 from ..operators.baselines import Baselines
 from ..operators.features import recent_sessions
 from ..operators.pairs import CHUNK, pair_sums
-from ..storage import cut
+from ..storage import cut, spread
 
 # Window in months, list size, and the tier of frequent candidates.
 MONTHS = 3
@@ -29,47 +29,57 @@ def session_candidates(
     """target, product_id, appearance_count: event rows of other products in the sessions that
     hold the target, within ``months`` before the target's last event.
 
-    Sessions are cut into time slices, and rows are counted per slice and product first. A slice
-    that lies inside the target's time window adds these counts; only the slices across its two
-    borders are read row by row, so a session that runs for long does not multiply its rows by
-    its products.
+    Rows are counted per session and product first. A session that lies inside the target's time
+    window adds these counts. Only sessions across a border of a window are cut into time slices: a
+    slice inside the window adds its counts again, and the slices across the borders are read row by
+    row, so a session that runs for long does not multiply its rows by its products.
     """
-    part = F.date_trunc(slice_unit, "event_time")
-    rows = events.select("user_session", "product_id", "event_time", part.alias("part"))
-    counts = cut(
-        rows.groupBy("user_session", "part", "product_id").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("event_time").alias("lo"),
-            F.max("event_time").alias("hi"),
+    rows = events.select("user_session", "product_id", "event_time").where(F.col("event_time").isNotNull())
+    extent = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+
+    def counted(df: DataFrame, *keys: str) -> DataFrame:
+        times = [F.min("event_time").alias("lo"), F.max("event_time").alias("hi")]
+        return cut(df.groupBy(*keys, "product_id").agg(F.count(F.lit(1)).alias("n"), *times))
+
+    def held(spans: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+        """The spans with what of ``keys`` overlaps them, and whether it lies inside."""
+        holds = spans.join(counts.groupBy(*keys).agg(*extent), "user_session")
+        holds = holds.where((F.col("hi") >= F.col("cutoff")) & (F.col("lo") <= F.col("last_time")))
+        return holds.withColumn("whole", (F.col("lo") >= F.col("cutoff")) & (F.col("hi") <= F.col("last_time")))
+
+    def summed(counts: DataFrame, key: str, left: DataFrame) -> DataFrame:
+        sums = pair_sums(counts, key, "product_id", "n", left, chunk=chunk, written=True)
+        return sums.select(F.col("a").alias("target"), F.col("b").alias("product_id"), F.col("sy").alias("c"))
+
+    counts = counted(rows, "user_session")
+    # the last event of a product in a session says all that this needs
+    last = counts.select("user_session", "product_id", F.col("hi").alias("event_time"))
+    holds = cut(held(recent_sessions(last, targets, months), counts, "user_session"))
+    out = summed(counts, "user_session", holds.where("whole").select("user_session", "product_id"))
+
+    torn = cut(holds.where(~F.col("whole")).drop("lo", "hi", "whole"))
+    if not torn.isEmpty():
+        rows = rows.join(torn.select("user_session").distinct(), "user_session", "left_semi")
+        rows = cut(rows.withColumn("part", F.date_trunc(slice_unit, "event_time")))
+        counts = counted(rows, "user_session", "part")
+        holds = cut(held(torn, counts, "user_session", "part"))
+
+        def keyed(df: DataFrame) -> DataFrame:
+            key = F.concat_ws("\u0001", "user_session", F.col("part").cast("string"))
+            return cut(df.select(key.alias("key"), "product_id", *[c for c in df.columns if c == "n"]))
+
+        across = holds.where(~F.col("whole")).select(
+            F.col("product_id").alias("target"), "user_session", "part", "cutoff", "last_time"
         )
-    )
-    extent = counts.groupBy("user_session", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    holds = recent_sessions(events, targets, months).join(extent, "user_session")
-    holds = holds.where((F.col("hi") >= F.col("cutoff")) & (F.col("lo") <= F.col("last_time")))
-    whole = (F.col("lo") >= F.col("cutoff")) & (F.col("hi") <= F.col("last_time"))
-    holds = cut(holds.withColumn("whole", whole))
-
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", F.concat_ws("\u0001", "user_session", F.col("part").cast("string")))
-
-    inside = pair_sums(
-        keyed(counts), "key", "product_id", "n", keyed(holds.where("whole")).drop("n"), chunk=chunk
-    ).select(F.col("a").alias("target"), F.col("b").alias("product_id"), F.col("sy").alias("c"))
-    across = holds.where(~F.col("whole")).select(
-        F.col("product_id").alias("target"), "user_session", "part", "cutoff", "last_time"
-    )
-    border = (
-        across.join(rows, ["user_session", "part"])
-        .where(F.col("event_time").between(F.col("cutoff"), F.col("last_time")))
-        .where(F.col("product_id") != F.col("target"))
-        .groupBy("target", "product_id")
-        .agg(F.count(F.lit(1)).cast("double").alias("c"))
-    )
-    return (
-        inside.unionByName(border)
-        .groupBy("target", "product_id")
-        .agg(F.sum("c").cast("bigint").alias("appearance_count"))
-    )
+        border = (
+            across.join(rows, ["user_session", "part"])
+            .where(F.col("event_time").between(F.col("cutoff"), F.col("last_time")))
+            .where(F.col("product_id") != F.col("target"))
+            .groupBy("target", "product_id")
+            .agg(F.count(F.lit(1)).cast("double").alias("c"))
+        )
+        out = out.unionByName(summed(keyed(counts), "key", keyed(holds.where("whole")))).unionByName(border)
+    return out.groupBy("target", "product_id").agg(F.sum("c").cast("bigint").alias("appearance_count"))
 
 
 def _ranked(df: DataFrame, order: list, limit: int, name: str) -> DataFrame:
@@ -140,7 +150,8 @@ def session_recommend(
     targets = known.select(F.col("target").alias("product_id")).distinct()
     candidates = session_candidates(events, targets, months)
     lists = session_lists(candidates, events, targets, model, size)
-    df = known.join(lists, "target").select(
+    # a few bytes a request become a list: they are dealt to all cores first
+    df = spread(known.join(lists, "target"), "user_id").select(
         "user_id", "target", "b_u", F.posexplode("recs").alias("pos", "rec")
     )
     df = df.select(

@@ -116,3 +116,9 @@ def test_features_shuffle_events_once_when_no_session_is_hot(spark):
     plan = ft._ordinary_sessions(ft.clean_events(events(spark, GOLDEN)))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_hot_path_is_not_planned_without_hot_sessions(spark):
+    plan = ft.session_features(ft.clean_events(events(spark, GOLDEN)))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text

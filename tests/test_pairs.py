@@ -79,6 +79,26 @@ def test_one_key_with_many_items_on_one_side(spark):
     assert got.agg(F.max("n")).first()[0] == 1
 
 
+def test_only_large_keys_need_their_sizes(spark, monkeypatch):
+    from shelfwise.operators import pairs
+
+    sizes = []
+
+    def spy(df):
+        if "ca" in df.columns:
+            sizes.append(sorted(tuple(r) for r in df.select("k", "ca", "cb").collect()))
+        return df
+
+    monkeypatch.setattr(pairs, "cut", spy)
+    rows = [("large", f"i{i}") for i in range(9)] + [(f"k{k}", f"i{i}") for k in range(20) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, i string")
+    left = df.where("i = 'i1'")
+    got = {tuple(r) for r in pair_sums(df, "k", "i", left=left, chunk=4).select("a", "b", "n").collect()}
+    assert got == {("i1", f"i{i}", 21.0 if i in (0, 2) else 1.0) for i in range(9) if i != 1}
+    assert pair_sums(df, "k", "i", chunk=9).count() == 72
+    assert sizes == [[("large", 1, 3)], []]
+
+
 @pytest.mark.parametrize("chunk", [2, 64])
 def test_cluster_lists_match_a_full_sort(spark, chunk):
     rows = random_rows(9, 40, 30)

@@ -56,6 +56,31 @@ def test_candidates_match_row_by_row_counting(spark, chunk):
         assert got.get(t, {}) == dict(brute(rows, t))
 
 
+def test_only_sessions_across_a_border_are_cut_into_slices(spark, monkeypatch):
+    """Sessions of a day: of 60 a target's last one may run on, the others add their counts as a whole."""
+    start, r = dt.datetime(2024, 1, 1), random.Random(3)
+    rows = [
+        (f"s{d}", f"p{r.randrange(6)}", start + dt.timedelta(days=d, hours=r.randrange(24)), 0)
+        for d in range(60)
+        for _ in range(8)
+    ]
+    met = []
+    sums = ses.pair_sums
+
+    def spy(df, key, *more, **options):
+        met.append((key, df.count()))
+        return sums(df, key, *more, **options)
+
+    monkeypatch.setattr(ses, "pair_sums", spy)
+    events = spark.createDataFrame(rows, EVENT)
+    asked = spark.createDataFrame([(f"p{i}",) for i in range(6)], "product_id string")
+    got = {}
+    for x in ses.session_candidates(events, asked).collect():
+        got.setdefault(x["target"], {})[x["product_id"]] = x["appearance_count"]
+    assert got == {f"p{i}": dict(brute(rows, f"p{i}")) for i in range(6)}
+    assert met[0] == ("user_session", len({x[:2] for x in rows})) and met[1][1] <= 6 * 8
+
+
 def test_lists_follow_the_tiers(spark):
     day = dt.datetime(2024, 1, 1)
     rows = [("s1", "T")] + [("s1", p) for p in "AAAABBBCCCCCDDDEF"] + [("s2", p) for p in "GHIJKLM"]
