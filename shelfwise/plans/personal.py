@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,39 +13,109 @@ from pyspark.sql.window import Window
 from ..functions.expressions import rounded
 from ..operators.baselines import Baselines
 from ..operators.factors import Factors, dot
+from ..operators.meet import groups_for, lists, meet, padded, stretches
 from ..storage import cut
 from .session import FREQUENT, FREQUENT_TAKEN, LIST_SIZE, MONTHS, session_candidates
 
-# Users and products in one block of the search for each user's best products.
+# Users that one step compares with products, and the least products of a range.
 USER_BLOCK = 1024
 ITEM_BLOCK = 16_384
 
-
-def _best_of_block(k: int):
-    """For each user of a block the k best products of a block, ties to smaller ids."""
-
-    def best(users: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if not len(users) or not len(items):
-            return pd.DataFrame({"user_id": [], "product_id": []}, dtype=str)
-        size = max(map(len, [*users["p"], *items["q"]]), default=0)
-
-        def matrix(column: pd.Series) -> np.ndarray:
-            out = np.zeros((len(column), size))
-            for i, row in enumerate(column):
-                out[i, : len(row)] = row
-            return out
-
-        items = items.sort_values("product_id", kind="stable")
-        value = np.round(matrix(users["p"]) @ matrix(items["q"]).T + items["b_i"].to_numpy(), 6)
-        order = np.argsort(-value, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {
-                "user_id": np.repeat(users["user_id"].to_numpy(), order.shape[1]),
-                "product_id": items["product_id"].to_numpy()[order.ravel()],
-            }
-        )
-
-    return best
+# Products of one step, and users that a task holds with their best products.
+STEP = 256
+USERS_HELD = 50_000
+
+# What rounding to six places and the order of a sum can add to a value.
+MARGIN = 2e-6
+
+
+def _matrix(column: pa.Array, size: int | None = None) -> np.ndarray:
+    """The vectors of a column, filled up with zeros."""
+    row, value = lists(column, np.float64)
+    lengths = np.bincount(row, minlength=len(column))
+    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    size = int(lengths.max(initial=0)) if size is None else size
+    out = np.zeros((len(column), size))
+    out[row[place < size], place[place < size]] = value[place < size]
+    return out
+
+
+class _Held:
+    """Users of one group with their best products so far. Products come by rising id, so a later one
+    counts only where its value is larger."""
+
+    def __init__(self, rows: list[pa.RecordBatch], k: int, block: int):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        ids, vectors, last = (table.column(i).combine_chunks() for i in (2, 3, 4))
+        self.ids, self.block = ids.to_numpy(zero_copy_only=False), block
+        self.p = _matrix(vectors)
+        self.reach = np.sqrt((self.p**2).sum(axis=1))
+        # the k-th value of earlier ranges stands in for k products that any of that value comes before
+        floor = np.nextafter(last.fill_null(-np.inf).to_numpy(zero_copy_only=False), -np.inf)
+        self.value = np.repeat(floor[:, None], k, axis=1)
+        self.product = np.full(self.value.shape, None, dtype=object)
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        names = rows.column(2).to_numpy(zero_copy_only=False)
+        q, b = _matrix(rows.column(3), self.p.shape[1]), rows.column(4).to_numpy(zero_copy_only=False)
+        for i in range(0, len(names), STEP):
+            part = slice(i, i + STEP)
+            longest, top = np.sqrt((q[part] ** 2).sum(axis=1)).max(), b[part].max()
+            for u in range(0, len(self.ids), self.block):
+                own = slice(u, u + self.block)
+                most = self.reach[own] * longest + top
+                users = u + np.flatnonzero(most >= self.value[own, -1] - MARGIN)
+                if len(users):
+                    self._step(users, names[part], q[part], b[part])
+
+    def _step(self, users: np.ndarray, names: np.ndarray, q: np.ndarray, b: np.ndarray) -> None:
+        near = self.p[users] @ q.T + b >= self.value[users, -1:] - MARGIN
+        some = near.any(axis=1)
+        if not some.any():
+            return
+        users = users[some]
+        at, filled = padded(near[some])
+        # summed up in one order, so that equal vectors have equal values
+        value = np.zeros(at.shape)
+        for j in range(q.shape[1]):
+            value += self.p[users, j][:, None] * q[at, j]
+        value = b[at] + value
+        value = np.copysign(np.floor(np.abs(value) * 1e6 + 0.5) / 1e6, value) + 0.0
+        every = np.concatenate([self.value[users], np.where(filled, value, -np.inf)], axis=1)
+        names = np.concatenate([self.product[users], names[at]], axis=1)
+        order = np.argsort(-every, axis=1, kind="stable")[:, : self.value.shape[1]]
+        self.value[users] = np.take_along_axis(every, order, 1)
+        self.product[users] = np.take_along_axis(names, order, 1)
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        for u in range(0, len(self.ids), self.block):
+            user, place = np.nonzero(self.product[u : u + self.block] != None)  # noqa: E711
+            user += u
+            columns = [
+                pa.array(self.ids[user], pa.string()),
+                pa.array(self.product[user, place], pa.string()),
+                pa.array(self.value[user, place], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["user_id", "product_id", "value"])
+
+
+def _search(k: int, block: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, asked, held = None, [], None
+        for lo, side, rows in stretches(batches):
+            if lo != group:
+                if held:
+                    yield from held.best()
+                group, asked, held = lo, [], None
+            if side == 0:
+                asked.append(rows)
+            elif asked:
+                held = held or _Held(asked, k, block)
+                held.meet(rows)
+        if held:
+            yield from held.best()
+
+    return run
 
 
 def _length(vector: Column, offset: Column | float) -> Column:
@@ -71,30 +143,35 @@ def best_products(
 
     ``users`` (user_id, p) and ``items`` (product_id, b_i, q). Products are searched in ranges of
     falling length: no value in a range is above the product of the lengths of its longest vector and
-    of the user's, offsets included, so a user whose k-th value is above that is done. The others
-    meet the range in blocks of bounded size, and a user sends k rows from each block.
+    of the user's, offsets included or added apart, so a user whose k-th value is above that is done.
+    The others are dealt to a bounded number of groups, past which the range streams; a user takes the
+    k-th value along and sends what comes before it.
     """
     user_block, item_block = user_block or USER_BLOCK, item_block or ITEM_BLOCK
     items = cut(items.withColumn("length", _length(F.col("q"), F.col("b_i"))))
     ends = length_ranges(items, item_block)
     number = sum((F.when(F.col("length") <= e, 1).otherwise(0) for e in ends), F.lit(0))
     items = cut(items.withColumn("range", number))
-    users = cut(users.withColumn("reach", _length(F.col("p"), 1.0)))
+    users = cut(users.withColumns({"reach": _length(F.col("p"), 1.0), "size": _length(F.col("p"), 0.0)}))
     # as many rows as ranges, which grow with the logarithm of the products
-    ranges = items.groupBy("range").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"))
+    ranges = items.groupBy("range").agg(
+        F.max("length").alias("longest"), F.max(_length(F.col("q"), 0.0)).alias("size"), F.max("b_i").alias("offset")
+    )
     best = None
     for r in sorted(ranges.collect(), key=lambda r: r["range"]):
-        active = users
+        active = users.withColumn("last", F.lit(None).cast("double"))
         if best is not None:
             last = best.groupBy("user_id").agg(F.min("value").alias("last"), F.count(F.lit(1)).alias("found"))
+            last = last.where(F.col("found") == k).drop("found")
+            most = F.least(F.col("reach") * r["longest"], F.col("size") * r["size"] + r["offset"])
             # values are rounded to six places, and equal ones go by the smaller id
-            done = last.where((F.col("found") == k)).join(users.select("user_id", "reach"), "user_id")
-            done = done.where(F.col("last") > F.col("reach") * r["longest"] + 1e-6)
-            active = cut(users.join(done, "user_id", "left_anti"))
+            open_ = F.col("last").isNull() | (F.col("last") <= most + MARGIN)
+            active = cut(users.join(last, "user_id", "left").where(open_))
             if active.isEmpty():
-                break
+                # the bound added apart need not fall from range to range
+                continue
         own = items.where(F.col("range") == r["range"])
-        found = _best_of_range(active, own, k, max(1, -(-r["n"] // item_block)), user_block)
+        found = _best_of_range(active, own, k, user_block)
         order = Window.partitionBy("user_id").orderBy(F.desc("value"), "product_id")
         every = found if best is None else best.unionByName(found)
         best = cut(every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n"))
@@ -103,20 +180,14 @@ def best_products(
     return best
 
 
-def _best_of_range(users: DataFrame, items: DataFrame, k: int, n_items: int, user_block: int) -> DataFrame:
-    """user_id, product_id, value: the k best of each block of products."""
-    n_users = max(1, -(-users.count() // user_block))
-    u = F.pmod(F.xxhash64("user_id"), F.lit(n_users)).alias("ub")
-    i = F.pmod(F.xxhash64("product_id"), F.lit(n_items)).alias("ib")
-    left = users.select("user_id", "p", u, F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("ib"))
-    right = items.select("product_id", "b_i", "q", i, F.explode(F.sequence(F.lit(0), F.lit(n_users - 1))).alias("ub"))
-    left, right = left.withColumn("ib", F.col("ib").cast("bigint")), right.withColumn("ub", F.col("ub").cast("bigint"))
-    near = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInPandas(
-        _best_of_block(k), "user_id string, product_id string"
-    )
-    return near.join(users, "user_id").join(items, "product_id").select(
-        "user_id", "product_id", rounded(F.col("b_i") + dot(F.col("p"), F.col("q"))).alias("value")
-    )
+def _best_of_range(users: DataFrame, items: DataFrame, k: int, user_block: int) -> DataFrame:
+    """user_id, product_id, value: the k best of a range, without those below a user's ``last``."""
+    n = users.count()
+    groups = groups_for(-(-n // user_block), n, USERS_HELD)
+    lo = F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int").alias("lo")
+    asked = users.select(lo, F.col("user_id").alias("id"), F.col("p").alias("v"), F.col("last").alias("x"))
+    data = items.select(F.col("product_id").alias("id"), F.col("q").alias("v"), F.col("b_i").alias("x"))
+    return meet(asked, data, groups, ["id"], _search(k, user_block), "user_id string, product_id string, value double")
 
 
 def personal_recommend(

@@ -216,3 +216,47 @@ def test_most_users_are_done_after_a_few_ranges(spark, monkeypatch):
         p = x.p or [0.0, 0.0]
         order = sorted(rows, key=lambda v: (-round(p[0] * v[1][0] + p[1] * v[1][1], 6), v[0]))
         assert got[x.user_id] == {i for i, _ in order[:5]}
+
+
+def test_long_products_do_not_keep_short_users_searching(spark, monkeypatch):
+    """Vectors of products fall from 0.25, those of users are a tenth: the offset is not part of that."""
+    from pyspark.sql import functions as F
+
+    from shelfwise.plans import personal
+
+    met = []
+    search = personal._best_of_range
+
+    def watched(users, items, *more):
+        met.append(users.count() * items.count())
+        return search(users, items, *more)
+
+    monkeypatch.setattr(personal, "_best_of_range", watched)
+    n = 4_000
+    turn = (F.col("id") * 0.7).alias("a")
+    items = spark.range(n).select("id", turn, (0.25 / (F.col("id") + 1) ** 0.3).alias("r")).select(
+        F.format_string("i%05d", "id").alias("product_id"),
+        F.lit(0.0).alias("b_i"),
+        F.array(F.col("r") * F.cos("a"), F.col("r") * F.sin("a")).alias("q"),
+    )
+    own = F.array(0.1 * F.cos(F.col("id")), 0.1 * F.sin(F.col("id"))).alias("p")
+    users = spark.range(30).select(F.concat(F.lit("u"), "id").alias("user_id"), own)
+    got = {}
+    for x in best_products(users, items, 5, user_block=8, item_block=128).collect():
+        got.setdefault(x.user_id, {})[x.product_id] = x.value
+    assert sum(met) < 0.3 * 30 * n
+    rows = [(x.product_id, x.q) for x in items.collect()]
+    for x in users.collect():
+        values = [(-round(x.p[0] * q[0] + x.p[1] * q[1], 6), i) for i, q in rows]
+        assert got[x.user_id] == pytest.approx({i: -v for v, i in sorted(values)[:5]}, abs=1e-9)
+
+
+def test_equal_values_go_by_the_smaller_id_across_ranges(spark):
+    rows = [(f"i{i:03d}", 0.0, [1.0 if i % 3 else 0.5, i / 1e9]) for i in range(200, 0, -1)]
+    items = spark.createDataFrame(rows, "product_id string, b_i double, q array<double>")
+    users = spark.createDataFrame([("u", [1.0, 0.0]), ("w", [0.0, 0.0])], "user_id string, p array<double>")
+    got = {}
+    for x in best_products(users, items, 4, item_block=16).collect():
+        got.setdefault(x.user_id, set()).add((x.product_id, x.value))
+    assert got["u"] == {(i, 1.0) for i in ("i001", "i002", "i004", "i005")}
+    assert got["w"] == {(i, 0.0) for i in ("i001", "i002", "i003", "i004")}
