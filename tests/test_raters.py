@@ -86,3 +86,22 @@ def test_the_bound_drops_no_rater(monkeypatch, dense, popular, bounded):
                     near.append((-round(1 / (gap + 1), 6), v))
             assert got.get((u, p), set()) == {(v, -s) for s, v in sorted(near)[:4]}, (u, p)
     assert bool(judged) == (popular == 1)
+
+
+def test_neighbour_models_follow_from_one_table_of_sums(spark):
+    r = random.Random(3)
+    rows = [(f"u{u}", f"p{p}", r.randrange(1, 9) / 2) for u in range(14) for p in range(9) if r.random() < 0.6]
+    train, test = split(spark, rows, 4)
+    base = pred.fit_baselines(train)
+    near = pred.rating_neighbors(train, test, carry=base.users)
+    plain = near.select("user_id", "product_id", "other", "sim", "score")
+    sums = pred.neighbor_sums(near)
+    assert "other" not in sums.columns
+
+    def values(df):
+        return {(x["user_id"], x["product_id"]): round(x["est"], 9) for x in df.collect()}
+
+    assert values(pred.knn_basic(train, test, sums)) == values(pred.knn_basic(train, test, plain))
+    assert values(pred.knn_means(train, test, sums)) == values(pred.knn_means(train, test, plain))
+    alone = values(pred.knn_baseline(train, test, plain, base))
+    assert values(pred.knn_baseline(train, test, sums, base)) == alone == values(pred.knn_baseline(train, test))
